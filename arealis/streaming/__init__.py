@@ -1,0 +1,2 @@
+"""Left empty on purpose: every job here is a batch over finished snapshots,
+so there is no streaming operator to offer."""
