@@ -36,12 +36,12 @@ def with_unicode_form(df: DataFrame, source: str, target: str, form: str = "NFC"
     Distinct non-ASCII spellings alone go through the UDF: names repeat far more often
     than they differ, so the Python work is per spelling, not per row.
     """
-    odd = df.filter(F.col(source).rlike(r"[^\x00-\x7F]")).select(F.col(source).alias("_raw")).distinct()
-    table = odd.select("_raw", _normaliser(form)(F.col("_raw")).alias("_form"))
+    odd = df.filter(F.col(source).rlike(r"[^\x00-\x7F]")).select(F.col(source).alias("_u_raw")).distinct()
+    table = odd.select("_u_raw", _normaliser(form)(F.col("_u_raw")).alias("_u_form"))
     return (
-        df.join(table, F.col(source) == F.col("_raw"), "left")
-        .withColumn(target, F.coalesce("_form", F.col(source)))
-        .drop("_raw", "_form")
+        df.join(table, F.col(source) == F.col("_u_raw"), "left")
+        .withColumn(target, F.coalesce("_u_form", F.col(source)))
+        .drop("_u_raw", "_u_form")
     )
 
 

@@ -200,23 +200,41 @@ def discount_pct(cubes: dict[str, Cube], spec: IndicatorSpec) -> DataFrame:
 # --- rolling four calendar quarters, complete or null ------------------------------------
 
 
-def rolling_sums(df: DataFrame) -> DataFrame:
+def _published(df: DataFrame, what: Column) -> Column:
+    """The distinct periods a table has, as one array (the calendar bounds its length)."""
+    return df.agg(F.collect_set(what)).scalar()
+
+
+def _has_all(have: Column, first: Column, last: Column) -> Column:
+    return F.size(F.array_except(F.sequence(first, last), have)) == 0
+
+
+def rolling_sums(df: DataFrame, lag_year: bool = False) -> DataFrame:
     """(area, q, value) for every quarter ``q`` that ends four published quarters.
 
     An area with any row in the window keeps a row; its value is null when a quarter is
     missing or a cell is suppressed. A quarter absent from the whole table ends no window.
+    ``lag_year`` adds the sum of the four quarters before (``before``) in the same pass and
+    asks for those to be published as well.
     """
     cell = df.withColumn("_q", P.quarter_index("period")).groupBy("area", "_q").agg(
         F.sum("value").alias("_s"), F.count_if(F.col("value").isNull()).alias("_null")
     )
-    fan = F.explode(F.sequence(F.col("_q"), F.col("_q") + 3)).alias("q")
-    published = df.select(P.quarter_index("period").alias("_q")).distinct()
-    ends = published.select(fan).groupBy("q").agg(F.count(F.lit(1)).alias("_have")).filter(F.col("_have") == 4)
+    reach = 7 if lag_year else 3
+    fan = cell.select("area", "_s", "_null", "_q", F.explode(F.sequence(F.col("_q"), F.col("_q") + reach)).alias("q"))
+    now = F.col("q") - F.col("_q") <= 3
+
+    def complete(part: Column) -> Column:
+        ok = (F.count_if(part) == 4) & (F.sum(F.when(part, F.col("_null"))) == 0)
+        return F.when(ok, F.sum(F.when(part, F.col("_s"))))
+
+    aggs = [complete(now).alias("value"), F.count_if(now).alias("_n")]
+    if lag_year:
+        aggs.append(complete(~now).alias("before"))
+    have = _published(df, P.quarter_index("period"))
     return (
-        cell.select("area", "_s", "_null", fan).groupBy("area", "q")
-        .agg(F.count(F.lit(1)).alias("_have"), F.sum("_s").alias("_s"), F.sum("_null").alias("_null"))
-        .join(ends.select("q"), "q")
-        .select("area", "q", F.when((F.col("_have") == 4) & (F.col("_null") == 0), F.col("_s")).alias("value"))
+        fan.groupBy("area", "q").agg(*aggs).filter(F.col("_n") > 0).drop("_n")
+        .filter(_has_all(have, F.col("q") - reach, F.col("q")))
     )
 
 
@@ -224,23 +242,16 @@ def _rolling_label(q: Column) -> Column:
     return P.window_label(P.quarter_label(q - 3), P.quarter_label(q))
 
 
-def _denominator(den: DataFrame, ends: DataFrame, candidates: list[Column]) -> DataFrame:
-    """As-of choice of the denominator's period, one per window end for the whole table: the
-    first candidate that the denominator table has at all."""
-    have = den.select(F.col("period").alias("_dp")).distinct()
-    ranked = ends.select("q", F.posexplode(F.array(*candidates)).alias("_pref", "_dp"))
-    chosen = ranked.join(have, "_dp").groupBy("q").agg(F.min_by("_dp", "_pref").alias("period"))
-    return sum_by_area(den, "area", "period").join(chosen, "period").select("area", "q", F.col("value").alias("_d"))
-
-
 def _rolling_rate(cubes: dict[str, Cube], spec: IndicatorSpec, candidates: list[Column]) -> DataFrame:
+    """Rolling sums over an as-of denominator: for each window end the first candidate
+    period that the denominator table has at all, the same one for every area."""
     cur = rolling_sums(selected(cubes["num"], spec.select))
-    den_cells = selected(cubes["den"], spec.den_select)
-    ends = cur.select("q").distinct()
-    den = _denominator(den_cells, ends, candidates)
-    has_den = den.select("q").distinct()
+    den = selected(cubes["den"], spec.den_select)
+    have = _published(den, F.col("period"))
+    chosen = F.get(F.array_intersect(F.array(*candidates), have), 0)
+    per_area = sum_by_area(den, "area", "period").select("area", F.col("period").alias("_dp"), F.col("value").alias("_d"))
     return (
-        cur.join(has_den, "q", "left_semi").join(den, ["area", "q"], "left")
+        cur.withColumn("_dp", chosen).filter(F.col("_dp").isNotNull()).join(per_area, ["area", "_dp"], "left")
         .select(
             "area", _rolling_label(F.col("q")).alias("period"),
             F.when(_nonzero(F.col("_d")), F.col("value") / F.col("_d") * 1000).alias("value"),
@@ -262,15 +273,10 @@ def rolling4q_per_1000_dwellings(cubes: dict[str, Cube], spec: IndicatorSpec) ->
 
 
 def rolling4q_yoy_pct(cubes: dict[str, Cube], spec: IndicatorSpec) -> DataFrame:
-    cur = rolling_sums(selected(cubes["num"], spec.select))
-    old = cur.select("area", (F.col("q") + 4).alias("q"), F.col("value").alias("_v"))
-    both = cur.select("q").distinct().join(old.select("q").distinct(), "q")
-    return (
-        cur.join(both, "q", "left_semi").join(old, ["area", "q"], "left")
-        .select(
-            "area", F.concat(_rolling_label(F.col("q")), F.lit(" vs 4Q before")).alias("period"),
-            F.when(_nonzero(F.col("_v")), (F.col("value") / F.col("_v") - 1) * 100).alias("value"),
-        )
+    cur = rolling_sums(selected(cubes["num"], spec.select), lag_year=True)
+    return cur.select(
+        "area", F.concat(_rolling_label(F.col("q")), F.lit(" vs 4Q before")).alias("period"),
+        F.when(_nonzero(F.col("before")), (F.col("value") / F.col("before") - 1) * 100).alias("value"),
     )
 
 

@@ -62,25 +62,28 @@ def _box_near(a: Column, b: Column) -> Column:
     return F.sqrt(dy * dy + flat * flat) * (_LOW * 0.999)
 
 
-def single_linkage(points: DataFrame, group: Sequence[str], radius_m: float, max_lat: float = 60.0) -> DataFrame:
+def single_linkage(points: DataFrame, group: Sequence[str], radius_m: Column | float, max_lat: float = 60.0) -> DataFrame:
     """Points (id, lat, lon, group...) with ``component``: chains of steps up to the radius
-    inside a group. Latitudes are expected on one hemisphere, below ``max_lat``.
+    inside a group. The radius may depend on the group. Latitudes are expected on one
+    hemisphere, below ``max_lat``.
 
     Tiles small enough that all their points are linked become the nodes, so a crowded spot
     is one node instead of all its pairs. Two tiles are linked when boxes of their sub-tiles
     prove it; only sub-tile pairs that boxes cannot decide go down to points.
     """
     keys = list(group)
-    side = radius_m / math.sqrt(2) / _HIGH
-    sub = side / _SUB
+    radius = radius_m if isinstance(radius_m, Column) else F.lit(float(radius_m))
+    sub = radius / (math.sqrt(2) * _HIGH * _SUB)
     reach_y = math.ceil(math.sqrt(2) * _HIGH / _LOW)
     reach_x = math.ceil(math.sqrt(2) * _HIGH / _LOW / math.cos(math.radians(max_lat)))
     # sub-tiles are counted first and tiles follow from them, so the two always agree
     sy, sx = F.floor(F.col("lat") / sub), F.floor(F.col("lon") / sub)
-    tiled = points.withColumns({"sy": sy, "sx": sx}).withColumns(
+    tiled = points.withColumns({"sy": sy, "sx": sx, "_r": radius}).withColumns(
         {"ty": F.floor(F.col("sy") / _SUB), "tx": F.floor(F.col("sx") / _SUB)}
     )
-    subs = tiled.groupBy(*keys, "ty", "tx", "sy", "sx").agg(
+    # read several times below, and whatever produced the points may be a long job
+    tiled = cut_lineage(tiled)
+    subs = tiled.groupBy(*keys, "_r", "ty", "tx", "sy", "sx").agg(
         F.min("id").alias("first"), F.struct(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e")).alias("box")
     )
     # the same id may occur in several groups, so a node's name carries its group
@@ -91,21 +94,21 @@ def single_linkage(points: DataFrame, group: Sequence[str], radius_m: float, max
     here = located.select(*keys, F.col("ty").alias("jy"), F.col("tx").alias("jx"), F.col("node").alias("b"), F.col("box").alias("box_b"),
                           F.col("sy").alias("sy_b"), F.col("sx").alias("sx_b"))
     there = located.withColumn("d", shift).select(
-        *keys, (F.col("ty") + F.col("d.y")).alias("jy"), (F.col("tx") + F.col("d.x")).alias("jx"), F.col("node").alias("a"),
+        *keys, "_r", (F.col("ty") + F.col("d.y")).alias("jy"), (F.col("tx") + F.col("d.x")).alias("jx"), F.col("node").alias("a"),
         F.col("box").alias("box_a"), F.col("sy").alias("sy_a"), F.col("sx").alias("sx_a"))
-    pairs = there.join(here, [*keys, "jy", "jx"]).filter(_box_near(F.col("box_a"), F.col("box_b")) <= radius_m)
-    sure = pairs.filter(_box_far(F.col("box_a"), F.col("box_b")) <= radius_m).select("a", "b").distinct()
-    open_pairs = pairs.join(sure, ["a", "b"], "left_anti").select(*keys, "a", "b", "sy_a", "sx_a", "sy_b", "sx_b")
+    pairs = there.join(here, [*keys, "jy", "jx"]).filter(_box_near(F.col("box_a"), F.col("box_b")) <= F.col("_r"))
+    sure = pairs.filter(_box_far(F.col("box_a"), F.col("box_b")) <= F.col("_r")).select("a", "b").distinct()
+    open_pairs = pairs.join(sure, ["a", "b"], "left_anti").select(*keys, "_r", "a", "b", "sy_a", "sx_a", "sy_b", "sx_b")
     spots = tiled.select(*keys, "sy", "sx", "lat", "lon").distinct()
     pa = spots.select(*keys, F.col("sy").alias("sy_a"), F.col("sx").alias("sx_a"), F.col("lat").alias("la"), F.col("lon").alias("oa"))
     pb = spots.select(*keys, F.col("sy").alias("sy_b"), F.col("sx").alias("sx_b"), F.col("lat").alias("lb"), F.col("lon").alias("ob"))
     close = (
         open_pairs.join(pa, [*keys, "sy_a", "sx_a"]).join(pb, [*keys, "sy_b", "sx_b"])
-        .filter(G.haversine(F.col("la"), F.col("oa"), F.col("lb"), F.col("ob")) <= radius_m).select("a", "b").distinct()
+        .filter(G.haversine(F.col("la"), F.col("oa"), F.col("lb"), F.col("ob")) <= F.col("_r")).select("a", "b").distinct()
     )
     comp = components(nodes.select(F.col("node").alias("id")).distinct(), sure.unionByName(close))
     placed = nodes.join(comp.withColumnRenamed("id", "node"), "node").drop("node").withColumn("component", F.col("component.id"))
-    return tiled.drop("sy", "sx").join(placed, [*keys, "ty", "tx"]).drop("ty", "tx")
+    return tiled.drop("sy", "sx", "_r").join(placed, [*keys, "ty", "tx"]).drop("ty", "tx")
 
 
 def cluster_summary(clustered: DataFrame, group: Sequence[str], name: str) -> DataFrame:

@@ -36,18 +36,8 @@ def stations(stops: DataFrame, modes: DataFrame, radius_by_mode: dict[str, float
     pts = named.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).join(modes, "stop_id").select(
         F.col("stop_id").alias("id"), "key", "mode", "lat", "lon", X.display_name(F.col("stop_name")).alias("shown")
     )
-    by_radius: dict[float, list[str]] = {}
-    for m, r in radius_by_mode.items():
-        by_radius.setdefault(r, []).append(m)
-    others = ~F.col("mode").isin(list(radius_by_mode))
-    by_radius.setdefault(default_radius, [])
-    out = None
-    for r, ms in by_radius.items():
-        mine = F.col("mode").isin(ms) if ms else F.lit(False)
-        part = pts.filter(mine | others if r == default_radius else mine)
-        c = graph.single_linkage(part, ["key", "mode"], r)
-        out = c if out is None else out.unionByName(c)
-    return out
+    radius = F.coalesce(K.lookup("mode", radius_by_mode), F.lit(default_radius))
+    return graph.single_linkage(pts, ["key", "mode"], radius)
 
 
 def station_points(clustered: DataFrame) -> DataFrame:

@@ -225,7 +225,7 @@ SELECT area, period, round(value, 6) AS value, 1 + less AS peer_rank, total AS p
 def peer_rank_percentile_rolling_rate(spark, sf):
     """Flagship: scan, select, rolling completeness, as-of denominator, rank and percentile."""
     cubes = {"num": T.order_cube(spark, sf), "den": T.population_cube(spark, sf)}
-    s = C.series(cubes, SPEC_POP).filter(F.col("value").isNotNull())
+    s = C.series(cubes, SPEC_POP).filter(F.col("value").isNotNull()).persist()  # areas x periods, read per position step
     p = R.attach_positions(s, ["period"], "value")
     d = F.lit(SPEC_POP.direction)
     return p.select(

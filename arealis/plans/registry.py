@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["indicators", "peers", "spatial", "shapes", "services"]
+MODULES = ["indicators", "peers", "spatial", "shapes", "services", "registers", "projections"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}

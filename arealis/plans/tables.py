@@ -27,7 +27,7 @@ def year_quarter(ts: str) -> Column:
 def orders_by_customer(spark: SparkSession, sf: str) -> DataFrame:
     """Orders with the customer's nation as area code."""
     o = table(spark, sf, "orders")
-    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     return o.join(c, o.o_custkey == c.c_custkey)
 
 
