@@ -155,11 +155,11 @@ def score(pairs: DataFrame, by: Sequence[str], column: str = "forecast") -> Data
 
 
 def backtest_summary(pairs: DataFrame, by: Sequence[str] = ("level", "horizon")) -> DataFrame:
-    """Scores of forecast and baseline side by side and the skill of one over the other."""
-    f = score(pairs, by)
-    b = score(pairs, by, "baseline").select(*by, F.col("mape").alias("baseline_mape"))
-    return f.join(b, list(by)).withColumn(
-        "skill", F.when((F.col("mape") > 0) & (F.col("baseline_mape") > 0), (1 - F.col("mape") / F.col("baseline_mape")) * 100))
+    """Scores of the forecast, the baseline's error, and the skill of one over the other."""
+    base = F.abs(F.col("baseline") - F.col("actual")) / F.col("actual") * 100
+    b = pairs.groupBy(*by).agg(F.avg(base).alias("baseline_mape"))
+    both = (F.col("mape") > 0) & (F.col("baseline_mape") > 0)
+    return score(pairs, by).join(b, list(by)).withColumn("skill", F.when(both, (1 - F.col("mape") / F.col("baseline_mape")) * 100))
 
 
 def backtest_areas(pairs: DataFrame, line_horizon: int, min_vintages: int = 3) -> DataFrame:

@@ -162,7 +162,8 @@ def backtest_pairs(spark, sf):
     h = F.explode(F.array(*[F.lit(i) for i in (0, 1, 3, 5)])).alias("h")
     fc = act.filter("year <= 1999").select(F.col("year").alias("vintage"), "code", "level", "k", "value", h).select(
         "vintage", "code", "level", (F.col("vintage") + F.col("h")).alias("year"), (F.col("value") * (1 + F.col("h") * (F.col("k") % 5 - 2) / 100)).alias("value"))
-    return J.forecast_pairs(fc, act, [0, 1, 3, 5])
+    # areas x vintages x horizons, read by every score
+    return J.forecast_pairs(fc, act, [0, 1, 3, 5]).persist()
 
 
 @query(f"WITH {BACKTEST} SELECT CAST(vintage AS INTEGER) AS vintage, horizon, code, level, round(forecast, 6) AS forecast, actual, round(baseline, 6) AS baseline FROM pr")

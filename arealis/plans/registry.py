@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["indicators", "peers", "spatial", "shapes", "services", "registers", "projections"]
+MODULES = ["indicators", "peers", "spatial", "shapes", "services", "registers", "projections", "exports"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
