@@ -93,7 +93,8 @@ def export_values(spark, sf):
     keys = indicators(spark, sf).select(F.col("key").alias("ikey"))
     j = v.withColumn("_par", F.explode(F.array(F.lit(0), F.lit(1)))).join(keys.withColumn("_par", n % 2), "_par")
     keep = ((F.col("level") == "nation") & (F.col("code").cast("int") % 2 == F.col("_par"))) | ((F.col("level") == "region") & (n % 3 != 0))
-    return j.filter(keep).select("level", "code", F.col("ikey").alias("key"), "period", (F.col("value") * (n + 1)).alias("value"))
+    # areas x indicators x periods, read by every step of the inheritance
+    return j.filter(keep).select("level", "code", F.col("ikey").alias("key"), "period", (F.col("value") * (n + 1)).alias("value")).persist()
 
 
 def export_areas(spark, sf):
