@@ -24,8 +24,9 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     e = cut_lineage(e)
-    seen = None
     for _ in range(max_rounds):
+        if _is_star_forest(e):
+            break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
         large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -35,10 +36,6 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
             .unionByName(down.select("a", F.col("m").alias("b"))).distinct()
         )
         e = cut_lineage(small)
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
-            break
-        seen = tuple(state)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(e.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").withColumn(
@@ -46,6 +43,15 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     )
 
 
+def _is_star_forest(e: DataFrame) -> bool:
+    """Every node is either a root or points at exactly one root."""
+    ends = e.select(F.col("a").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("root")).unionByName(
+        e.select(F.col("b").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("root"))
+    )
+    per = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("root").alias("root"))
+    return per.filter((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("root") > 0))).isEmpty()
+
+
 def _box_far(a: Column, b: Column) -> Column:
     """Upper bound of the distance between any two points of two boxes."""
     dy = F.greatest(a.n, b.n) - F.least(a.s, b.s)
@@ -86,9 +92,10 @@ def single_linkage(points: DataFrame, group: Sequence[str], radius_m: Column | f
     subs = tiled.groupBy(*keys, "_r", "ty", "tx", "sy", "sx").agg(
         F.min("id").alias("first"), F.struct(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e")).alias("box")
     )
-    # the same id may occur in several groups, so a node's name carries its group
-    nodes = subs.groupBy(*keys, "ty", "tx").agg(F.struct(*keys, F.min("first").alias("id")).alias("node"))
-    located = subs.join(nodes, [*keys, "ty", "tx"])
+    # numbered once and checkpointed: an id may occur in several groups, and plain numbers
+    # travel lighter than names through the rounds below
+    nodes = cut_lineage(subs.groupBy(*keys, "ty", "tx").agg(F.min("first").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    located = subs.join(nodes.drop("first"), [*keys, "ty", "tx"])
     offsets = [(dy, dx) for dy in range(-reach_y, reach_y + 1) for dx in range(-reach_x, reach_x + 1) if (dy, dx) > (0, 0)]
     shift = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in offsets]))
     here = located.select(*keys, F.col("ty").alias("jy"), F.col("tx").alias("jx"), F.col("node").alias("b"), F.col("box").alias("box_b"),
@@ -106,8 +113,10 @@ def single_linkage(points: DataFrame, group: Sequence[str], radius_m: Column | f
         open_pairs.join(pa, [*keys, "sy_a", "sx_a"]).join(pb, [*keys, "sy_b", "sx_b"])
         .filter(G.haversine(F.col("la"), F.col("oa"), F.col("lb"), F.col("ob")) <= F.col("_r")).select("a", "b").distinct()
     )
-    comp = components(nodes.select(F.col("node").alias("id")).distinct(), sure.unionByName(close))
-    placed = nodes.join(comp.withColumnRenamed("id", "node"), "node").drop("node").withColumn("component", F.col("component.id"))
+    comp = components(nodes.select(F.col("node").alias("id")), sure.unionByName(close))
+    member = nodes.join(comp.select(F.col("id").alias("node"), F.col("component").alias("_c")), "node")
+    label = member.groupBy("_c").agg(F.min("first").alias("component"))
+    placed = member.join(label, "_c").select(*keys, "ty", "tx", "component")
     return tiled.drop("sy", "sx", "_r").join(placed, [*keys, "ty", "tx"]).drop("ty", "tx")
 
 

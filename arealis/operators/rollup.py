@@ -50,35 +50,39 @@ def _pct(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.when(whole > 0, F.round(part / whole * 100, digits))
 
 
-def _bins(cls: Column) -> Column:
-    return F.array(*[F.count_if(cls == i) for i in range(4)])
-
-
 def stock_profile(units: DataFrame, levels: dict[str, str]) -> DataFrame:
     """Building-stock profile per level and area.
 
     units: building, tenure ('1' rented, '2' owned, '3' vacant), m2, rooms, built, use, plus
-    one column per level. Exact distinct buildings come from the two-step distinct aggregate
-    Spark plans, so no set of buildings is held per area.
+    one column per level. Units are added up per building first, so what is repeated per level
+    and shuffled again is a row per building, and distinct buildings are counted exactly by
+    counting those rows.
     """
-    u = at_levels(units, levels)
     known = F.col("tenure").isin("1", "2", "3")
     m2, year = F.col("m2"), F.col("built")
     has_m2, has_year = m2 > 0, (year > 1000) & (year <= 2100)
     typed = F.coalesce("use", F.lit("")) != ""
-    n, m2n = F.count(F.lit(1)), F.count_if(has_m2)
-    bld = F.countDistinct("building")
-    return u.groupBy("level", "code").agg(
-        n.alias("n"), bld.alias("n_bld"),
-        _pct(F.count_if(F.col("tenure") == "1"), F.count_if(known)).alias("renters_pct"),
-        _pct(F.count_if(F.col("tenure") == "3"), F.count_if(known)).alias("vacant_pct"),
-        F.when(m2n > 0, F.round(F.sum(F.when(has_m2, m2)) / m2n, 1)).alias("avg_m2"),
-        _pct(F.count_if(has_m2 & (m2 < 50)), m2n).alias("small_pct"),
-        _pct(F.count_if(has_year & (year >= 2010)), F.count_if(has_year)).alias("new_pct"),
-        _pct(F.count_if(F.col("use") == "140"), F.count_if(typed)).alias("flats_pct"),
-        F.when(bld > 0, F.round(n / bld, 1)).alias("dw_per_bld"),
-        _bins(K.rooms_class(F.col("rooms"))).alias("rooms_bins"), _bins(K.built_class(year)).alias("built_bins"),
-        _bins(K.size_class(m2)).alias("size_bins"), _bins(K.building_type_class(F.col("use"))).alias("type_bins"),
+    sums = {
+        "n": F.count(F.lit(1)), "known": F.count_if(known), "rent": F.count_if(F.col("tenure") == "1"), "vac": F.count_if(F.col("tenure") == "3"),
+        "m2n": F.count_if(has_m2), "m2sum": F.sum(F.when(has_m2, m2)), "small": F.count_if(has_m2 & (m2 < 50)),
+        "yearn": F.count_if(has_year), "new": F.count_if(has_year & (year >= 2010)), "typen": F.count_if(typed), "flats": F.count_if(F.col("use") == "140"),
+    }
+    classes = {"rooms": K.rooms_class(F.col("rooms")), "built": K.built_class(year), "size": K.size_class(m2), "type": K.building_type_class(F.col("use"))}
+    # classes are worked out once per unit, then only counted
+    classed = units.withColumns({f"_{k}": c for k, c in classes.items()})
+    sums |= {f"{k}{i}": F.count_if(F.col(f"_{k}") == i) for k in classes for i in range(4)}
+    own = classed.groupBy("building", *dict.fromkeys(levels.values())).agg(*[v.alias(f"s_{k}") for k, v in sums.items()])
+    add = [F.sum(f"s_{k}").alias(f"s_{k}") for k in sums]
+    per_building = at_levels(own, levels).groupBy("level", "code", "building").agg(*add)
+    a = per_building.groupBy("level", "code").agg(F.count("building").alias("n_bld"), *add)
+    s = lambda k: F.col(f"s_{k}")
+    return a.select(
+        "level", "code", s("n").alias("n"), "n_bld",
+        _pct(s("rent"), s("known")).alias("renters_pct"), _pct(s("vac"), s("known")).alias("vacant_pct"),
+        F.when(s("m2n") > 0, F.round(s("m2sum") / s("m2n"), 1)).alias("avg_m2"), _pct(s("small"), s("m2n")).alias("small_pct"),
+        _pct(s("new"), s("yearn")).alias("new_pct"), _pct(s("flats"), s("typen")).alias("flats_pct"),
+        F.when(F.col("n_bld") > 0, F.round(s("n") / F.col("n_bld"), 1)).alias("dw_per_bld"),
+        *[F.array(*[s(f"{k}{i}") for i in range(4)]).alias(f"{k}_bins") for k in classes],
     )
 
 
