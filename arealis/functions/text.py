@@ -1,5 +1,5 @@
 """Name keys. Unicode normalisation is the one thing Spark has no built-in for, so it is
-the one Arrow UDF of the package, and plain ASCII names never reach it."""
+the one Arrow UDF of the package, and plain ASCII text is not sent to it."""
 
 from __future__ import annotations
 
@@ -33,16 +33,11 @@ def _normaliser(form: str):
 def with_unicode_form(df: DataFrame, source: str, target: str, form: str = "NFC") -> DataFrame:
     """``target`` holds ``source`` in the given Unicode form.
 
-    Distinct non-ASCII spellings alone go through the UDF: names repeat far more often
-    than they differ, so the Python work is per spelling, not per row.
+    Plain ASCII text is its own normal form, so it goes to the Python side as a null and
+    costs next to nothing there; no shuffle is involved.
     """
-    odd = df.filter(F.col(source).rlike(r"[^\x00-\x7F]")).select(F.col(source).alias("_u_raw")).distinct()
-    table = odd.select("_u_raw", _normaliser(form)(F.col("_u_raw")).alias("_u_form"))
-    return (
-        df.join(table, F.col(source) == F.col("_u_raw"), "left")
-        .withColumn(target, F.coalesce("_u_form", F.col(source)))
-        .drop("_u_raw", "_u_form")
-    )
+    odd = F.when(F.col(source).rlike(r"[^\x00-\x7F]"), F.col(source))
+    return df.withColumn(target, F.coalesce(_normaliser(form)(odd), F.col(source)))
 
 
 def stop_name_key(x: Column) -> Column:

@@ -12,7 +12,8 @@ from ..functions import geometry as G
 from ..session import cut_lineage
 
 _LOW, _HIGH = 111100.0, 111400.0  # bounds on metres per degree of latitude
-_SUB = 8  # sub-tiles per tile side
+_SUB = 8  # each step of refinement cuts a side into this many
+_DEPTH = 2  # steps of refinement before single points are compared
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -75,49 +76,69 @@ def single_linkage(points: DataFrame, group: Sequence[str], radius_m: Column | f
 
     Tiles small enough that all their points are linked become the nodes, so a crowded spot
     is one node instead of all its pairs. Two tiles are linked when boxes of their sub-tiles
-    prove it; only sub-tile pairs that boxes cannot decide go down to points.
+    prove it. Sub-tile pairs that boxes cannot decide are cut finer, and only what is still
+    open then is compared point by point, on distinct coordinates.
     """
     keys = list(group)
     radius = radius_m if isinstance(radius_m, Column) else F.lit(float(radius_m))
-    sub = radius / (math.sqrt(2) * _HIGH * _SUB)
-    reach_y = math.ceil(math.sqrt(2) * _HIGH / _LOW)
-    reach_x = math.ceil(math.sqrt(2) * _HIGH / _LOW / math.cos(math.radians(max_lat)))
-    # sub-tiles are counted first and tiles follow from them, so the two always agree
-    sy, sx = F.floor(F.col("lat") / sub), F.floor(F.col("lon") / sub)
-    tiled = points.withColumns({"sy": sy, "sx": sx, "_r": radius}).withColumns(
-        {"ty": F.floor(F.col("sy") / _SUB), "tx": F.floor(F.col("sx") / _SUB)}
-    )
+    finest = radius / (math.sqrt(2) * _HIGH * _SUB**_DEPTH)
+    # the finest grid is counted once and coarser ones follow from it, so all levels agree
+    grid = {f"y{_DEPTH}": F.floor(F.col("lat") / finest), f"x{_DEPTH}": F.floor(F.col("lon") / finest), "_r": radius}
+    tiled = points.withColumns(grid)
+    for d in range(_DEPTH - 1, -1, -1):
+        tiled = tiled.withColumns({f"{c}{d}": F.floor(F.col(f"{c}{d + 1}") / _SUB) for c in "yx"})
     # read several times below, and whatever produced the points may be a long job
     tiled = cut_lineage(tiled)
-    subs = tiled.groupBy(*keys, "_r", "ty", "tx", "sy", "sx").agg(
-        F.min("id").alias("first"), F.struct(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e")).alias("box")
-    )
+    own = lambda d: [f"y{d}", f"x{d}"]
     # numbered once and checkpointed: an id may occur in several groups, and plain numbers
     # travel lighter than names through the rounds below
-    nodes = cut_lineage(subs.groupBy(*keys, "ty", "tx").agg(F.min("first").alias("first")).withColumn("node", F.monotonically_increasing_id()))
-    located = subs.join(nodes.drop("first"), [*keys, "ty", "tx"])
-    offsets = [(dy, dx) for dy in range(-reach_y, reach_y + 1) for dx in range(-reach_x, reach_x + 1) if (dy, dx) > (0, 0)]
-    shift = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in offsets]))
-    here = located.select(*keys, F.col("ty").alias("jy"), F.col("tx").alias("jx"), F.col("node").alias("b"), F.col("box").alias("box_b"),
-                          F.col("sy").alias("sy_b"), F.col("sx").alias("sx_b"))
-    there = located.withColumn("d", shift).select(
-        *keys, "_r", (F.col("ty") + F.col("d.y")).alias("jy"), (F.col("tx") + F.col("d.x")).alias("jx"), F.col("node").alias("a"),
-        F.col("box").alias("box_a"), F.col("sy").alias("sy_a"), F.col("sx").alias("sx_a"))
-    pairs = there.join(here, [*keys, "jy", "jx"]).filter(_box_near(F.col("box_a"), F.col("box_b")) <= F.col("_r"))
-    sure = pairs.filter(_box_far(F.col("box_a"), F.col("box_b")) <= F.col("_r")).select("a", "b").distinct()
-    open_pairs = pairs.join(sure, ["a", "b"], "left_anti").select(*keys, "_r", "a", "b", "sy_a", "sx_a", "sy_b", "sx_b")
-    spots = tiled.select(*keys, "sy", "sx", "lat", "lon").distinct()
-    pa = spots.select(*keys, F.col("sy").alias("sy_a"), F.col("sx").alias("sx_a"), F.col("lat").alias("la"), F.col("lon").alias("oa"))
-    pb = spots.select(*keys, F.col("sy").alias("sy_b"), F.col("sx").alias("sx_b"), F.col("lat").alias("lb"), F.col("lon").alias("ob"))
-    close = (
-        open_pairs.join(pa, [*keys, "sy_a", "sx_a"]).join(pb, [*keys, "sy_b", "sx_b"])
-        .filter(G.haversine(F.col("la"), F.col("oa"), F.col("lb"), F.col("ob")) <= F.col("_r")).select("a", "b").distinct()
+    nodes = cut_lineage(
+        tiled.groupBy(*keys, "_r", *own(0)).agg(F.min("id").alias("first")).withColumn("node", F.monotonically_increasing_id())
     )
-    comp = components(nodes.select(F.col("node").alias("id")), sure.unionByName(close))
+
+    def boxes(d: int) -> DataFrame:
+        """Extent of the points of every cell of a level, with the cell it lies in."""
+        return tiled.groupBy(*keys, *own(d - 1), *own(d)).agg(
+            F.struct(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e")).alias("box"))
+
+    def side(df: DataFrame, up: int, tag: str, *keep: str) -> DataFrame:
+        """Columns of one side of a pair: the cell of level ``up`` keeps its name as join key."""
+        return df.select(*keys, *[F.col(c).alias(f"{c}_{tag}") for c in (*own(up), *keep)])
+
+    reach_y = math.ceil(math.sqrt(2) * _HIGH / _LOW)
+    reach_x = math.ceil(math.sqrt(2) * _HIGH / _LOW / math.cos(math.radians(max_lat)))
+    steps = [(y, x) for y in range(reach_y + 1) for x in range(-reach_x, reach_x + 1) if (y, x) > (0, 0)]
+    shift = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in steps]))
+    plain = nodes.drop("first")
+    there = plain.withColumn("d", shift).select(
+        *keys, "_r", F.col("node").alias("a"), F.col("y0").alias("y0_a"), F.col("x0").alias("x0_a"),
+        (F.col("y0") + F.col("d.y")).alias("y0_b"), (F.col("x0") + F.col("d.x")).alias("x0_b"))
+    here = plain.select(*keys, F.col("node").alias("b"), F.col("y0").alias("y0_b"), F.col("x0").alias("x0_b"))
+    open_pairs = there.join(here, [*keys, "y0_b", "x0_b"])
+    links = None
+    for d in range(1, _DEPTH + 1):
+        bx = boxes(d)
+        up = [f"{c}{d - 1}_{t}" for t in "ab" for c in "yx"]
+        pairs = open_pairs.select(*keys, "_r", "a", "b", *up)
+        for t in "ab":
+            pairs = pairs.join(side(bx, d - 1, t, *own(d), "box"), [*keys, *up[:2]] if t == "a" else [*keys, *up[2:]])
+        pairs = pairs.filter(_box_near(F.col("box_a"), F.col("box_b")) <= F.col("_r"))
+        sure = pairs.filter(_box_far(F.col("box_a"), F.col("box_b")) <= F.col("_r")).select("a", "b").distinct()
+        open_pairs = pairs.join(sure, ["a", "b"], "left_anti").drop("box_a", "box_b")
+        links = sure if links is None else links.unionByName(sure)
+    last = [f"{c}{_DEPTH}_{t}" for t in "ab" for c in "yx"]
+    spots = tiled.select(*keys, *own(_DEPTH), "lat", "lon").distinct()
+    close = open_pairs.select(*keys, "_r", "a", "b", *last)
+    for t in "ab":
+        close = close.join(side(spots, _DEPTH, t, "lat", "lon"), [*keys, *last[:2]] if t == "a" else [*keys, *last[2:]])
+    near = G.haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) <= F.col("_r")
+    links = links.unionByName(close.filter(near).select("a", "b"))
+    comp = components(nodes.select(F.col("node").alias("id")), links)
     member = nodes.join(comp.select(F.col("id").alias("node"), F.col("component").alias("_c")), "node")
     label = member.groupBy("_c").agg(F.min("first").alias("component"))
-    placed = member.join(label, "_c").select(*keys, "ty", "tx", "component")
-    return tiled.drop("sy", "sx", "_r").join(placed, [*keys, "ty", "tx"]).drop("ty", "tx")
+    placed = member.join(label, "_c").select(*keys, *own(0), "component")
+    cells = [c for d in range(_DEPTH + 1) for c in own(d)]
+    return tiled.join(placed, [*keys, *own(0)]).drop("_r", *cells)
 
 
 def cluster_summary(clustered: DataFrame, group: Sequence[str], name: str) -> DataFrame:

@@ -25,11 +25,15 @@ def _floor(x: Column, cell: float) -> Column:
 
 
 def ring_edge_rows(polygons: DataFrame, code: str = "code", polygon: str = "polygon") -> DataFrame:
-    """(code, part, ring, e): one row per edge; ring 0 is a part's outer ring."""
+    """(code, feat, part, ring, e): one row per edge; ring 0 is a part's outer ring.
+
+    An area may come as several features; equal features are taken once.
+    """
+    features = polygons.groupBy(F.col(code).alias("code"), F.xxhash64(polygon).alias("feat")).agg(F.first(polygon).alias("_p"))
     return (
-        polygons.select(F.col(code).alias("code"), F.posexplode(polygon).alias("part", "_rings"))
-        .select("code", "part", F.posexplode("_rings").alias("ring", "_pts"))
-        .select("code", "part", "ring", F.explode(G.ring_edges(F.col("_pts"))).alias("e"))
+        features.select("code", "feat", F.posexplode("_p").alias("part", "_rings"))
+        .select("code", "feat", "part", F.posexplode("_rings").alias("ring", "_pts"))
+        .select("code", "feat", "part", "ring", F.explode(G.ring_edges(F.col("_pts"))).alias("e"))
     )
 
 
@@ -43,17 +47,17 @@ def area_index(polygons: DataFrame, cell: float, code: str = "code", polygon: st
         _floor(F.least(e.a_lat, e.b_lat) - pad_lat, cell), _floor(F.greatest(e.a_lat, e.b_lat) + pad_lat, cell)
     )
     strips = (
-        ring_edge_rows(polygons, code, polygon).select("code", "part", "ring", "e", F.explode(rows).alias("cy"))
-        .groupBy("code", "part", "ring", "cy")
+        ring_edge_rows(polygons, code, polygon).withColumn("cy", F.explode(rows))
+        .groupBy("code", "feat", "part", "ring", "cy")
         .agg(F.collect_list("e").alias("edges"), F.min(F.least(e.a_lon, e.b_lon)).alias("lo"), F.max(F.greatest(e.a_lon, e.b_lon)).alias("hi"))
     )
-    parts = strips.groupBy("code", "part", "cy").agg(
+    parts = strips.groupBy("code", "feat", "part", "cy").agg(
         F.max(F.when(F.col("ring") == 0, F.struct("edges"))).alias("rim"),
         F.collect_list(F.when(F.col("ring") > 0, F.col("edges"))).alias("holes"),
         F.min("lo").alias("lo"), F.max("hi").alias("hi"),
     )
     cols = F.sequence(_floor(F.col("lo") - pad_lon, cell), _floor(F.col("hi") + pad_lon, cell))
-    cand = F.struct("code", "part", F.coalesce(F.col("rim.edges"), F.array().cast(_EDGES)).alias("rim"), "holes")
+    cand = F.struct("code", "feat", "part", F.coalesce(F.col("rim.edges"), F.array().cast(_EDGES)).alias("rim"), "holes")
     return (
         parts.select("cy", F.explode(cols).alias("cx"), cand.alias("c"))
         .groupBy("cy", "cx").agg(F.sort_array(F.collect_list("c")).alias("cands"))
@@ -354,9 +358,9 @@ def coverage(polygons: DataFrame, cell: float, code: str = "code", polygon: str
     mid = F.col("cy") * cell + half
     at = (e.b_lon - e.a_lon) * (mid - e.a_lat) / (e.b_lat - e.a_lat) + e.a_lon
     crossings = (
-        ring_edge_rows(polygons, code, polygon).select("code", "part", "e", F.explode(rows).alias("cy"))
+        ring_edge_rows(polygons, code, polygon).withColumn("cy", F.explode(rows))
         .filter((e.a_lat > mid) != (e.b_lat > mid))
-        .groupBy("code", "part", "cy").agg(F.sort_array(F.collect_list(at)).alias("xs"))
+        .groupBy("code", "feat", "part", "cy").agg(F.sort_array(F.collect_list(at)).alias("xs"))
     )
     pairs = F.explode(F.sequence(F.lit(0), (F.floor(F.size("xs") / 2) - 1).cast("int"))).alias("i")
     spans = crossings.filter(F.size("xs") >= 2).select("code", "cy", "xs", pairs)

@@ -126,7 +126,8 @@ def duplicate_cells(spark, sf):
 
 @query("SELECT o_orderkey AS code, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders")
 def union_of_chunks_without_duplicates(spark, sf):
-    """Chunks of one pull united; a cell in two chunks would stop the job."""
+    """Chunks of one pull united; a cell in two chunks, or one the caller's own
+    predicate forbids, would stop the job."""
     o = T.table(spark, sf, "orders").select(F.col("o_orderkey").alias("code"), T.cents("o_totalprice").alias("cents"))
     return Q.union_refusing_duplicates([o.filter(F.col("code") % 2 == i) for i in (0, 1)], ["code"], forbidden=F.col("code") < 0)
 

@@ -33,7 +33,7 @@ SELECT hit.code, n_regionkey AS region, count(*) AS n, CAST(sum(cp.cents) AS BIG
 def point_in_polygon_two_levels(spark, sf):
     """Nation and region polygons in turn; points outside dropped, counts and sums per pair."""
     nat = T.nation_polygons(spark, sf)
-    reg = nat.groupBy("region").agg(F.flatten(F.collect_list("polygon")).alias("polygon")).withColumnRenamed("region", "code")
+    reg = nat.select(F.col("region").alias("code"), "polygon")
     pts = T.customer_points(spark, sf).select("id", "lat", "lon", "cents")
     hit = S.locate_levels(pts, {"nation": S.area_index(nat, CELL), "region": S.area_index(reg, CELL)}, CELL)
     return hit.filter(F.col("nation").isNotNull()).groupBy(F.col("nation").alias("code"), "region").agg(
@@ -75,6 +75,16 @@ def nearest_name_within(spark, sf):
     return rounded(S.nearest(c, s, 12000.0, "name", flat=True).select("id", "nearest_name", "dist"), "dist", digits=3)
 
 
+@query(f"""WITH {T.POINTS} SELECT 'customer' AS origin, 'k' || CAST(id AS VARCHAR) AS id, segment AS cat, round(lat, 6) AS lat, round(lon, 6) AS lon FROM cp
+UNION ALL SELECT 'supplier', 's' || CAST(id AS VARCHAR), code, round(lat, 6), round(lon, 6) FROM sp""")
+def point_sources_united(spark, sf):
+    """Point sources of different make in one schema."""
+    c, s = T.customer_points(spark, sf), T.supplier_points(spark, sf)
+    one = c.select(F.lit("customer").alias("origin"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("id"), F.col("segment").alias("cat"), "lat", "lon")
+    two = s.select(F.lit("supplier").alias("origin"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("id"), F.col("code").alias("cat"), "lat", "lon")
+    return rounded(one.unionByName(two), "lat", "lon")
+
+
 D_SC = T.haversine_sql("p.lat", "p.lon", "x.lat", "x.lon")
 PINS = "pins AS (SELECT n_nationkey AS pin, 54.9::DOUBLE + (n_nationkey * 7 % 25) / 10.0::DOUBLE AS lat, 8.4::DOUBLE + (n_nationkey * 11 % 25) / 4.0::DOUBLE AS lon FROM nation)"
 NEAR = f"""near AS (
@@ -137,8 +147,7 @@ HZ = "hz AS (SELECT * FROM (VALUES ('today', 0), ('2070', 1), ('2120', 2)) AS t(
 def zones(spark, sf):
     nat = T.nation_polygons(spark, sf).withColumn("k", F.col("code").cast("int") % 3)
     each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(i).alias("upto")) for i, h in enumerate(("today", "2070", "2120"))]))
-    z = nat.select("k", "polygon", each.alias("h")).filter(F.col("k") <= F.col("h.upto"))
-    return z.groupBy(F.col("h.horizon").alias("horizon")).agg(F.flatten(F.collect_list("polygon")).alias("polygon"))
+    return nat.select("k", "polygon", each.alias("h")).filter(F.col("k") <= F.col("h.upto")).select(F.col("h.horizon").alias("horizon"), "polygon")
 
 
 EXPO = f"""{T.POINTS}, {T.EDGES}, {T.inside_sql('cp', 'hit')}, {HZ},
