@@ -28,21 +28,22 @@ def _bucket(share: Column) -> Column:
 def positions(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """One row per (group, distinct non-null value): n equal, n_less below, n_total in all."""
     keys = list(group)
-    if not keys:
-        return positions(df.withColumn("_all", F.lit(0)), ["_all"], value).drop("_all")
     folded = (
         df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    span = folded.groupBy(*keys).agg(
-        F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"), F.sum("n").alias("n_total")
-    )
+    span = {"_lo": F.min(value).cast("double"), "_hi": F.max(value).cast("double"), "n_total": F.sum("n")}
+    if keys:
+        ranged = folded.join(folded.groupBy(*keys).agg(*[c.alias(k) for k, c in span.items()]), keys)
+    else:
+        ranged = folded.withColumns({k: folded.select(c).scalar() for k, c in span.items()})
     share = (F.col(value).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    placed = folded.join(span, keys).withColumn(
+    placed = ranged.withColumn(
         "_b", F.when(F.col("_hi") > F.col("_lo"), _bucket(share)).otherwise(F.lit(0).cast("long"))
     )
-    running = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    # the number of buckets per group is bounded, so this running sum is small whatever the group
+    running = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     before = (
         placed.groupBy(*keys, "_b").agg(F.sum("n").alias("_bn"))
         .withColumn("_below", F.sum("_bn").over(running) - F.col("_bn")).drop("_bn")

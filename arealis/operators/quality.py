@@ -102,12 +102,14 @@ def join_gap(projected: DataFrame, observed: DataFrame, keys: Sequence[str], yea
 def unknown_codes(config: DataFrame, code_list: DataFrame) -> DataFrame:
     """Configured codes (table, var, code) that the code list lacks, with the known codes of
     that variable that contain the same text as hints."""
-    known = code_list.select("table", "var", "code")
+    known = code_list.select("table", "var", "code").distinct()
     bad = config.select("table", "var", "code").distinct().join(known, ["table", "var", "code"], "left_anti")
-    hint = bad.withColumnRenamed("code", "wanted").join(known, ["table", "var"]).filter(
-        F.contains(F.lower("code"), F.lower("wanted")) | F.contains(F.lower("wanted"), F.lower("code"))
-    ).groupBy("table", "var", F.col("wanted").alias("code")).agg(F.array_join(F.sort_array(F.collect_set("code")), ",").alias("hints"))
-    return bad.join(hint, ["table", "var", "code"], "left")
+    # a variable's code list fits one array; hints are picked inside it instead of by pairs
+    lists = known.groupBy("table", "var").agg(F.sort_array(F.collect_set("code")).alias("_known"))
+    want = F.lower("code")
+    hints = F.filter("_known", lambda c: F.contains(F.lower(c), want) | F.contains(want, F.lower(c)))
+    return bad.join(lists, ["table", "var"], "left").select(
+        "table", "var", "code", F.when(F.size(hints) > 0, F.array_join(hints, ",")).alias("hints"))
 
 
 def formula_audit(indicators: DataFrame, formulas: DataFrame) -> DataFrame:

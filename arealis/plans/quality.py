@@ -92,15 +92,16 @@ def registry_formula_audit(spark, sf):
     return Q.formula_audit(nat.filter(n < 20).select(k), nat.filter(n > 2).select(k, F.when(n % 8 == 3, "rounded up").otherwise("").alias("assumption")))
 
 
-@query("""WITH kn AS (SELECT DISTINCT 'T1' AS "table", 'PRIO' AS var, o_orderpriority AS code FROM orders), cf AS (SELECT DISTINCT 'T1' AS "table", 'PRIO' AS var, CASE WHEN p_size % 3 = 0 THEN '1-URGENT' ELSE CASE p_type WHEN 'ECONOMY' THEN 'low' WHEN 'LARGE' THEN 'high' WHEN 'MEDIUM' THEN 'medium' ELSE p_type END END AS code FROM part),
-b AS (SELECT * FROM cf WHERE code NOT IN (SELECT code FROM kn))
-SELECT b."table", b.var, b.code, string_agg(kn.code, ',' ORDER BY kn.code) AS hints FROM b LEFT JOIN kn ON contains(lower(kn.code), lower(b.code)) OR contains(lower(b.code), lower(kn.code)) GROUP BY ALL""")
+@query("""WITH kn AS (SELECT DISTINCT 'T' || CAST(o_custkey % 2 AS VARCHAR) AS "table", 'PRIO' AS var, o_orderpriority AS code FROM orders), cf AS (SELECT DISTINCT 'T' || CAST(p_partkey % 3 AS VARCHAR) AS "table", 'PRIO' AS var, CASE WHEN p_size % 3 = 0 THEN '1-URGENT' ELSE CASE p_type WHEN 'ECONOMY' THEN 'low' WHEN 'LARGE' THEN 'high' WHEN 'MEDIUM' THEN 'medium' ELSE p_type END END AS code FROM part),
+b AS (SELECT * FROM cf WHERE NOT EXISTS (SELECT 1 FROM kn WHERE kn.code = cf.code AND kn."table" = cf."table"))
+SELECT b."table", b.var, b.code, string_agg(kn.code, ',' ORDER BY kn.code) AS hints FROM b LEFT JOIN kn ON kn."table" = b."table" AND (contains(lower(kn.code), lower(b.code)) OR contains(lower(b.code), lower(kn.code))) GROUP BY ALL""")
 def configured_codes_unknown(spark, sf):
     """Configured codes missing from the code list, with known codes as hints."""
-    known = T.table(spark, sf, "orders").select(F.lit("T1").alias("table"), F.lit("PRIO").alias("var"), F.col("o_orderpriority").alias("code")).distinct()
+    name = lambda c, n: F.concat(F.lit("T"), (F.col(c) % n).cast("string")).alias("table")
+    known = T.table(spark, sf, "orders").select(name("o_custkey", 2), F.lit("PRIO").alias("var"), F.col("o_orderpriority").alias("code"))
     t = F.col("p_type")
     code = F.when(F.col("p_size") % 3 == 0, "1-URGENT").otherwise(K.lookup(t, {"ECONOMY": "low", "LARGE": "high", "MEDIUM": "medium"}, t))
-    conf = T.table(spark, sf, "part").select(F.lit("T1").alias("table"), F.lit("PRIO").alias("var"), code.alias("code"))
+    conf = T.table(spark, sf, "part").select(name("p_partkey", 3), F.lit("PRIO").alias("var"), code.alias("code"))
     return Q.unknown_codes(conf, known)
 
 
