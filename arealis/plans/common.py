@@ -39,11 +39,10 @@ def indicator_values(spark: SparkSession, sf: str, levels: Sequence[str] = ("cus
 
     The customer-year sums are the only pass over the orders; the coarser levels add them up.
     """
-    o = T.orders_by_customer(spark, sf)
     n = T.table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
-    by_customer = o.groupBy(
-        F.col("o_custkey").alias("c"), F.col("c_nationkey").alias("n"), F.year("o_orderdate").cast("string").alias("period")
-    ).agg(F.sum(T.cents("o_totalprice")).alias("cents"), F.count(F.lit(1)).alias("cnt"))
+    by_customer = T.customer_totals(
+        spark, sf, {"period": F.year("o_orderdate").cast("string")}, {"cents": F.sum(T.cents("o_totalprice")), "cnt": F.count(F.lit(1))}
+    ).select(F.col("o_custkey").alias("c"), F.col("c_nationkey").alias("n"), "period", "cents", "cnt")
     by_nation = by_customer.groupBy("n", "period").agg(F.sum("cents").alias("cents"), F.sum("cnt").alias("cnt"))
     by_nation = by_nation.join(n, F.col("n") == F.col("n_nationkey"))
     by_region = by_nation.groupBy("n_regionkey", "period").agg(F.sum("cents").alias("cents"), F.sum("cnt").alias("cnt"))

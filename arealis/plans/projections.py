@@ -27,10 +27,9 @@ fo AS (SELECT code, year, CAST(sum(persons) AS BIGINT) AS total, {', '.join(f"CA
 
 def age_cells(spark, sf):
     """Single-year cells with zero-padded codes, an open-ended last one, and a total row."""
+    per = T.customer_totals(spark, sf, {"year": F.year("o_orderdate").cast("string")}, {"k": F.count(F.lit(1))})
     age = (F.col("o_custkey") * 7 % 101).cast("int")
-    by_age = T.orders_by_customer(spark, sf).groupBy(
-        F.col("c_nationkey").cast("string").alias("code"), F.year("o_orderdate").cast("string").alias("year"), age.alias("a")
-    ).agg(F.count(F.lit(1)).alias("persons"))
+    by_age = per.groupBy(T.nation_code().alias("code"), "year", age.alias("a")).agg(F.sum("k").alias("persons"))
     code = F.when(F.col("a") == 100, "100-").otherwise(F.lpad(F.col("a").cast("string"), 2, "0"))
     single = by_age.select("code", "year", code.alias("age"), "persons")
     return single.unionByName(by_age.groupBy("code", "year").agg(F.sum("persons").alias("persons")).withColumn("age", F.lit("TOT")))
@@ -134,12 +133,11 @@ al AS (SELECT code, short, ful, moved, p0, p1 FROM fl JOIN en USING (code) UNION
   CAST(p1 - p0 - moved AS BIGINT) AS gap, round((p1 - p0 - moved) / p0 * 1000, 6) AS gap_per_1000, abs(p1 - p0 - moved) <= greatest(25.0::DOUBLE, p0 * 0.01::DOUBLE) AS reconciles FROM al""")
 def net_migration_reconciled(spark, sf):
     """Migration over two windows, the city as the sum of parts, and the reconciliation flag."""
-    o = T.orders_by_customer(spark, sf)
-    p = F.col("o_orderpriority")
-    key = [F.col("c_nationkey").cast("string").alias("code"), F.year("o_orderdate").alias("year")]
+    o = T.customer_totals(spark, sf, {"year": F.year("o_orderdate"), "p": F.col("o_orderpriority")}, {"k": F.count(F.lit(1))})
+    p, key = F.col("p"), [T.nation_code().alias("code"), F.col("year")]
     moves = o.filter(p.isin("1-URGENT", "2-HIGH", "3-MEDIUM")).groupBy(*key, F.when(p == "1-URGENT", "natural").otherwise("migration").alias("kind")).agg(
-        F.sum(F.when(p == "3-MEDIUM", -1).otherwise(1)).alias("n"))
-    st = o.groupBy(*key).agg(F.count(F.lit(1)).alias("persons"))
+        F.sum(F.when(p == "3-MEDIUM", -F.col("k")).otherwise(F.col("k"))).alias("n"))
+    st = o.groupBy(*key).agg(F.sum("k").alias("persons"))
     return rounded(J.net_migration(moves, st, 1995, 2, 2000, "city"), "short_per_1000", "full_per_1000", "gap_per_1000")
 
 
@@ -153,9 +151,9 @@ pr AS (SELECT f.vintage, f.h AS horizon, f.code, f.level, f.value AS forecast, a
 
 
 def backtest_pairs(spark, sf):
-    o = T.orders_by_customer(spark, sf)
+    o = T.customer_totals(spark, sf, {"year": F.year("o_orderdate")}, {"v": F.count(F.lit(1))})
     n = T.table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
-    by_nation = o.groupBy(F.col("c_nationkey").alias("k"), F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("v"))
+    by_nation = o.groupBy(F.col("c_nationkey").alias("k"), "year").agg(F.sum("v").alias("v"))
     by_region = by_nation.join(n, F.col("k") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").alias("k"), "year").agg(F.sum("v").alias("v"))
     act = by_nation.select(F.lit("nation").alias("level"), F.concat(F.lit("n"), F.col("k").cast("string")).alias("code"), "k", "year", F.col("v").cast("double").alias("value")).unionByName(
         by_region.select(F.lit("region").alias("level"), F.concat(F.lit("r"), F.col("k").cast("string")).alias("code"), "k", "year", F.col("v").cast("double").alias("value"))).persist()
@@ -218,8 +216,8 @@ tt AS (SELECT code, base, step, base + step * 5 AS raw, greatest(least(greatest(
 
 
 def household_series(spark, sf):
-    o = T.orders_by_customer(spark, sf).groupBy(F.col("c_nationkey").cast("string").alias("code"), F.year("o_orderdate").alias("year")).agg(
-        F.count(F.lit(1)).alias("p"), F.countDistinct("o_custkey").alias("h"))
+    per = T.customer_totals(spark, sf, {"year": F.year("o_orderdate")}, {"k": F.count(F.lit(1))})
+    o = per.groupBy(T.nation_code().alias("code"), "year").agg(F.sum("k").alias("p"), F.count(F.lit(1)).alias("h"))
     return o.filter(F.col("year").between(1995, 2000)).select("code", "year", (F.col("p") / F.col("h") + 1).alias("value"))
 
 
@@ -240,7 +238,8 @@ nt AS (SELECT (sum(demand) - sum(net)) / sum(p0) * 1000 AS r FROM gp)"""
 def housing_gap(spark, sf):
     """Households needed against dwellings added, relative to the nation."""
     trend = J.household_trend(household_series(spark, sf)).persist()
-    p = T.orders_by_customer(spark, sf).filter(F.year("o_orderdate") == 2000).groupBy(F.col("c_nationkey").cast("string").alias("code")).agg(F.count(F.lit(1)).cast("double").alias("p0"))
+    per = T.customer_totals(spark, sf, {"year": F.year("o_orderdate")}, {"k": F.count(F.lit(1))})
+    p = per.filter("year = 2000").groupBy(T.nation_code().alias("code")).agg(F.sum("k").cast("double").alias("p0"))
     p = p.withColumn("p1", F.col("p0") * 1.02 + 3)
     at = lambda y: F.sum(F.when(F.col("year") == y, F.col("value")))
     s = stock(spark, sf).groupBy("code").agg(((at("2000") - at("1995")) / 100).alias("net"), (at("2000") / 200).alias("gross"))

@@ -347,8 +347,8 @@ def school_area_aggregates(spark, sf):
 def origin_split(spark, sf):
     """Conditional sums per origin, unknown origin in neither."""
     kinds = {"BUILDING": "Dansk", "FURNITURE": "Indvandrer", "MACHINERY": "Efterkommer"}
-    o = T.orders_by_customer(spark, sf).groupBy(F.col("c_nationkey").cast("string").alias("school"), F.year("o_orderdate").cast("string").alias("year"),
-                                                K.lookup("c_mktsegment", kinds, F.lit("<uoplyst>")).alias("origin")).agg(F.count(F.lit(1)).alias("value"))
+    per = T.customer_totals(spark, sf, {"year": F.year("o_orderdate").cast("string")}, {"k": F.count(F.lit(1))})
+    o = per.groupBy(T.nation_code().alias("school"), "year", K.lookup("c_mktsegment", kinds, F.lit("<uoplyst>")).alias("origin")).agg(F.sum("k").alias("value"))
     return U.origin_split(o)
 
 
@@ -399,7 +399,8 @@ SELECT s.nr, s.year, y.n AS area_value, CAST(t.n AS BIGINT) AS national_value FR
 def benchmarks_of_own_year(spark, sf):
     """Area and national benchmark of the measure's own year."""
     s = T.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("nr"), F.col("s_nationkey").alias("area"), (F.lit(1994) + F.col("s_suppkey") % 9).cast("string").alias("year"))
-    y = T.orders_by_customer(spark, sf).groupBy(F.col("c_nationkey").alias("area"), F.year("o_orderdate").cast("string").alias("year")).agg(F.count(F.lit(1)).alias("value"))
+    per = T.customer_totals(spark, sf, {"year": F.year("o_orderdate").cast("string")}, {"k": F.count(F.lit(1))})
+    y = per.groupBy(F.col("c_nationkey").alias("area"), "year").agg(F.sum("k").alias("value"))
     return G.with_benchmarks(s, y, y.groupBy("year").agg(F.sum("value").alias("value"))).drop("area")
 
 
@@ -408,8 +409,8 @@ n AS (SELECT year, sum(grade * grade_n) / sum(grade_n) AS dk FROM g GROUP BY yea
 SELECT area, g.year, round(sum(grade * grade_n) / sum(grade_n), 6) AS grade, round(max(dk), 6) AS national FROM g JOIN n USING (year) GROUP BY area, g.year""")
 def grade_trend(spark, sf):
     """Exam-weighted mean per area and year beside the national one."""
-    g = T.orders_by_customer(spark, sf).groupBy(F.col("c_nationkey").alias("area"), F.year("o_orderdate").cast("string").alias("year"), "c_mktsegment").agg(
-        (F.count(F.lit(1)) / 10).alias("grade"), F.countDistinct("o_custkey").alias("grade_n"))
+    per = T.customer_totals(spark, sf, {"year": F.year("o_orderdate").cast("string")}, {"k": F.count(F.lit(1))})
+    g = per.groupBy(F.col("c_nationkey").alias("area"), "year", "c_mktsegment").agg((F.sum("k") / 10).alias("grade"), F.count(F.lit(1)).alias("grade_n"))
     mean = U.weighted_mean(F.col("grade"), F.col("grade_n"))
     nat = g.groupBy("year").agg(mean.alias("national"))
     return rounded(g.groupBy("area", "year").agg(mean.alias("grade")).join(nat, "year"), "grade", "national")

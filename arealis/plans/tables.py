@@ -24,22 +24,26 @@ def year_quarter(ts: str) -> Column:
     return F.concat(F.year(ts).cast("string"), F.lit("K"), F.quarter(ts).cast("string"))
 
 
-def orders_by_customer(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders with the customer's nation as area code."""
-    o = table(spark, sf, "orders")
+def customer_totals(spark: SparkSession, sf: str, keys: dict[str, Column], aggs: dict[str, Column]) -> DataFrame:
+    """Orders added up per customer and keys, with the customer's nation and segment.
+
+    Adding up comes before the join: a customer with a third of all orders is folded inside
+    the map tasks and joins as a handful of rows.
+    """
+    o = table(spark, sf, "orders").groupBy("o_custkey", *[c.alias(k) for k, c in keys.items()]).agg(*[c.alias(k) for k, c in aggs.items()])
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     return o.join(c, o.o_custkey == c.c_custkey)
 
 
+def nation_code() -> Column:
+    return F.col("c_nationkey").cast("string")
+
+
 def order_cube(spark: SparkSession, sf: str) -> Cube:
     """Order counts by nation, priority and quarter; a single order is suppressed (null)."""
-    n = F.count(F.lit(1))
-    df = (
-        orders_by_customer(spark, sf)
-        .groupBy(F.col("c_nationkey").cast("string").alias("area"), F.col("o_orderpriority").alias("prio"),
-                 year_quarter("o_orderdate").alias("period"))
-        .agg(F.when(n >= 2, n.cast("double")).alias("value"))
-    )
+    per = customer_totals(spark, sf, {"prio": F.col("o_orderpriority"), "period": year_quarter("o_orderdate")}, {"k": F.count(F.lit(1))})
+    n = F.sum("k")
+    df = per.groupBy(nation_code().alias("area"), "prio", "period").agg(F.when(n >= 2, n.cast("double")).alias("value"))
     return Cube(df.persist(), dims=("prio",), name="ORDERS1")
 
 
@@ -56,12 +60,10 @@ oc AS (
 
 
 def population_cube(spark: SparkSession, sf: str) -> Cube:
-    """Customers with an order, by nation and quarter."""
-    df = (
-        orders_by_customer(spark, sf)
-        .groupBy(F.col("c_nationkey").cast("string").alias("area"), year_quarter("o_orderdate").alias("period"))
-        .agg(F.countDistinct("o_custkey").cast("double").alias("value"))
-    )
+    """Customers with an order, by nation and quarter: one row per customer and quarter is
+    left after the first step, so counting rows counts customers."""
+    per = customer_totals(spark, sf, {"period": year_quarter("o_orderdate")}, {"k": F.count(F.lit(1))})
+    df = per.groupBy(nation_code().alias("area"), "period").agg(F.count(F.lit(1)).cast("double").alias("value"))
     return Cube(df.persist(), name="POP1")
 
 
@@ -78,14 +80,11 @@ pc AS (
 
 def stock_cube(spark: SparkSession, sf: str) -> Cube:
     """Line items by supplier nation, flag and shipping year: a yearly stock."""
-    li = table(spark, sf, "lineitem").select("l_suppkey", "l_returnflag", "l_shipdate")
+    li = table(spark, sf, "lineitem").groupBy("l_suppkey", F.col("l_returnflag").alias("flag"), F.year("l_shipdate").cast("string").alias("period")).agg(
+        F.count(F.lit(1)).alias("k"))
     s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-    df = (
-        li.join(s, li.l_suppkey == s.s_suppkey)
-        .groupBy(F.col("s_nationkey").cast("string").alias("area"), F.col("l_returnflag").alias("flag"),
-                 F.year("l_shipdate").cast("string").alias("period"))
-        .agg(F.count(F.lit(1)).cast("double").alias("value"))
-    )
+    df = li.join(s, li.l_suppkey == s.s_suppkey).groupBy(F.col("s_nationkey").cast("string").alias("area"), "flag", "period").agg(
+        F.sum("k").cast("double").alias("value"))
     return Cube(df.persist(), dims=("flag",), name="STOCK1")
 
 
@@ -100,12 +99,9 @@ sc AS (
 
 def price_cube(spark: SparkSession, sf: str) -> Cube:
     """Mean asking and realised price by nation and quarter: orders of two priorities."""
-    df = (
-        orders_by_customer(spark, sf).filter(F.col("o_orderpriority").isin("1-URGENT", "5-LOW"))
-        .groupBy(F.col("c_nationkey").cast("string").alias("area"), year_quarter("o_orderdate").alias("period"),
-                 F.when(F.col("o_orderpriority") == "1-URGENT", "UDBUD").otherwise("REAL").alias("price"))
-        .agg((F.sum(cents("o_totalprice")) / F.count(F.lit(1)) / 100).alias("value"))
-    )
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "UDBUD").when(F.col("o_orderpriority") == "5-LOW", "REAL")
+    per = customer_totals(spark, sf, {"price": kind, "period": year_quarter("o_orderdate")}, {"s": F.sum(cents("o_totalprice")), "k": F.count(F.lit(1))})
+    df = per.filter(F.col("price").isNotNull()).groupBy(nation_code().alias("area"), "period", "price").agg((F.sum("s") / F.sum("k") / 100).alias("value"))
     return Cube(df.persist(), dims=("price",), name="PRICE1")
 
 
