@@ -17,8 +17,10 @@ from ..model import Cube, IndicatorSpec, select_codes
 
 # Calculations that compare like sub-periods across years.
 SAME_SUB_PERIOD = {
-    "passthrough", "value_div_1000", "share_of_total", "yoy_pct", "per_1000_dwellings", "ratio_pct",
+    "passthrough", "value_div_1000", "share_of_total", "yoy_pct", "per_1000_dwellings", "ratio_pct", "ratio_own_year_pct",
 }
+# the newest figure of these stands over the newest denominator, whatever its year
+_NEWEST_DENOMINATOR = {"ratio_pct", "per_1000_dwellings", "sum4q_per_1000"}
 
 _ORDER = "_order"
 
@@ -102,27 +104,43 @@ def yoy_pct(cubes: dict[str, Cube], spec: IndicatorSpec) -> DataFrame:
     )
 
 
-def ratio(cubes: dict[str, Cube], spec: IndicatorSpec, factor: float = 100.0) -> DataFrame:
-    """Numerator over denominator at each one's own newest cells of the same year; a missing
-    or zero denominator gives no row."""
-    num = passthrough(cubes, spec)
-    den = sum_by_area(selected(cubes["den"], spec.den_select), "area", "period")
-    n = num.withColumn("_y", P.period_year("period"))
-    d = den.groupBy("area", P.period_year("period").alias("_y")).agg(
-        F.max_by("value", P.period_order("period")).alias("_d")
-    )
-    return (
-        n.join(d, ["area", "_y"]).filter(_nonzero(F.col("_d")))
-        .select("area", "period", (F.col("value") / F.col("_d") * factor).alias("value"))
-    )
+def _with_denominator(num: DataFrame, den: DataFrame, newest_den: bool) -> DataFrame:
+    """``num`` with ``_d``: the denominator at one period for all areas.
+
+    The newest period the denominator table has, or the newest one up to the numerator's own
+    year at the table's newest sub-period. Areas without a usable denominator drop out.
+    """
+    key = P.period_order("period")
+    if newest_den:
+        dated = num.withColumn("_dp", den.agg(F.max_by("period", key)).scalar())
+    else:
+        like = den.filter(F.pmod(key, F.lit(100)) == F.pmod(newest(den), F.lit(100)))
+        listed = like.agg(F.array_sort(F.collect_set(F.struct(key.alias("k"), F.col("period").alias("p"))))).scalar()
+        until = P.label_year("period") * 100 + 99
+        dated = num.withColumns({"_ps": listed, "_until": until}).withColumn(
+            "_dp", F.get(F.reverse(F.filter("_ps", lambda s: s.k <= F.col("_until"))), 0).p
+        ).drop("_ps", "_until")
+    per_area = sum_by_area(den, "area", "period").select("area", F.col("period").alias("_dp"), F.col("value").alias("_d"))
+    return dated.join(per_area, ["area", "_dp"]).filter(_nonzero(F.col("_d"))).drop("_dp")
+
+
+def _ratio(cubes: dict[str, Cube], spec: IndicatorSpec, num: DataFrame, factor: float, newest_den: bool) -> DataFrame:
+    d = _with_denominator(num, selected(cubes["den"], spec.den_select), newest_den)
+    return d.select("area", "period", (F.col("value") / F.col("_d") * factor).alias("value"))
+
 
+def ratio_pct(cubes: dict[str, Cube], spec: IndicatorSpec, newest_den: bool = False) -> DataFrame:
+    """One cube over another, percent; a missing or zero denominator gives no row."""
+    return _ratio(cubes, spec, passthrough(cubes, spec), 100.0, newest_den)
 
-def ratio_pct(cubes: dict[str, Cube], spec: IndicatorSpec) -> DataFrame:
-    return ratio(cubes, spec, 100.0)
 
+def ratio_own_year_pct(cubes: dict[str, Cube], spec: IndicatorSpec) -> DataFrame:
+    """The denominator always belongs to the numerator's own year, also for the newest figure."""
+    return ratio_pct(cubes, spec)
 
-def per_1000_dwellings(cubes: dict[str, Cube], spec: IndicatorSpec) -> DataFrame:
-    return ratio(cubes, spec, 1000.0)
+
+def per_1000_dwellings(cubes: dict[str, Cube], spec: IndicatorSpec, newest_den: bool = False) -> DataFrame:
+    return _ratio(cubes, spec, passthrough(cubes, spec), 1000.0, newest_den)
 
 
 # --- trailing windows over published periods ---------------------------------------------
@@ -170,16 +188,9 @@ def sum4q(cubes: dict[str, Cube], spec: IndicatorSpec) -> DataFrame:
     )
 
 
-def sum4q_per_1000(cubes: dict[str, Cube], spec: IndicatorSpec) -> DataFrame:
-    """Four-period sum per 1,000 of the newest stock up to the window's own year."""
-    num = sum4q(cubes, spec).withColumn("_y", P.label_year("period"))
-    den = sum_by_area(selected(cubes["den"], spec.den_select), "area", "period").groupBy(
-        "area", P.period_year("period").alias("_y")
-    ).agg(F.max_by("value", P.period_order("period")).alias("_d"))
-    return (
-        num.join(den, ["area", "_y"]).filter(_nonzero(F.col("_d")))
-        .select("area", "period", (F.col("value") / F.col("_d") * 1000).alias("value"))
-    )
+def sum4q_per_1000(cubes: dict[str, Cube], spec: IndicatorSpec, newest_den: bool = False) -> DataFrame:
+    """Four-period sum per 1,000 of the stock."""
+    return _ratio(cubes, spec, sum4q(cubes, spec), 1000.0, newest_den)
 
 
 def discount_pct(cubes: dict[str, Cube], spec: IndicatorSpec) -> DataFrame:
@@ -280,7 +291,7 @@ def rolling4q_yoy_pct(cubes: dict[str, Cube], spec: IndicatorSpec) -> DataFrame:
     )
 
 
-CALCS: dict[str, Callable[[dict[str, Cube], IndicatorSpec], DataFrame]] = {
+CALCS: dict[str, Callable[..., DataFrame]] = {
     "passthrough": passthrough,
     "value_div_1000": passthrough,
     "share_of_total": share_of_total,
@@ -291,6 +302,7 @@ CALCS: dict[str, Callable[[dict[str, Cube], IndicatorSpec], DataFrame]] = {
     "sum4q_per_1000": sum4q_per_1000,
     "sum4q": sum4q,
     "ratio_pct": ratio_pct,
+    "ratio_own_year_pct": ratio_own_year_pct,
     "rolling4q_per_1000_pop": rolling4q_per_1000_pop,
     "rolling4q_per_1000_dwellings": rolling4q_per_1000_dwellings,
     "rolling4q_yoy_pct": rolling4q_yoy_pct,
@@ -330,7 +342,8 @@ def live(cubes: dict[str, Cube], spec: IndicatorSpec) -> DataFrame:
     window is incomplete, even if an older one is complete."""
     newest_key = newest(selected(cubes["num"], spec.select))
     cut = {**cubes, "num": _needed_for_newest(cubes["num"], spec, newest_key)}
-    return series(cut, spec).filter(_last_named(F.col("period")) == newest_key)
+    s = CALCS[spec.calc](cut, spec, newest_den=True) if spec.calc in _NEWEST_DENOMINATOR else series(cut, spec)
+    return s.filter(_last_named(F.col("period")) == newest_key)
 
 
 def history(cubes: dict[str, Cube], spec: IndicatorSpec) -> DataFrame:

@@ -123,7 +123,7 @@ n AS (SELECT area, period, y, sum(value) AS v FROM oc WHERE prio IN {HIGH_SQL} A
 d AS (SELECT area, y, max_by(value, q) AS d FROM pc GROUP BY ALL)
 SELECT area, period, round(v / d * 100, 6) AS value FROM n JOIN d USING (area, y) WHERE d <> 0""")
 def calc_ratio_pct(spark, sf):
-    """One cube over another, denominator from the numerator's own year."""
+    """One cube over another, both at their newest period."""
     cubes = {"num": T.order_cube(spark, sf), "den": T.population_cube(spark, sf)}
     return r6(C.live(cubes, IndicatorSpec("r", "ratio_pct", select=URGENT)))
 
@@ -138,6 +138,24 @@ def calc_per_1000_dwellings(spark, sf):
     return r6(C.live(cubes, IndicatorSpec("r", "per_1000_dwellings")))
 
 
+@query(f"""WITH {T.ORDER_CUBE}, {T.POPULATION_CUBE},
+n AS (SELECT area, period, y, q, sum(value) AS v FROM oc WHERE prio IN {HIGH_SQL} AND value IS NOT NULL AND k = (SELECT k FROM oc WHERE q = {LATEST} LIMIT 1) GROUP BY ALL)
+SELECT n.area, CAST(n.y AS VARCHAR) AS year, n.period, round(v / d.value * 100, 6) AS value FROM n JOIN pc d ON d.area = n.area AND d.q = n.q WHERE d.value <> 0""")
+def calc_ratio_history(spark, sf):
+    """The ratio of every year over the denominator's newest like period up to that year."""
+    cubes = {"num": T.order_cube(spark, sf), "den": T.population_cube(spark, sf)}
+    return r6(C.history(cubes, IndicatorSpec("r", "ratio_pct", select=URGENT)))
+
+
+@query(f"""WITH {T.STOCK_CUBE}, {T.POPULATION_CUBE}, n AS (SELECT area, period, y, sum(value) AS v FROM sc WHERE y <= 1999 GROUP BY ALL)
+SELECT n.area, n.period, round(v / d.value * 100, 6) AS value FROM n JOIN pc d ON d.area = n.area AND d.period = '1999K3' WHERE n.y = 1999 AND d.value <> 0""")
+def calc_ratio_own_year(spark, sf):
+    """A yearly count over the population of that year although newer ones are published."""
+    st = T.stock_cube(spark, sf)
+    old = st.with_df(st.df.filter("period <= '1999'"))
+    return r6(C.live({"num": old, "den": T.population_cube(spark, sf)}, IndicatorSpec("r", "ratio_own_year_pct")))
+
+
 # --- rolling four quarters -----------------------------------------------------------
 
 ROLLING = """

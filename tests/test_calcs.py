@@ -106,3 +106,11 @@ def test_a_broken_spec_only_warns(spark):
     specs = [IndicatorSpec("ok", "passthrough"), IndicatorSpec("bad", "no_such"), IndicatorSpec("worse", "share_of_total")]
     out, warnings = C.compute_registry({s.key: {"num": cube} for s in specs}, specs)
     assert [r.key for r in out.collect()] == ["ok"] and len(warnings) == 2
+
+
+def test_denominator_period_of_live_and_past_figures(spark):
+    num, den = plain(spark, {"2023": 10, "2024": 20}), plain(spark, {"2022": 50, "2024": 100, "2025": 200})
+    spec = IndicatorSpec("r", "ratio_pct")
+    assert one(C.live({"num": num, "den": den}, spec)).value == pytest.approx(10.0)
+    assert {r.year: r.value for r in C.history({"num": num, "den": den}, spec).collect()} == {"2023": pytest.approx(20.0), "2024": pytest.approx(20.0)}
+    assert one(C.live({"num": num, "den": den}, IndicatorSpec("r", "ratio_own_year_pct"))).value == pytest.approx(20.0)
