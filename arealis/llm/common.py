@@ -51,3 +51,25 @@ def slices(rows: Iterable, size: int) -> Iterator[list]:
             part = []
     if part:
         yield part
+
+
+MAX_BITS = 1 << 29
+
+
+def may_be_among(df: DataFrame, value: Column, keys: DataFrame, key: str) -> DataFrame:
+    """``df`` without most rows whose ``value`` (a 64-bit hash) isn't among ``keys``; none that is gets lost.
+
+    The keys become bits of a bitmap with sixteen bits a key, at most ``MAX_BITS`` (64 MB) of
+    them: that is the bound on what is broadcast. It only thins out the rows ahead of an exact join.
+    """
+    n = keys.count()
+    bits = 1 << min(MAX_BITS.bit_length() - 1, max(16, (16 * n).bit_length()))
+    place = lambda c: F.pmod(c, F.lit(bits))
+    marked = keys.select(place(F.col(key)).alias("_p"))
+    maps = marked.groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    asked = df.withColumn("_p", place(value)).withColumn("_bucket", F.bitmap_bucket_number("_p"))
+    met = asked.join(F.broadcast(maps), "_bucket")
+    at = F.bitmap_bit_position("_p")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (at % 8 + 1).cast("int"))
+    return met.filter(byte.bitwiseAND(bit) != 0).drop("_p", "_bucket", "_bits")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, host_rules, length_histogram, packing, url_filter
+from . import decontaminate, host_rules, length_histogram, line_dedup, ngram_join, packing, url_filter
 from .common import table
 
 #: The url rules of the contract.
@@ -14,6 +14,10 @@ URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/
 LISTED_DOMAINS = ["spam-farm.example.org", "spam-farm.example.net", "cheap-pills.example.org", "cheap-pills.example.net", "cheap-pills.example.com"]
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
     listed = spark.createDataFrame([(x,) for x in LISTED_DOMAINS], "entry string")
@@ -36,12 +40,58 @@ def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram.with_suffix_sums(length_histogram.histogram(length_histogram.token_counts(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op4_decontaminate, op5_best_fit_packing, op8_host_rules, op9_length_histogram)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_equal", "n_near")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_ngram_jaccard_join, op2_url_filter, op4_decontaminate, op5_best_fit_packing, op8_host_rules, op9_length_histogram, op10_line_dedup)}
 
 _RULES_SQL = ", ".join(f"('{r}', '{v}')" for r, v in URL_RULES)
 _LISTED_SQL = ", ".join(f"('{d}')" for d in LISTED_DOMAINS)
 
 ORACLES = {
+    "op1_ngram_jaccard_join": r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i:i + 2], ' ') as g
+  from w, unnest(range(1, greatest(2, len(w) - 1))) as t(i) where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+link as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 90 * (x.n + y.n - k)),
+reach as (select doc_id, doc_id as c from documents union select r.doc_id, l.b from reach r join link l on l.a = r.c)
+select d.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(r.c) as component_id
+from documents d left join n using (doc_id) left join reach r on r.doc_id = d.doc_id group by d.doc_id
+""",
+    "op10_line_dedup": r"""
+with l as (
+  select doc_id, pos, raw, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as line
+  from (select doc_id, unnest(range(len(string_split(text, chr(10))))) as pos, unnest(string_split(text, chr(10))) as raw from documents where text is not null)),
+u as (select line, length(line) as n, min((doc_id, pos)) as first from l where length(line) >= 20 group by line),
+half as (
+  select line, n, first, n as target, 1 as side, substr(line, 1, n // 2) as part from u
+  union all select line, n, first, n, 2, substr(line, n // 2 + 1) from u
+  union all select line, n, first, n - 1, 1, substr(line, 1, (n - 1) // 2) from u
+  union all select line, n, first, n - 1, 2, substr(line, (n - 1) // 2 + 2) from u),
+pair as (
+  select distinct a.line as x, b.line as y, a.first as fx, b.first as fy
+  from half a join half b on a.target = b.target and a.side = b.side and a.part = b.part and a.n = a.target and a.line <> b.line),
+near as (
+  select distinct case when fx > fy then x else y end as line from pair
+  where len(list_filter(range(length(x) + 1), lambda i: substr(x, 1, i) = substr(y, 1, i)
+    and substr(x, i + 1 + (length(x) = length(y))::int) = substr(y, i + 2))) > 0),
+mark as (
+  select l.doc_id, l.pos, l.raw, near.line is not null as is_near, u.line is not null and near.line is null and u.first <> (l.doc_id, l.pos) as is_equal
+  from l left join u using (line) left join near using (line)),
+a as (
+  select doc_id, coalesce(string_agg(raw, chr(10) order by pos) filter (not is_near and not is_equal), '') as text,
+    count(*) as n_lines, count(*) filter (is_equal) as n_equal, count(*) filter (is_near) as n_near
+  from mark group by doc_id)
+select d.doc_id, a.text, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_equal, 0)::bigint as n_equal, coalesce(n_near, 0)::bigint as n_near
+from documents d left join a using (doc_id)
+""",
     "op2_url_filter": rf"""
 with cut as (
   select page_id, url,
