@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, host_rules, length_histogram, line_dedup, ngram_join, packing, url_filter
+from . import cotraining, decontaminate, disclosure, host_rules, html_text, length_histogram, line_dedup, ngram_join, packing, url_filter
 from .common import table
 
 #: The url rules of the contract.
@@ -24,6 +24,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules, listed)
 
 
+def op3_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -32,6 +36,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.report(table(spark, sf_dir, "documents"))
+
+
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *host_rules.METRICS, "base_failed", "soft_failed", "host", F.round("rate", 9).alias("rate"), "kept")
 
@@ -45,7 +57,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard_join, op2_url_filter, op4_decontaminate, op5_best_fit_packing, op8_host_rules, op9_length_histogram, op10_line_dedup)}
+    op1_ngram_jaccard_join, op2_url_filter, op3_cotraining_quality, op4_decontaminate, op5_best_fit_packing, op6_html_text, op7_disclosure,
+    op8_host_rules, op9_length_histogram, op10_line_dedup)}
 
 _RULES_SQL = ", ".join(f"('{r}', '{v}')" for r, v in URL_RULES)
 _LISTED_SQL = ", ".join(f"('{d}')" for d in LISTED_DOMAINS)
