@@ -44,31 +44,39 @@ _TRIM = " \t\r\x0b\x0c"
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``d, t`` (the document), ``pos``, ``line`` and two hashes of it, for lines long enough."""
+    """``d, t`` (the document), ``pos``, ``line``, its length ``chars`` and two hashes, for lines long enough."""
     cut = docs.filter("doc_id is not null and text is not null").select(
         F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    line = cut.select("d", "t", "pos", F.btrim("raw", F.lit(_TRIM)).alias("line")).filter(F.length("line") >= min_chars)
-    return line.select("d", "t", "pos", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    line = cut.select("d", "t", "pos", F.btrim("raw", F.lit(_TRIM)).alias("line")).withColumn("chars", F.length("line"))
+    return line.filter(F.col("chars") >= min_chars).select(
+        "*", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def _keys(s: Column, edits: int) -> Column:
-    """Array of (key, indexed, rest) for a string: its segments as index and probe entries."""
-    parts, n, out = edits + 1, F.length(s), []
-    for less in range(edits + 1):
-        size = n - less
+def _keys(s: Column, n: Column, edits: int, rests: bool) -> Column:
+    """Entries (key, indexed) of a string of ``n`` characters: its segments for the index and for probing, null
+    where it is too short; with ``rests`` also what remains without the segment."""
+    parts = edits + 1
+    plan = [(less, i, shift) for less in range(edits + 1) for i in range(1, parts + 1)
+            for shift in range(max(1 - i, less - (edits + 1 - i)), min(i - 1, less + edits + 1 - i) + 1)]
+
+    def entry(p: Column) -> Column:
+        size = n - p["less"]
         short = F.floor(size / parts).cast("int")
-        longer = size - short * parts  # the last ones are longer by one
-        for i in range(1, parts + 1):
-            length = short + F.when(i > parts - longer, 1).otherwise(0)
-            start = 1 + (i - 1) * short + F.greatest(F.lit(0), i - 1 - (parts - longer))
-            for shift in range(max(1 - i, less - (edits + 1 - i)), min(i - 1, less + edits + 1 - i) + 1):
-                at = start + shift
-                held = F.substring(s, at, length)
-                entry = F.struct(
-                    F.xxhash64(F.lit(i), size, held).alias("key"), F.lit(less == 0 and shift == 0).alias("indexed"),
-                    F.concat(F.substring(s, F.lit(1), at - 1), F.substring(s, at + length, n)).alias("rest"))
-                out.append(F.when((size >= parts) & (at >= 1) & (at + length <= n + 1), entry))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+        even = parts - (size - short * parts)  # the segments after these are longer by one
+        length = short + F.when(p["i"] > even, 1).otherwise(0)
+        at = 1 + (p["i"] - 1) * short + F.greatest(F.lit(0), p["i"] - 1 - even) + p["shift"]
+        fields = [F.xxhash64(p["i"], size, F.substring(s, at, length)).alias("key"), ((p["less"] == 0) & (p["shift"] == 0)).alias("indexed")]
+        if rests:
+            fields.append(F.concat(F.substring(s, F.lit(1), at - 1), F.substring(s, at + length, n)).alias("rest"))
+        return F.when((size >= parts) & (at >= 1) & (at + length <= n + 1), F.struct(*fields))
+
+    asked = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in plan])
+    return F.transform(asked, entry)
+
+
+def _exploded(df: DataFrame, text: str, edits: int, rests: bool) -> DataFrame:
+    """``df`` (with the length as ``chars``) with an entry ``e`` of its text a row."""
+    return df.withColumn("e", F.explode(_keys(F.col(text), F.col("chars"), edits, rests))).filter("e is not null")
 
 
 def _met(entries: DataFrame) -> DataFrame:
@@ -109,14 +117,14 @@ def _candidates(met: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     if crowd.isEmpty():
         return pairs.distinct()
     # the rest of each crowded entry; what doesn't share its key is dropped by the join
-    entry = texts.select("h", "first", F.explode(_keys(F.col("line"), edits)).alias("e"))
+    entry = _exploded(texts.select("h", "first", "line", F.length("line").alias("chars")), "line", edits, True)
     level = entry.select("h", "first", F.col("e.key").alias("key"), F.col("e.rest").alias("rest"))
     level = stash(level.join(crowd.distinct(), ["key", "h"], "left_semi"), "crowd")
     short = SHORT if edits == 1 else 2 * edits
     for _ in range(ROUNDS):
         pairs = pairs.unionByName(_short_rests(level.filter(F.length("rest") <= short), edits))
         # a short rest may still meet a longer one
-        split = level.filter(F.length("rest") > short - edits).select("key", "h", "first", F.explode(_keys(F.col("rest"), edits)).alias("e"))
+        split = _exploded(level.filter(F.length("rest") > short - edits).withColumn("chars", F.length("rest")), "rest", edits, True)
         deeper = split.select(F.xxhash64("key", "e.key").alias("key"), "h", "first", F.col("e.indexed").alias("indexed"), F.col("e.rest").alias("rest"))
         met = stash(_met(deeper), "crowd")
         pairs = pairs.unionByName(_paired(met))
@@ -179,21 +187,33 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     return F.when(over > edits, edits + 1).when(F.length(a) * F.length(b) == 0, over).otherwise(F.least(measured, F.lit(edits + 1)))
 
 
-def _middles(pairs: DataFrame) -> DataFrame:
-    """``x`` and ``y`` without their common start and end."""
-    agree = lambda a, b: F.zip_with(F.split(a, ""), F.split(b, ""), lambda p, q: F.coalesce(p == q, F.lit(False)))
-    common = lambda a, b: F.coalesce(F.nullif(F.array_position(agree(a, b), False), F.lit(0)) - 1, F.least(F.length(a), F.length(b))).cast("int")
-    head = pairs.withColumn("_k", common(F.col("x"), F.col("y")))
-    cut = lambda c: F.substring(c, F.col("_k") + 1, F.length(c))
-    tail = head.withColumns({"x": cut(F.col("x")), "y": cut(F.col("y"))}).withColumn(
-        "_k", F.when((F.length("x") == 0) | (F.length("y") == 0), 0).otherwise(common(F.reverse("x"), F.reverse("y"))))
-    cut = lambda c: F.substring(c, F.lit(1), F.length(c) - F.col("_k"))
-    return tail.withColumns({"x": cut(F.col("x")), "y": cut(F.col("y"))}).drop("_k")
+def _common_start(x: Column, y: Column, n: Column) -> Column:
+    """How many characters two strings share at their start, ``n`` at most: by halving steps."""
+    grow = lambda k, far: F.when((k + far <= n) & (F.substring(x, k + 1, far) == F.substring(y, k + 1, far)), k + far).otherwise(k)
+    return F.aggregate(F.array(*[F.lit(1 << b) for b in range(29, -1, -1)]), F.lit(0), grow)
+
+
+def _cut_start(p: Column) -> Column:
+    """A pair (x, y) without its common start, both reversed."""
+    k = _common_start(p["x"], p["y"], F.least(F.length(p["x"]), F.length(p["y"])))
+    rest = lambda c, k: F.reverse(F.substring(c, k + 1, F.length(c)))
+    return _let(k, lambda k: F.struct(rest(p["x"], k).alias("x"), rest(p["y"], k).alias("y")))
+
+
+def within(x: Column, y: Column, edits: int) -> Column:
+    """Whether two strings are within ``edits`` edits. Their common start and end are cut off first. All is one
+    expression, so that no step is computed again for each of its uses."""
+    def middle(p: Column) -> Column:
+        # either end takes an edit, unless they are the same character
+        fair = F.least(F.length(p["x"]), F.length(p["y"])) < 2 if edits < 2 else F.lit(True)
+        return F.when(fair, banded_distance(p["x"], p["y"], edits) <= edits).otherwise(False)
+
+    return _let(F.struct(x.alias("x"), y.alias("y")), lambda p: _let(_cut_start(p), lambda q: _let(_cut_start(q), middle)))
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``h, h2`` of every line that lies within ``max_edits`` of an earlier one. ``firsts``: (h, h2, first)."""
-    entry = _lines(docs, min_chars).select("h", F.explode(_keys(F.col("line"), max_edits)).alias("e"))
+    entry = _exploded(_lines(docs, min_chars).select("h", "line", "chars"), "line", max_edits, False)
     entry = entry.groupBy(F.col("e.key").alias("key"), "h").agg(F.max("e.indexed").alias("indexed"))
     met = stash(_met(entry), "met")
     wanted = firsts.join(met.select("h").distinct(), "h", "left_semi")
@@ -205,8 +225,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, max_edits: int = MAX_EDITS, m
     side = lambda tag, text: texts.select(F.col("h").alias(tag), F.struct("first", "h", "h2").alias(f"o{tag}"), F.col("line").alias(text))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     near = F.abs(F.length("x") - F.length("y")) <= max_edits
-    mid = _middles(both.filter(near))
-    linked = mid.filter(banded_distance(F.col("x"), F.col("y"), max_edits) <= max_edits)
+    linked = both.filter(near & within(F.col("x"), F.col("y"), max_edits))
     return linked.select(F.greatest("oa", "ob").alias("o")).select("o.h", "o.h2").distinct()
 
 
