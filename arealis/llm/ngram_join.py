@@ -28,7 +28,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +37,10 @@ from .common import may_be_among, stash
 from .shingles import mix, shingle_set, word_hashes
 
 RATIO = 1.25  # of the ends of a band
-TILE = 1024
+TILE = 1024  # sets in a tile, of
+TILE_SHINGLES = 4_000_000  # shingles in all
 KEYS_A_TASK = 2_000_000
+KEYS_A_ROW = 250_000  # keys that a task gathers before it deals them out
 CHUNK = 400  # texts hashed at a time
 
 _U = np.uint64
@@ -112,12 +113,23 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 def _shared_keys(docs: DataFrame, k: int, percent: int, tasks: int) -> DataFrame:
     """``bucket, doc_id``: sets of documents that share a key; buckets of the same documents come once a task."""
 
+    def dealt_out(keys: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:
+        """A row for each task: the keys that it gets and whose they are."""
+        key = np.concatenate(keys)
+        doc = np.repeat(np.array(ids, np.int64), [len(x) for x in keys])
+        to = (key >> _U(32)) * _U(tasks) >> _U(32)
+        order = np.argsort(to, kind="stable")
+        key, doc, to = key[order], doc[order], to[order]
+        first = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+        packed = [[x.tobytes() for x in np.split(y, first[1:])] for y in (doc, key)]
+        return pa.RecordBatch.from_arrays([pa.array(to[first].astype(np.int32)), *(pa.array(x, pa.binary()) for x in packed)], ["part", "docs", "keys"])
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[tuple[int, int]] = set()  # copies inside a task give their keys once
+        held, whose, size = [], [], 0
         for b in batches:
             ids = b.column(0).to_pylist()
             for at, texts in _texts(b):
-                part, owner, packed = [], [], []
                 for i, w in enumerate(word_hashes(texts)):
                     s = shingle_set(w, k)
                     name = (len(s), int(mix(s).sum(dtype=_U)))
@@ -125,24 +137,21 @@ def _shared_keys(docs: DataFrame, k: int, percent: int, tasks: int) -> DataFrame
                         continue
                     if len(met) < 200_000:
                         met.add(name)
-                    key = set_keys(s, percent)
-                    if not len(key):
-                        continue
-                    to = (key >> _U(32)) * _U(tasks) >> _U(32)
-                    order = np.argsort(to, kind="stable")
-                    key, to = key[order], to[order]
-                    first = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
-                    part += to[first].tolist()
-                    owner += [ids[at + i]] * len(first)
-                    packed += [x.tobytes() for x in np.split(key, first[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(owner, pa.int64()), pa.array(packed, pa.binary())], ["part", "doc_id", "keys"])
+                    own = set_keys(s, percent)
+                    if len(own):
+                        held.append(own), whose.append(ids[at + i])
+                        size += len(own)
+                if size > KEYS_A_ROW:
+                    yield dealt_out(held, whose)
+                    held, whose, size = [], [], 0
+        if size:
+            yield dealt_out(held, whose)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, key = [], []
         for b in batches:
-            packed = b.column(2).to_pylist()
-            owner.append(np.repeat(b.column(1).to_numpy(), [len(x) // 8 for x in packed]))
-            key.append(np.frombuffer(b"".join(packed), _U))
+            owner += [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            key += [np.frombuffer(x, _U) for x in b.column(2).to_pylist()]
         if not key:
             return
         key_, doc = np.concatenate(key), np.concatenate(owner)
@@ -160,7 +169,7 @@ def _shared_keys(docs: DataFrame, k: int, percent: int, tasks: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name[some], size[some]).astype(np.int64)), pa.array(doc[rows])], ["bucket", "doc_id"])
 
     dealt = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return dealt.mapInArrow(keys, "part int, doc_id bigint, keys binary").repartitionById(tasks, "part").mapInArrow(meet, "bucket bigint, doc_id bigint")
+    return dealt.mapInArrow(keys, "part int, docs binary, keys binary").repartitionById(tasks, "part").mapInArrow(meet, "bucket bigint, doc_id bigint")
 
 
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
@@ -224,49 +233,67 @@ def _tile(ids: np.ndarray, sizes: np.ndarray, maps: np.ndarray, percent: int, se
 
 
 def _tiled(members: DataFrame, group: str) -> DataFrame:
-    """Rows (group, node, ...) with ``a, b``: the tile, a pair of blocks of the group's members. Groups up to ``TILE`` are one tile."""
-    per = members.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    both = members.join(per, group).withColumn("_blocks", F.ceil(F.col("_n") * 2 / TILE).cast("int"))
-    both = both.withColumn("_blocks", F.when(F.col("_n") <= TILE, 1).otherwise(F.col("_blocks")))
+    """Rows (group, node, ...) with ``a, b``: the tile, a pair of blocks of the group's members. Smaller groups are one tile."""
+    per = members.groupBy(group).agg(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES).alias("_n"))
+    both = members.join(per, group).withColumn("_blocks", F.when(F.col("_n") <= 1, 1).otherwise(F.ceil(2 * F.col("_n"))).cast("int"))
     both = both.withColumn("_own", F.pmod(F.xxhash64("node", "n"), F.col("_blocks")).cast("int"))
     other = both.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return other.withColumns({"a": F.least("_own", "_other"), "b": F.greatest("_own", "_other")}).drop("_n", "_blocks", "_own", "_other")
 
 
-def _forests(members: DataFrame, group: str, percent: int, held: str, exact: bool) -> DataFrame:
-    """``a, b``: pairs of nodes that connect what links (or may link) inside each group."""
+def _may_link(members: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs of nodes that connect what may link inside each bucket. ``members``: (bucket, node, n, bits)."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, n = table.column("node").to_numpy(), table.column("n").to_numpy()
-        raw = [np.frombuffer(x, _U) for x in table.column(held).to_pylist()]
-        if exact:
-            width = _width(int(n.max()), 4)
-            maps, sets = np.stack([bitmap(s, width) for s in raw]), raw
-        else:
-            width, sets = min(len(x) for x in raw), None
-            maps = np.stack([_fold(x, width) for x in raw])
-        found = _tile(ids, n, maps, percent, sets)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        raw = [np.frombuffer(x, _U) for x in table.column("bits").to_pylist()]
+        width = min(len(x) for x in raw)
+        return _pairs(_tile(ids, n, np.stack([_fold(x, width) for x in raw]), percent))
+
+    return _tiled(members, "bucket").groupBy("bucket", "a", "b").applyInArrow(run, "a bigint, b bigint")
+
 
-    return _tiled(members, group).groupBy(group, "a", "b").applyInArrow(run, "a bigint, b bigint")
+def _pairs(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``node, n, bits, hashes`` of the wanted documents."""
+def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """``a, b``: pairs of nodes that connect what links inside each group. ``members``: (g, node, n)."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, texts in _texts(b):
+                raw = pa.array([shingle_set(w, k).tobytes() for w in word_hashes(texts)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, CHUNK), raw, *(b.column(i).slice(at, CHUNK) for i in (2, 3, 4))], ["node", "hashes", "g", "a", "b"])
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, _U) for x in table.column("hashes").to_pylist()]
+        n = np.array([len(s) for s in sets])
+        width = _width(int(n.max()), 4)
+        return _pairs(_tile(table.column("node").to_numpy(), n, np.stack([bitmap(s, width) for s in sets]), percent, sets))
+
+    held = _held(docs, _tiled(members, "g").select("node", "g", "a", "b")).select("node", "text", "g", "a", "b")
+    return held.mapInArrow(hashes, "node bigint, hashes binary, g bigint, a int, b int").groupBy("g", "a", "b").applyInArrow(run, "a bigint, b bigint")
+
+
+def _held(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts of the wanted nodes. Both sides grow with the corpus, so they are merged at every size."""
+    source = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("node"), "text")
+    near = may_be_among(source, F.xxhash64("node"), wanted.select(F.xxhash64("node").alias("x")).distinct(), "x")
+    return near.join(wanted.hint("merge"), "node")
+
+
+def _bitmaps(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``node, n, bits`` of the wanted nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, texts in _texts(b):
                 sets = [shingle_set(w, k) for w in word_hashes(texts)]
-                yield pa.RecordBatch.from_arrays([
-                    b.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([bitmap(s, _width(len(s))).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["node", "n", "bits", "hashes"])
+                bits = [bitmap(s, _width(len(s))).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, CHUNK), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits, pa.binary())], ["node", "n", "bits"])
 
-    source = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("node"), "text")
-    near = may_be_among(source, F.xxhash64("node"), wanted.select(F.xxhash64("node").alias("x")), "x")
-    held = near.join(wanted, "node", "left_semi")
-    return held.mapInArrow(run, "node bigint, n bigint, bits binary, hashes binary").filter("n > 0")
+    return _held(docs, wanted).select("node", "text").mapInArrow(run, "node bigint, n bigint, bits binary").filter("n > 0")
 
 
 def classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -284,12 +311,13 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     alike = met.join(folded, "doc_id").select("bucket", "node").distinct()
     several = alike.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket")
     alike = stash(alike.join(several, "bucket", "left_semi"), "alike")
-    sets = stash(_sets(docs, alike.select("node").distinct(), k), "sets")
-    may = _forests(alike.join(sets.select("node", "n", "bits"), "node"), "bucket", percent, "bits", exact=False)
+    maps = stash(_bitmaps(docs, alike.select("node").distinct(), k), "bitmaps")
+    may = stash(_may_link(alike.join(maps, "node"), percent).distinct(), "may-link")
     nodes = lambda e: e.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    may = stash(may.distinct(), "may-link")
     groups = components(nodes(may), may).select(F.col("id").alias("node"), F.col("component").alias("g"))
-    links = stash(_forests(groups.join(sets.select("node", "n", "hashes"), "node"), "g", percent, "hashes", exact=True).distinct(), "links")
+    sizes = maps.groupBy("node").agg(F.max("n").alias("n"))
+    members = stash(groups.join(sizes, "node"), "groups")
+    links = stash(_links(docs, members, k, percent).distinct(), "links")
     found = components(nodes(links), links).select(F.col("id").alias("node"), F.col("component").alias("c"))
     by_node = folded.groupBy("doc_id").agg(F.min("node").alias("node"))
     known = by_node.join(found, "node", "left").select(F.col("doc_id").alias("_d"), F.coalesce("c", "node").alias("_c"))
