@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -414,7 +415,7 @@ def compute_registry(inputs: dict[str, dict[str, Cube]], specs: Iterable[Indicat
                 (F.col("value") / s.display_div).alias("value"),
             )
             part.schema  # analysis errors surface here, not at the sink
-        except Exception as e:  # noqa: BLE001 - one bad registry entry must not stop the others
+        except (KeyError, ValueError, AnalysisException) as e:  # what a wrong entry causes; anything else stops the build
             warnings.append(f"{s.key}: {e}")
             continue
         out = part if out is None else out.unionByName(part)

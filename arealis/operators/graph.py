@@ -56,23 +56,32 @@ def _is_star_forest(e: DataFrame) -> bool:
 def _box_far(a: Column, b: Column) -> Column:
     """Upper bound of the distance between any two points of two boxes."""
     dy = F.greatest(a.n, b.n) - F.least(a.s, b.s)
-    dx = F.greatest(a.e, b.e) - F.least(a.w, b.w)
-    flat = F.cos(F.radians(F.least(F.abs(a.s), F.abs(b.s)))) * dx
-    return F.sqrt(dy * dy + flat * flat) * _HIGH
+    across = F.greatest(a.e, b.e) - F.least(a.w, b.w)
+    around = 360 - (F.greatest(a.w, b.w) - F.least(a.e, b.e))  # over the 180th meridian
+    lowest = F.least(*[F.when((x.s <= 0) & (x.n >= 0), 0.0).otherwise(F.least(F.abs(x.s), F.abs(x.n))) for x in (a, b)])
+    return _arc(dy, F.least(across, around), lowest) * _HIGH
 
 
 def _box_near(a: Column, b: Column) -> Column:
     """Lower bound of the distance between two boxes."""
     dy = F.greatest(F.lit(0.0), a.s - b.n, b.s - a.n)
-    dx = F.greatest(F.lit(0.0), a.w - b.e, b.w - a.e)
-    flat = F.cos(F.radians(F.greatest(F.abs(a.n), F.abs(b.n)))) * dx
-    return F.sqrt(dy * dy + flat * flat) * (_LOW * 0.999)
+    across = F.greatest(F.lit(0.0), a.w - b.e, b.w - a.e)
+    around = F.greatest(F.lit(0.0), 360 - (F.greatest(a.e, b.e) - F.least(a.w, b.w)))
+    highest = F.greatest(*[F.greatest(F.abs(x.s), F.abs(x.n)) for x in (a, b)])
+    return _arc(dy, F.least(across, around), highest) * (_LOW * 0.999)
 
 
-def single_linkage(points: DataFrame, group: Sequence[str], radius_m: Column | float, max_lat: float = 60.0) -> DataFrame:
+def _arc(dy: Column, dx: Column, lat: Column) -> Column:
+    """Degrees of the great circle over ``dy`` and ``dx`` degrees where both ends lie at ``lat``: a bound for ends that
+    lie above or below it."""
+    up, side = F.sin(F.radians(F.least(F.lit(180.0), dy)) / 2), F.cos(F.radians(lat)) * F.sin(F.radians(F.least(F.lit(180.0), dx)) / 2)
+    return F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sqrt(up * up + side * side))))
+
+
+def single_linkage(points: DataFrame, group: Sequence[str], radius_m: Column | float) -> DataFrame:
     """Points (id, lat, lon, group...) with ``component``: chains of steps up to the radius
-    inside a group. The radius may depend on the group. Latitudes are expected on one
-    hemisphere, below ``max_lat``.
+    inside a group. The radius may depend on the group. Any latitude and the 180th meridian are covered:
+    rows of tiles close to a ring, and a tile looks as far along its row as its latitude needs.
 
     Tiles small enough that all their points are linked become the nodes, so a crowded spot
     is one node instead of all its pairs. Two tiles are linked when boxes of their sub-tiles
@@ -81,9 +90,12 @@ def single_linkage(points: DataFrame, group: Sequence[str], radius_m: Column | f
     """
     keys = list(group)
     radius = radius_m if isinstance(radius_m, Column) else F.lit(float(radius_m))
-    finest = radius / (math.sqrt(2) * _HIGH * _SUB**_DEPTH)
+    # a whole number of tiles around the globe
+    around = F.ceil(360 * math.sqrt(2) * _HIGH / radius).cast("long")
+    finest = 360 / (around * _SUB**_DEPTH)
     # the finest grid is counted once and coarser ones follow from it, so all levels agree
-    grid = {f"y{_DEPTH}": F.floor(F.col("lat") / finest), f"x{_DEPTH}": F.floor(F.col("lon") / finest), "_r": radius}
+    east = F.pmod(F.col("lon") + 180, F.lit(360.0))
+    grid = {f"y{_DEPTH}": F.floor(F.col("lat") / finest), f"x{_DEPTH}": F.floor(east / finest), "_r": radius}
     tiled = points.withColumns(grid)
     for d in range(_DEPTH - 1, -1, -1):
         tiled = tiled.withColumns({f"{c}{d}": F.floor(F.col(f"{c}{d + 1}") / _SUB) for c in "yx"})
@@ -106,13 +118,20 @@ def single_linkage(points: DataFrame, group: Sequence[str], radius_m: Column | f
         return df.select(*keys, *[F.col(c).alias(f"{c}_{tag}") for c in (*own(up), *keep)])
 
     reach_y = math.ceil(math.sqrt(2) * _HIGH / _LOW)
-    reach_x = math.ceil(math.sqrt(2) * _HIGH / _LOW / math.cos(math.radians(max_lat)))
-    steps = [(y, x) for y in range(reach_y + 1) for x in range(-reach_x, reach_x + 1) if (y, x) > (0, 0)]
-    shift = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in steps]))
+    # columns that a row's tiles look through: as many as the poleward end of what they reach needs
+    tile = 360 / F.ceil(360 * math.sqrt(2) * _HIGH / F.col("_r"))
+    poleward = F.least(F.lit(90.0), (F.greatest(F.abs("y0"), F.abs(F.col("y0") + 1)) + reach_y) * tile)
+    need = F.sin(F.radians(F.col("_r") / (_LOW * 0.999)) / 2) / F.cos(F.radians(poleward))
+    span = F.when(need < 1, F.degrees(2 * F.asin(F.least(F.lit(1.0), need)))).otherwise(180.0)
+    n_around = F.ceil(360 * math.sqrt(2) * _HIGH / F.col("_r")).cast("long")
+    reach_x = F.least(F.ceil(span / tile).cast("long"), F.floor(n_around / 2).cast("long"))
+    whole = F.sequence(-reach_x, reach_x)
+    rows = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(reach_y)), lambda y: F.transform(whole, lambda x: F.struct(y.alias("y"), x.alias("x")))))
+    shift = F.explode(F.filter(rows, lambda d: (d.y > 0) | (d.x > 0)))
     plain = nodes.drop("first")
     there = plain.withColumn("d", shift).select(
         *keys, "_r", F.col("node").alias("a"), F.col("y0").alias("y0_a"), F.col("x0").alias("x0_a"),
-        (F.col("y0") + F.col("d.y")).alias("y0_b"), (F.col("x0") + F.col("d.x")).alias("x0_b"))
+        (F.col("y0") + F.col("d.y")).alias("y0_b"), F.pmod(F.col("x0") + F.col("d.x"), n_around).alias("x0_b"))
     here = plain.select(*keys, F.col("node").alias("b"), F.col("y0").alias("y0_b"), F.col("x0").alias("x0_b"))
     open_pairs = there.join(here, [*keys, "y0_b", "x0_b"])
     links = None

@@ -238,11 +238,15 @@ def pipeline(flows: DataFrame, permits: str, starts: str, n: int = 4) -> DataFra
 
 
 def complete_year_mean(cells: DataFrame, last_n: int = 5) -> DataFrame:
-    """Mean yearly sum over the last complete years (all four quarters published)."""
+    """Mean yearly sum over the last ``last_n`` complete years (all four quarters published); fails where there are fewer."""
     y = P.period_year("period")
     years = cells.select(y.alias("y"), "period").distinct().groupBy("y").agg(F.count(F.lit(1)).alias("q")).filter(F.col("q") == 4)
     full = years.orderBy(F.col("y").desc()).limit(last_n).select("y")
-    return cells.withColumn("y", y).join(full, "y", "left_semi").groupBy("area").agg((F.sum("value") / last_n).alias("value"))
+    n = full.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    told = F.concat(F.lit(f"fewer than {last_n} complete years: "), F.col("_n").cast("string"))
+    enough = n.select(F.when(F.col("_n") == last_n, F.lit(last_n)).otherwise(F.raise_error(told).cast("int")).alias("_n"))
+    return cells.withColumn("y", y).join(full, "y", "left_semi").groupBy("area").agg(F.sum("value").alias("_s")).join(
+        enough, F.lit(True)).select("area", (F.col("_s") / F.col("_n")).alias("value"))
 
 
 def observed_and_projected(observed: DataFrame, projected: DataFrame) -> DataFrame:

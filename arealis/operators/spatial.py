@@ -21,6 +21,12 @@ def _floor(x: Column, cell: float) -> Column:
     return F.floor(x / cell).cast("long")
 
 
+def _lon_reach(metres: float, lat: Column) -> Column:
+    """Degrees of longitude that hold ``metres`` anywhere up to the latitude; a half circle at the poles."""
+    there = F.cos(F.radians(F.least(F.lit(90.0), F.abs(lat))))
+    return F.when(there > 1e-9, F.least(F.lit(180.0), metres / (G.M_PER_LAT * there))).otherwise(180.0) if metres else F.lit(0.0)
+
+
 # --- point in polygon -------------------------------------------------------------------
 
 
@@ -41,7 +47,6 @@ def area_index(polygons: DataFrame, cell: float, code: str = "code", polygon: st
     """(cy, cx, cands): per grid cell the parts that may contain its points, smallest code
     first, each with only the edges that reach the cell's row."""
     pad_lat = tolerance_m / G.M_PER_LAT
-    pad_lon = tolerance_m / (G.M_PER_LON * math.cos(math.radians(75)))
     e = F.col("e")
     rows = F.sequence(
         _floor(F.least(e.a_lat, e.b_lat) - pad_lat, cell), _floor(F.greatest(e.a_lat, e.b_lat) + pad_lat, cell)
@@ -56,6 +61,7 @@ def area_index(polygons: DataFrame, cell: float, code: str = "code", polygon: st
         F.collect_list(F.when(F.col("ring") > 0, F.col("edges"))).alias("holes"),
         F.min("lo").alias("lo"), F.max("hi").alias("hi"),
     )
+    pad_lon = _lon_reach(tolerance_m, F.greatest(F.abs("cy"), F.abs(F.col("cy") + 1)) * cell)
     cols = F.sequence(_floor(F.col("lo") - pad_lon, cell), _floor(F.col("hi") + pad_lon, cell))
     cand = F.struct("code", "feat", "part", F.coalesce(F.col("rim.edges"), F.array().cast(_EDGES)).alias("rim"), "holes")
     return (
@@ -110,22 +116,34 @@ def locate_levels(points: DataFrame, levels: dict[str, DataFrame], cell: float)
 # --- distance joins ---------------------------------------------------------------------
 
 
-def _steps(radius_m: float, max_lat: float) -> tuple[float, float]:
-    """Cell height and width so that points within the radius are at most one cell apart."""
-    return radius_m / G.M_PER_LAT, radius_m / (G.M_PER_LAT * math.cos(math.radians(max_lat)))
+def _columns(row: Column, height: float) -> Column:
+    """Into how many cells a row of cells, ``height`` degrees high, is cut around the globe, so that a
+    step of one radius from the row or its neighbours never leaps over a cell; 1 at the poles."""
+    poleward = F.least(F.lit(90.0), F.greatest(F.abs(row - 1), F.abs(row + 2)) * height)
+    reach = math.sin(math.radians(height) / 2) / F.cos(F.radians(poleward))
+    width = F.degrees(2 * F.asin(F.least(F.lit(1.0), reach))) * 1.0001
+    return F.when(reach < 1, F.greatest(F.lit(1), F.floor(360 / width))).otherwise(1).cast("long")
 
 
-def _neighbour_pairs(a: DataFrame, b: DataFrame, radius_m: float, max_lat: float, on: Sequence[str] = ()) -> DataFrame:
+def _neighbour_pairs(a: DataFrame, b: DataFrame, radius_m: float, on: Sequence[str] = (), lon_factor: float | None = None) -> DataFrame:
     """Pairs of rows in the same or adjacent cells. ``a`` and ``b`` hold lat/lon under
-    ``a_lat, a_lon`` and ``b_lat, b_lon``; ``b`` is the side that is repeated nine times."""
-    h, w = _steps(radius_m, max_lat)
+    ``a_lat, a_lon`` and ``b_lat, b_lon``; ``b`` is the side that is repeated up to nine times.
+
+    Rows of cells are one radius high. Each has cells as wide as its own latitude needs, closed to a ring
+    across the 180th meridian; ``b`` enters a neighbouring row by that row's cells. With ``lon_factor``
+    distances are those of a plane with that factor everywhere, which has no ring.
+    """
+    height = radius_m / G.M_PER_LAT * 1.001  # no degree of latitude is shorter than this one
     near = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-    left = a.withColumns({"_cy": _floor(F.col("a_lat"), h), "_cx": _floor(F.col("a_lon"), w)})
+    n = _columns(F.col("_cy"), height)
+    flat = radius_m / (G.M_PER_LON * (lon_factor or 1.0)) * 1.001
+    column = lambda lon: _floor(lon, flat) if lon_factor else F.floor(F.pmod(lon + 180, F.lit(360.0)) * n / 360).cast("long")
+    side = F.array(*[F.col("_c") + i for i in (-1, 0, 1)])
+    beside = side if lon_factor else F.array_distinct(F.transform(side, lambda c: F.pmod(c, n)))
+    left = a.withColumn("_cy", _floor(F.col("a_lat"), height)).withColumn("_cx", column(F.col("a_lon")))
     right = (
-        b.withColumns({"_y": _floor(F.col("b_lat"), h), "_x": _floor(F.col("b_lon"), w)})
-        .withColumn("_dy", near).withColumn("_dx", near)
-        .withColumns({"_cy": F.col("_y") + F.col("_dy"), "_cx": F.col("_x") + F.col("_dx")})
-        .drop("_y", "_x", "_dy", "_dx")
+        b.withColumn("_dy", near).withColumn("_cy", _floor(F.col("b_lat"), height) + F.col("_dy"))
+        .withColumn("_c", column(F.col("b_lon"))).withColumn("_cx", F.explode(beside)).drop("_dy", "_c")
     )
     return left.join(right, ["_cy", "_cx", *on]).drop("_cy", "_cx")
 
@@ -134,8 +152,7 @@ def _prefixed(df: DataFrame, p: str, keep: Sequence[str] = ()) -> DataFrame:
     return df.select(*[F.col(c).alias(c if c in keep else f"{p}_{c}") for c in df.columns])
 
 
-def within_radius(a: DataFrame, b: DataFrame, radius_m: float, earth: float = G.EARTH_MEAN, max_lat: float = 60.0,
-                  on: Sequence[str] = ()) -> DataFrame:
+def within_radius(a: DataFrame, b: DataFrame, radius_m: float, earth: float = G.EARTH_MEAN, on: Sequence[str] = ()) -> DataFrame:
     """All pairs at most ``radius_m`` apart with their distance; columns get ``a_``/``b_``.
 
     Distances are computed once per pair of distinct coordinates; rows sharing a coordinate
@@ -143,23 +160,21 @@ def within_radius(a: DataFrame, b: DataFrame, radius_m: float, earth: float = G.
     """
     a2, b2 = _prefixed(a, "a", on), _prefixed(b, "b", on)
     ka, kb = ["a_lat", "a_lon", *on], ["b_lat", "b_lon", *on]
-    spots = _neighbour_pairs(a2.select(*ka).distinct(), b2.select(*kb).distinct(), radius_m, max_lat, on)
+    spots = _neighbour_pairs(a2.select(*ka).distinct(), b2.select(*kb).distinct(), radius_m, on)
     d = G.haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"), earth)
     close = spots.withColumn("dist", d).filter(F.col("dist") <= radius_m)
     return close.join(a2, ka).join(b2, kb)
 
 
-def nearest(a: DataFrame, b: DataFrame, radius_m: float, label: str, flat: bool = False, earth: float = G.EARTH_MEAN,
-            max_lat: float = 60.0) -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, radius_m: float, label: str, flat: bool = False, earth: float = G.EARTH_MEAN) -> DataFrame:
     """Every row of ``a`` with the ``label`` of the closest ``b`` under ``radius_m`` (smallest
     label on a tie); null where none is close. Copies on both sides are folded first."""
     targets = b.groupBy(F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")).agg(F.min(label).alias("_label"))
     spots = a.select(F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon")).distinct()
     cols = [F.col(c) for c in ("a_lat", "a_lon", "b_lat", "b_lon")]
     d = G.flat_distance(*cols) if flat else G.haversine(*cols, earth)
-    reach = radius_m * (1.1 if flat else 1.0)
     best = (
-        _neighbour_pairs(spots, targets, reach, max_lat).withColumn("_d", d)
+        _neighbour_pairs(spots, targets, radius_m, lon_factor=G.NAME_LON_FACTOR if flat else None).withColumn("_d", d)
         .filter(F.col("_d") < radius_m if flat else F.col("_d") <= radius_m)
         .groupBy("a_lat", "a_lon").agg(F.min(F.struct("_d", "_label")).alias("_b"))
         .select(F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon"), F.col("_b._label").alias(f"nearest_{label}"), F.col("_b._d").alias("dist"))
@@ -204,11 +219,18 @@ def fold_near_duplicates(near: DataFrame, key: Sequence[str], metres: float) ->
 # --- shapes against shapes --------------------------------------------------------------
 
 
-def _edge_cells(edges: DataFrame, cell: float, pad_lat: float = 0.0, pad_lon: float = 0.0) -> DataFrame:
-    e = F.col("e")
-    ys = F.sequence(_floor(F.least(e.a_lat, e.b_lat) - pad_lat, cell), _floor(F.greatest(e.a_lat, e.b_lat) + pad_lat, cell))
-    xs = F.sequence(_floor(F.least(e.a_lon, e.b_lon) - pad_lon, cell), _floor(F.greatest(e.a_lon, e.b_lon) + pad_lon, cell))
-    return edges.withColumn("cy", F.explode(ys)).withColumn("cx", F.explode(xs))
+def _edge_cells(edges: DataFrame, cell: float, pad_m: float = 0.0) -> DataFrame:
+    """Edges with the cells that they come within ``pad_m`` of: row by row, only the stretch inside the row."""
+    e, pad = F.col("e"), pad_m / G.M_PER_LAT
+    low, high = F.least(e.a_lat, e.b_lat), F.greatest(e.a_lat, e.b_lat)
+    rows = edges.withColumn("cy", F.explode(F.sequence(_floor(low - pad, cell), _floor(high + pad, cell))))
+    # longitudes of the edge between the row's padded borders
+    at = lambda lat: F.when(high > low, e.a_lon + (e.b_lon - e.a_lon) * (lat - e.a_lat) / (e.b_lat - e.a_lat))
+    south, north = F.greatest(low, F.col("cy") * cell - pad), F.least(high, (F.col("cy") + 1) * cell + pad)
+    west = F.coalesce(F.least(at(south), at(north)), F.least(e.a_lon, e.b_lon))
+    east = F.coalesce(F.greatest(at(south), at(north)), F.greatest(e.a_lon, e.b_lon))
+    side = _lon_reach(pad_m, F.greatest(F.abs("cy"), F.abs(F.col("cy") + 1)) * cell + pad) + 1e-9
+    return rows.withColumn("cx", F.explode(F.sequence(_floor(west - side, cell), _floor(east + side, cell))))
 
 
 def _side(p: Column, q: Column, e: Column) -> Column:
@@ -257,31 +279,20 @@ def with_override(touching: DataFrame, items: DataFrame, override: str = "overri
 def points_near_areas(points: DataFrame, polygons: DataFrame, cell: float, radius_m: float) -> DataFrame:
     """(id, code, dist): points inside an area at distance 0, others at most ``radius_m`` from
     its border, measured on the plane true at the area's middle latitude."""
-    pad_lat = radius_m / G.M_PER_LAT
-    pad_lon = radius_m / (G.M_PER_LAT * math.cos(math.radians(60)))
     inside = locate_all(points, area_index(polygons, cell), cell).select("id", "code", F.lit(0.0).alias("dist"))
     mid = ring_edge_rows(polygons).filter("ring = 0").groupBy("code").agg(
         ((F.min("e.a_lat") + F.max("e.a_lat")) / 2).alias("lat0")
     )
-    border = _edge_cells(ring_edge_rows(polygons).select("code", "e"), cell, pad_lat, pad_lon)
+    border = _edge_cells(ring_edge_rows(polygons).select("code", "e"), cell, radius_m)
     keyed = points.select("id", "lat", "lon").withColumns({"cy": _floor(F.col("lat"), cell), "cx": _floor(F.col("lon"), cell)})
     near = (
         keyed.join(border, ["cy", "cx"]).join(mid, "code")
-        .groupBy("id", "code").agg(F.min(_plane_distance(F.col("lat"), F.col("lon"), F.col("e"), F.col("lat0"))).alias("dist"))
+        .groupBy("id", "code").agg(F.min(G.segment_distance(F.col("lat"), F.col("lon"), F.col("e"), F.col("lat0"), G.M_PER_LON)).alias("dist"))
         .filter(F.col("dist") <= radius_m)
     )
     return inside.unionByName(near).groupBy("id", "code").agg(F.min("dist").alias("dist"))
 
 
-def _plane_distance(lat: Column, lon: Column, e: Column, lat0: Column) -> Column:
-    kx, ky = F.cos(F.radians(lat0)) * G.M_PER_LON, G.M_PER_LON
-    ax, ay = (e.a_lon - lon) * kx, (e.a_lat - lat) * ky
-    dx, dy = (e.b_lon - e.a_lon) * kx, (e.b_lat - e.a_lat) * ky
-    len2 = dx * dx + dy * dy
-    t = F.when(len2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / len2))).otherwise(0.0)
-    return F.sqrt((ax + t * dx) * (ax + t * dx) + (ay + t * dy) * (ay + t * dy))
-
-
 def sample_lines(lines: DataFrame, metres: float) -> DataFrame:
     """(id, lat, lon): points along lines, every segment cut into equal steps of at most
     ``metres``, both ends of the line included."""
@@ -303,9 +314,7 @@ def assign_by_majority(samples: DataFrame, stretches: DataFrame, metres: float,
 
     ``samples``: (id, seg, k, lat, lon); ``stretches``: (code, path).
     """
-    pad_lat = max_m / G.M_PER_LAT
-    pad_lon = max_m / (G.M_PER_LAT * math.cos(math.radians(60)))
-    edges = _edge_cells(line_edge_rows(stretches, "code").withColumnRenamed("id", "stretch"), cell, pad_lat, pad_lon)
+    edges = _edge_cells(line_edge_rows(stretches, "code").withColumnRenamed("id", "stretch"), cell, max_m)
     keyed = samples.withColumns({"cy": _floor(F.col("lat"), cell), "cx": _floor(F.col("lon"), cell)})
     d = G.segment_distance(F.col("lat"), F.col("lon"), F.col("e"))
     best = (

@@ -78,7 +78,7 @@ def source_cascade(spark, sf):
 # Values per area and indicator: every nation publishes the indicators whose number shares its
 # parity, regions publish all of them.
 EXPORT = f"""{VALUES}, {INDICATORS},
-v AS (SELECT iv.level, iv.code, ind.key, iv.period, iv.value * (ind.n + 1) AS value FROM iv JOIN ind ON iv.key = 'revenue' AND iv.level IN ('nation', 'region') AND iv.period >= '1999'
+v AS (SELECT iv.level, iv.code, ind.key, iv.period, iv.value * (ind.n + 1) AS value FROM iv JOIN ind ON iv.key = 'revenue' AND iv.level IN ('nation', 'region')
   AND ((iv.level = 'nation' AND CAST(iv.code AS INT) % 2 = ind.n % 2) OR (iv.level = 'region' AND ind.n % 3 <> 0))),
 ar AS (SELECT 'nation' AS level, CAST(n_nationkey AS VARCHAR) AS code, n_name AS name, CAST(n_regionkey AS VARCHAR) AS parent_code, r_name AS parent_name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION ALL SELECT 'region', CAST(r_regionkey AS VARCHAR), r_name, '', '', r_name FROM region),
@@ -88,7 +88,7 @@ inh AS (SELECT level, code, key, period, value, '' AS inherited_from FROM v
 
 
 def export_values(spark, sf):
-    v = indicator_values(spark, sf, ("nation", "region")).filter((F.col("key") == "revenue") & (F.col("period") >= "1999")).drop("key", "parent")
+    v = indicator_values(spark, sf, ("nation", "region")).filter(F.col("key") == "revenue").drop("key", "parent")
     n = F.substring("ikey", 4, 9).cast("int")
     keys = indicators(spark, sf).select(F.col("key").alias("ikey"))
     j = v.withColumn("_par", F.explode(F.array(F.lit(0), F.lit(1)))).join(keys.withColumn("_par", n % 2), "_par")
@@ -138,11 +138,11 @@ def long_area_export(spark, sf):
     return rounded(long_rows(spark, sf), digits=4)
 
 
-@query(f"""WITH {LONG}, pins AS (SELECT c_name AS property_label, 54.5::DOUBLE + (c_custkey * 37 % 3000) / 1000.0::DOUBLE AS lat, CAST(c_nationkey AS VARCHAR) AS code FROM customer WHERE c_acctbal > 9000)
+@query(f"""WITH {LONG}, pins AS (SELECT c_name AS property_label, 54.5::DOUBLE + (c_custkey * 37 % 3000) / 1000.0::DOUBLE AS lat, CAST(c_nationkey AS VARCHAR) AS code FROM customer)
 SELECT property_label, round(lat, 6) AS lat, lg.level, lg.code, indicator, period, value, value_type FROM pins JOIN lg ON (lg.level = 'nation' AND lg.code = pins.code) OR (lg.level = 'region' AND lg.code = CAST(CAST(pins.code AS INT) % 5 AS VARCHAR))""")
 def property_export(spark, sf):
     """SK11: all figures of every level that contains a pin."""
-    p = T.table(spark, sf, "customer").filter(F.col("c_acctbal") > 9000)
+    p = T.table(spark, sf, "customer")
     n = F.col("c_nationkey")
     lv = F.explode(F.array(F.struct(F.lit("nation").alias("level"), n.cast("string").alias("code")), F.struct(F.lit("region").alias("level"), (n % 5).cast("string").alias("code"))))
     pins = p.select(F.col("c_name").alias("property_label"), (F.lit(54.5) + (F.col("c_custkey") * 37 % 3000) / F.lit(1000.0)).alias("lat"), F.lit(0.0).alias("lon"), lv.alias("a")).select("property_label", "lat", "lon", "a.*")

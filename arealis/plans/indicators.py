@@ -270,12 +270,22 @@ UNION ALL SELECT 'orders_k', 'nation', area, period, round(v / 1000, 6) FROM cur
 UNION ALL SELECT 'urgent_share', 'nation', area, period, round(u / v * 100, 6) FROM cur WHERE u IS NOT NULL AND v <> 0
 UNION ALL SELECT 'orders_4q', 'nation', area, (SELECT label FROM lab), sum(value) FROM oc WHERE q IN (SELECT q FROM p4) AND value IS NOT NULL GROUP BY area""")
 def registry_compute_all(spark, sf):
-    """All registry entries as one long table; a broken entry only warns."""
+    """All registry entries as one long table; a broken entry only warns."""
     cube = T.order_cube(spark, sf)
-    out, _warnings = C.compute_registry({s.key: {"num": cube} for s in REGISTRY}, REGISTRY)
+    out, _ = C.compute_registry({s.key: {"num": cube} for s in REGISTRY}, REGISTRY)
     return r6(out)
 
 
+@query(f"""WITH {T.ORDER_CUBE} SELECT DISTINCT 'broken' AS key, area AS code, 'broken: unknown calculation no_such_calc' AS message FROM oc""")
+def registry_warnings(spark, sf):
+    """Q13: the entries that couldn't be computed, with the areas that go without."""
+    cube = T.order_cube(spark, sf)
+    _, warnings = C.compute_registry({s.key: {"num": cube} for s in REGISTRY}, REGISTRY)
+    rows = [tuple(w.split(": ", 1)) for w in warnings]
+    told = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(m).alias("message")) for k, m in rows]))
+    return cube.cells().select("area").distinct().select("area", told.alias("w")).select(F.col("w.key").alias("key"), F.col("area").alias("code"), F.col("w.message").alias("message"))
+
+
 @query(f"""WITH {T.ORDER_CUBE}, g AS (SELECT area, period, sum(value) AS v, sum(CASE WHEN prio IN {HIGH_SQL} THEN value END) AS h,
   sum(CASE WHEN prio = '1-URGENT' THEN value END) AS u FROM oc GROUP BY ALL)
 SELECT area, period, 'all' AS key, v AS value FROM g WHERE v IS NOT NULL

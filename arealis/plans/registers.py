@@ -491,13 +491,13 @@ def risk_area_names(spark, sf):
 
 SCENARIOS = """
 cu AS (SELECT CAST(l_suppkey AS VARCHAR) AS stretch, CAST(l_linenumber % 3 AS VARCHAR) AS horizon, CASE l_returnflag WHEN 'A' THEN 'low' WHEN 'N' THEN 'mid' ELSE 'high' END AS scenario,
-  CASE WHEN l_linestatus = 'F' THEN 50 WHEN l_quantity < 25 THEN 10 ELSE 90 END AS percentile, max(l_quantity) AS value FROM lineitem WHERE l_discount > 0.05 GROUP BY ALL),
+  CASE WHEN l_linestatus = 'F' THEN 50 WHEN l_quantity < 25 THEN 10 ELSE 90 END AS percentile, max(l_quantity) AS value FROM lineitem GROUP BY ALL),
 bd AS (SELECT stretch, horizon, max(CASE WHEN scenario = 'mid' AND percentile = 50 THEN value END) AS value, max(CASE WHEN scenario = 'mid' AND percentile = 10 THEN value END) AS p10,
   max(CASE WHEN scenario = 'mid' AND percentile = 90 THEN value END) AS p90, max(CASE WHEN scenario = 'low' AND percentile = 50 THEN value END) AS low, max(CASE WHEN scenario = 'high' AND percentile = 50 THEN value END) AS high FROM cu GROUP BY ALL)"""
 
 
 def bands(spark, sf):
-    li = T.table(spark, sf, "lineitem").filter(F.col("l_discount") > 0.05)
+    li = T.table(spark, sf, "lineitem")
     pct = F.when(F.col("l_linestatus") == "F", 50).when(F.col("l_quantity") < 25, 10).otherwise(90)
     cube = li.groupBy(F.col("l_suppkey").cast("string").alias("stretch"), (F.col("l_linenumber") % 3).cast("string").alias("horizon"),
                       K.lookup("l_returnflag", {"A": "low", "N": "mid", "R": "high"}).alias("scenario"), pct.alias("percentile")).agg(F.max("l_quantity").alias("value"))

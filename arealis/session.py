@@ -33,13 +33,17 @@ def build_session(master: str | None = None, app: str = "arealis", **extra: str)
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder from ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests on one machine) is a temporary folder used.
+    Where that setting is missing, a session on one machine uses a temporary folder; on a
+    cluster, whose executors couldn't see it, it is an error.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
-        current = sc.getCheckpointDir()
-        found = current or tempfile.mkdtemp(prefix="arealis-")
+        found = sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="arealis-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found

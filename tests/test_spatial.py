@@ -113,3 +113,42 @@ def test_coverage_area(spark):
     hole = [(0.25, 0.25), (0.25, 0.75), (0.75, 0.75), (0.75, 0.25)]
     poly = spark.createDataFrame([("a", [[square, hole]])], f"code string, polygon {G.POLYGON}")
     assert S.coverage(poly, 0.125).count() == 64 - 16
+
+
+def _around(lat, lon, n, spread_m, seed):
+    """Points scattered over a square of ``spread_m`` metres, longitudes kept within a half turn."""
+    rng = random.Random(seed)
+    side = spread_m / 111_000
+    wide = side / max(math.cos(math.radians(lat)), 1e-3)
+    wrap = lambda x: (x + 180) % 360 - 180
+    return [(i, max(-90.0, min(90.0, lat + rng.uniform(-side, side) / 2)), wrap(lon + rng.uniform(-wide, wide) / 2)) for i in range(n)]
+
+
+def _metres(a, b):
+    p, q = math.radians(a[1]), math.radians(b[1])
+    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+    return 2 * 6371008.8 * math.asin(min(1.0, math.sqrt(h)))
+
+
+@pytest.mark.parametrize(("lat", "lon"), [(0, 12), (45, -30), (-45, 180), (68, 10), (-68, -180), (80, 179.999), (-80, 0), (89.99, 100)])
+def test_distances_at_every_latitude(spark, lat, lon):
+    pts = _around(lat, lon, 120, 2500, seed=lat)
+    df = spark.createDataFrame(pts, "id int, lat double, lon double").coalesce(2)
+    got = {(r.a_id, r.b_id) for r in S.within_radius(df, df, 150).select("a_id", "b_id").collect()}
+    assert got == {(a[0], b[0]) for a in pts for b in pts if _metres(a, b) <= 150}
+
+
+@pytest.mark.parametrize(("lat", "lon"), [(0, 12), (-68, 180), (80, -30)])
+def test_clusters_at_every_latitude(spark, lat, lon):
+    from arealis.operators.graph import single_linkage
+
+    pts = _around(lat, lon, 90, 1200, seed=7)
+    root = list(range(len(pts)))
+    for a in pts:
+        for b in pts:
+            if _metres(a, b) <= 60 and root[a[0]] != root[b[0]]:
+                x, y = sorted((root[a[0]], root[b[0]]))
+                root = [x if r == y else r for r in root]
+    df = spark.createDataFrame([(*p, "g") for p in pts], "id int, lat double, lon double, g string").coalesce(2)
+    got = {r.id: r.component for r in single_linkage(df, ["g"], 60.0).collect()}
+    assert got == dict(enumerate(root))
