@@ -1,7 +1,7 @@
 """Order statistics that never sort a whole group in one task.
 
-Equal values of a group are folded first, then the group's value range is cut into
-buckets that are fine where values crowd. Running counts over buckets (a bounded number
+Equal values of a group are folded first, then cut into buckets at approximate quantiles of
+the distinct values, so that each holds about as many wherever they crowd. Running counts over buckets (a bounded number
 per group) plus a sort inside each bucket give every value its exact position. Ranks,
 percentiles, medians and nearest-rank breaks are all read from these positions, so a group
 holding a third of all rows is spread over many tasks.
@@ -14,15 +14,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_FINE = 256  # steps per doubling
-_DEEPEST = -40  # smallest distinguished share of the range, as a power of two
+_BUCKETS = 256  # per group, a power of two
+_SHARES = [i / _BUCKETS for i in range(1, _BUCKETS)]
+_HALVES = [_BUCKETS >> i for i in range(1, _BUCKETS.bit_length())]
 
 
-def _bucket(share: Column) -> Column:
-    """Monotone bucket of a share in 0..1: logarithmic steps near 0, linear inside a doubling."""
-    exp = F.greatest(F.lit(_DEEPEST), F.floor(F.log2(share)))
-    step = F.floor((share / F.pow(F.lit(2.0), exp) - 1) * _FINE)
-    return F.when(share <= 2.0**_DEEPEST, F.lit(_DEEPEST * _FINE - 1)).otherwise(exp * _FINE + step).cast("long")
+def _bucket(borders: Column, value: Column) -> Column:
+    """How many of the sorted borders lie below the value, by bisection."""
+    half = lambda i, s: F.when(F.get(borders, i + s - 1) < value, i + s).otherwise(i)
+    return F.aggregate(F.array(*[F.lit(h) for h in _HALVES]), F.lit(0), half)
 
 
 def positions(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
@@ -33,15 +33,13 @@ def positions(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    span = {"_lo": F.min(value).cast("double"), "_hi": F.max(value).cast("double"), "n_total": F.sum("n")}
+    number = F.col(value).cast("double")
+    span = {"_borders": F.percentile_approx(number, F.array(*[F.lit(x) for x in _SHARES]), F.lit(20 * _BUCKETS)), "n_total": F.sum("n")}
     if keys:
         ranged = folded.join(folded.groupBy(*keys).agg(*[c.alias(k) for k, c in span.items()]), keys)
     else:
         ranged = folded.withColumns({k: folded.select(c).scalar() for k, c in span.items()})
-    share = (F.col(value).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    placed = ranged.withColumn(
-        "_b", F.when(F.col("_hi") > F.col("_lo"), _bucket(share)).otherwise(F.lit(0).cast("long"))
-    )
+    placed = ranged.withColumn("_b", _bucket(F.col("_borders"), number)).drop("_borders")
     # the number of buckets per group is bounded, so this running sum is small whatever the group
     running = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     before = (

@@ -159,3 +159,17 @@ def test_projection_round_trip(spark):
     lat, lon = G.from_utm32(F.col("x"), F.col("y"))
     for r in d.select("lat", "lon", x.alias("x"), y.alias("y")).select("lat", "lon", lat.alias("a"), lon.alias("b")).collect():
         assert r.a == pytest.approx(r.lat, abs=1e-9) and r.b == pytest.approx(r.lon, abs=1e-9)
+
+
+def test_positions_with_outliers_on_either_side(spark):
+    from arealis.functions import ranking
+
+    for far in (-1e9, 1e9):
+        df = spark.range(20_000).select(F.when(F.col("id") == 0, far).otherwise(F.col("id").cast("double")).alias("v"), (F.col("id") % 2).alias("g"))
+        rows = ranking.positions(df, ["g"], "v").collect()
+        for g in (0, 1):
+            own = sorted((r.v, r.n_less, r.n_total) for r in rows if r.g == g)
+            assert [x[1] for x in own] == list(range(10_000)) and own[0][2] == 10_000
+        borders = df.agg(F.percentile_approx("v", F.array(*[F.lit(x) for x in ranking._SHARES]), F.lit(5120)).alias("b"))
+        sizes = df.join(borders, F.lit(True)).groupBy(ranking._bucket(F.col("b"), F.col("v"))).count().agg(F.max("count")).first()[0]
+        assert sizes < 3 * 20_000 / ranking._BUCKETS
