@@ -13,22 +13,31 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 query = registrar(QUERIES, ORACLES)
 
-_D, _S = r"(-?\d{1,3}(?:\.\d+)?)", r"\s*[,;]\s*"
-FORMATS = [("place", rf"!3d{_D}!4d{_D}"), ("at", rf"@{_D}{_S}{_D}"), ("param", rf"(?i)(?:^|[?&#])(?:q|ll|query|daddr|center)={_D}{_S}{_D}"), ("search", rf"/search/{_D}{_S}{_D}"), ("plain", rf"^{_D}(?:{_S}|\s+){_D}$")]
+_N, _COMMA = "-?[0-9]{1,3}(?:[.][0-9]+)?", "[ \\t\\n\\r]*[,;][ \\t\\n\\r]*"
 
 
-def _case(part: str) -> str:
-    out = "CASE"
-    for name, rx in FORMATS:
-        value = f"'{name}'" if part == "source" else f"CAST(regexp_extract(s, '{rx}', {1 if part == 'lat' else 2}) AS DOUBLE)"
-        out += f" WHEN regexp_matches(s, '{rx}') THEN {value}"
-    return out + " END"
+def _pairs(pieces: str, between: str = _COMMA) -> str:
+    """SQL: the first of the pieces that starts with two numbers, as a list of both."""
+    both = f"^({_N}){between}({_N})"
+    return f"list_filter(list_transform({pieces}, lambda p: [regexp_extract(p, '{both}', 1), regexp_extract(p, '{both}', 2)]), lambda x: x[1] <> '')[1]"
 
 
 def _location_sql(src: str) -> str:
+    keys = ", ".join(f"'{k}'" for k in P.POSITION_KEYS)
+    ways = {
+        "place": _pairs("string_split(s, '!3d')[2:]", "!4d"), "at": _pairs("string_split(s, '@')[2:]"),
+        "param": _pairs(f"list_transform(list_filter(string_split_regex(s, '[?&#]'), lambda p: contains(p, '=') and lower(split_part(p, '=', 1)) in ({keys})), lambda p: substr(p, strpos(p, '=') + 1))"),
+        "search": _pairs("string_split(s, '/search/')[2:]"),
+        "plain": f"CASE WHEN len(w) = 2 AND regexp_full_match(w[1], '{_N}') AND regexp_full_match(w[2], '{_N}') THEN w END",
+    }
+    found = ", ".join(f"{sql} AS by_{name}" for name, sql in ways.items())
+    source = " ".join(f"WHEN by_{name} IS NOT NULL THEN '{name}'" for name in ways)
+    hit = f"coalesce({', '.join(f'by_{name}' for name in ways)})"
     return f"""
 dec AS (SELECT id, trim(t) AS raw, url_decode(replace(trim(t), '+', ' ')) AS s FROM {src}),
-hit AS (SELECT id, raw, s, {_case('source')} AS source, {_case('lat')} AS lat, {_case('lon')} AS lon FROM dec),
+wd AS (SELECT *, string_split_regex(s, '{_COMMA}|[ \\t\\n\\r]+') AS w FROM dec),
+fnd AS (SELECT *, {found} FROM wd),
+hit AS (SELECT id, raw, s, CASE {source} END AS source, CAST({hit}[1] AS DOUBLE) AS lat, CAST({hit}[2] AS DOUBLE) AS lon FROM fnd),
 err AS (SELECT *, CASE WHEN raw = '' THEN 'empty' WHEN regexp_matches(s, '(?i)\\b(?:maps\\.app\\.goo\\.gl|goo\\.gl|g\\.co/kgs)\\b') THEN 'short_link' WHEN lat IS NULL OR lon IS NULL THEN 'no_match' WHEN NOT (lat BETWEEN 54 AND 58 AND lon BETWEEN 7 AND 16) THEN 'outside_dk' END AS error FROM hit)
 SELECT id, CASE WHEN error IS NULL THEN lat END AS lat, CASE WHEN error IS NULL THEN lon END AS lon, CASE WHEN error IS NULL THEN source END AS source, error FROM err"""
 
