@@ -166,11 +166,6 @@ def definitions_disagree(a: Column, b: Column, limit: float = DEFINITION_GAP) ->
     return F.coalesce(F.abs(a - b) > limit, F.lit(False))
 
 
-def display_value(value: Column, divisor: Column | float | None) -> Column:
-    d = F.lit(1.0) if divisor is None else (F.lit(divisor) if isinstance(divisor, (int, float)) else divisor)
-    return value / F.coalesce(d, F.lit(1.0))
-
-
 def period_type(period: Column, kind: Column | None = None) -> Column:
     p = F.trim(F.coalesce(period, F.lit("")))
     out = (

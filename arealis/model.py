@@ -64,10 +64,6 @@ def select_codes(df: DataFrame, select: dict[str, Any] | None) -> DataFrame:
     return df
 
 
-def one_of(col: Column | str, codes: Sequence[str]) -> Column:
-    return (F.col(col) if isinstance(col, str) else col).isin(list(codes))
-
-
 # Column sets of the exports (fixed values: file formats must match).
 AREA_COLUMNS = [
     "level", "code", "name", "parent_code", "parent_name", "region", "population",

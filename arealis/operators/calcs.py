@@ -35,10 +35,6 @@ def newest(df: DataFrame, period: str = "period") -> Column:
     return df.select(F.max(P.period_order(period))).scalar()
 
 
-def at_newest_period(df: DataFrame) -> DataFrame:
-    return df.filter(P.period_order("period") == newest(df))
-
-
 def newest_periods(df: DataFrame, n: int) -> DataFrame:
     """The last ``n`` periods that occur (published ones, not calendar ones)."""
     return (
@@ -46,18 +42,6 @@ def newest_periods(df: DataFrame, n: int) -> DataFrame:
     )
 
 
-def up_to_year(df: DataFrame, year: int, calc: str) -> DataFrame:
-    """Rows usable for a reference year: nothing after that year's own newest sub-period,
-    and for point-in-time calculations the newest sub-period alone."""
-    y, sub, kind = P.period_year("period"), P.period_sub("period"), P.period_kind("period")
-    last_sub = F.pmod(newest(df), F.lit(100))
-    own_sub = F.pmod(P.period_order("period"), F.lit(100))
-    keep = (y < year) | ((y == year) & (kind.isNull() | (own_sub <= last_sub)))
-    if calc in SAME_SUB_PERIOD:
-        keep = keep & (kind.isNull() | (own_sub == last_sub))
-    return df.filter(keep)
-
-
 def sum_by_area(df: DataFrame, *by: str) -> DataFrame:
     """Sum over every other dimension; suppressed cells are skipped, never zero."""
     keys = by or ("area",)

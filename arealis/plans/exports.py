@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify as K
+from ..model import PROPERTY_COLUMNS
 from ..operators import exports as E
 from ..session import scratch_path
 from ..sources import sinks as W
@@ -139,15 +140,16 @@ def long_area_export(spark, sf):
 
 
 @query(f"""WITH {LONG}, pins AS (SELECT c_name AS property_label, 54.5::DOUBLE + (c_custkey * 37 % 3000) / 1000.0::DOUBLE AS lat, CAST(c_nationkey AS VARCHAR) AS code FROM customer)
-SELECT property_label, round(lat, 6) AS lat, lg.level, lg.code, indicator, period, value, value_type FROM pins JOIN lg ON (lg.level = 'nation' AND lg.code = pins.code) OR (lg.level = 'region' AND lg.code = CAST(CAST(pins.code AS INT) % 5 AS VARCHAR))""")
+SELECT property_label, round(lat, 6) AS lat, 0.0::DOUBLE AS lon, lg.* FROM pins JOIN lg ON (lg.level = 'nation' AND lg.code = pins.code) OR (lg.level = 'region' AND lg.code = CAST(CAST(pins.code AS INT) % 5 AS VARCHAR))""")
 def property_export(spark, sf):
-    """SK11: all figures of every level that contains a pin."""
+    """SK11: all figures of every level that contains a pin, in the published columns."""
     p = T.table(spark, sf, "customer")
     n = F.col("c_nationkey")
     lv = F.explode(F.array(F.struct(F.lit("nation").alias("level"), n.cast("string").alias("code")), F.struct(F.lit("region").alias("level"), (n % 5).cast("string").alias("code"))))
     pins = p.select(F.col("c_name").alias("property_label"), (F.lit(54.5) + (F.col("c_custkey") * 37 % 3000) / F.lit(1000.0)).alias("lat"), F.lit(0.0).alias("lon"), lv.alias("a")).select("property_label", "lat", "lon", "a.*")
     d = E.property_rows(long_rows(spark, sf), pins)
-    return d.select("property_label", F.round("lat", 6).alias("lat"), "level", "code", "indicator", "period", F.round("value", 4).alias("value"), "value_type")
+    near = {"lat": F.round("lat", 6), "value": F.round("value", 4)}
+    return d.select(*[near.get(c, F.col(c)).alias(c) for c in PROPERTY_COLUMNS])
 
 
 @query(f"""WITH {VALUES}, o AS (SELECT code, parent, max(CASE WHEN period = '1999' AND CAST(code AS INT) % 3 <> 0 THEN value END) AS a, max(CASE WHEN period = '2000' THEN value END) AS b FROM iv WHERE level = 'nation' AND key = 'revenue' GROUP BY ALL),
