@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import may_be_among, stash
@@ -167,9 +167,17 @@ def _pseudo(feats: DataFrame, model: CoTrained, labelled: np.ndarray, most: int,
             yield pa.RecordBatch.from_arrays([pa.array(view, pa.string()), pa.array(label, pa.int32()), pa.array(key, pa.int64()), pa.array(other, pa.binary())],
                                              ["view", "label", "k", "x"])
 
-    found = feats.select("k", "a", "b").mapInArrow(run, "view string, label int, k bigint, x binary")
-    rank = F.row_number().over(Window.partitionBy("view", "label").orderBy("k", "x"))
-    return found.withColumn("_r", rank).filter(F.col("_r") <= most).collect()
+    found = feats.filter("doc_id is not null").select("k", "a", "b").mapInArrow(run, "view string, label int, k bigint, x binary")
+    # how many there are says below which hash half as many again as wanted lie; only those are fetched
+    many = found.groupBy("view", "label").agg(F.count(F.lit(1)).alias("n")).collect()
+    low = F.lit(False)
+    for g in many:
+        bound = -(1 << 63) + int((1 << 64) * min(1.0, 1.5 * most / g["n"])) - 1
+        low = low | ((F.col("view") == g["view"]) & (F.col("label") == g["label"]) & (F.col("k") <= bound))
+    by: dict[tuple, list] = {}
+    for r in sorted(found.filter(low).collect(), key=lambda r: (r["k"], bytes(r["x"]))):
+        by.setdefault((r["view"], r["label"]), []).append(r)
+    return [r for own in by.values() for r in own[:most]]
 
 
 def train(feats: DataFrame, labels: DataFrame, *, label: str = "quality", rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED,
