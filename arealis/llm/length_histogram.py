@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tokens import encoder, vocabulary_path
+from .tokens import text_encoder, vocabulary_path
 
 BLOCK = 1024
 
@@ -28,7 +28,7 @@ def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     path = vocabulary or vocabulary_path()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = text_encoder(path)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stash
-from .tokens import encoder, vocabulary_path
+from .tokens import text_encoder, vocabulary_path
 
 SIZE = 2048
 RANKED = 100_000
@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size:
     schema = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = text_encoder(path)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)

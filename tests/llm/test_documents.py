@@ -62,6 +62,24 @@ def test_tokens_equal_the_library():
         assert tok.encode(t, add_special_tokens=False).ids == np.frombuffer(ids, "<u4").tolist()
 
 
+def test_added_token_inside_texts(spark):
+    """Against the library as it comes: ids, lengths and packed pieces of texts that hold the added token's string."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok, x = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), "<|endoftext|>"
+    rng = random.Random(15)
+    texts = [x, f"a {x} b", x + x, f"{x}a", f"a  {x}  b", f"it{x}'s", f"<{x}>", "<|endoftext|", x.upper(), f"a\n\n{x}\n", None, "", "plain"]
+    texts += ["".join(rng.choice(["the ", "  ", "\n", "'s", "é", "12", x]) for _ in range(40)) for _ in range(100)]
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[1] == [64, 220, 50256, 275]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in tokens.text_encoder(tokens.vocabulary_path())(texts)] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert {r.doc_id: r.n_tokens for r in length_histogram.token_counts(df).collect()} == {i: len(w) for i, w in enumerate(want)}
+    for r in packing.pack(df, size=16, with_ids=True).collect():
+        assert r.ids == [*want[r.doc_id], 0][r.start:r.start + r.length] and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+
+
 def _lengths(texts):
     return [len(x) // 4 for x in tokens.encoder(tokens.vocabulary_path())(texts)]
 
