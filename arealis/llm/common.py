@@ -34,13 +34,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", how: str = "left_semi") -> DataFrame:
-    """Rows of ``docs`` whose ``key`` is (``left_semi``) or is not (``left_anti``) among ``ids``;
-    null counts as a value. All columns of ``docs`` stay as they are."""
-    other = ids.select(F.col(key).alias("_wanted")).distinct()
-    return docs.join(other, docs[key].eqNullSafe(F.col("_wanted")), how)
-
-
 def slices(rows: Iterable, size: int) -> Iterator[list]:
     """Lists of at most ``size`` items."""
     part: list = []

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, keep_ids, stash
+from .common import SPACE, stash
 
 MIN_WORDS = 50
 HOST_LIMIT = 0.5
@@ -37,10 +37,10 @@ METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def document_metrics(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """``doc_id, host`` and the counts of every document."""
+    """``doc_id, host``, ``key`` (a hash of the text, null like empty) and the counts of every document."""
     raw = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("host"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     split = raw.select(
-        "doc_id", "host",
+        "doc_id", "host", F.xxhash64("t").alias("key"),
         F.filter(F.split("t", SPACE + "+"), lambda x: x != "").alias("w"),
         F.length(F.regexp_replace("t", r"[^#*$%&|<>]+", "")).alias("n_symbols"),
         F.length(F.regexp_replace("t", SPACE + "+", "")).alias("word_chars"),
@@ -48,7 +48,7 @@ def document_metrics(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     ).withColumn("n", F.size("w"))
     at = lambda i: F.get(F.col("w"), i)
     hashed = split.select(
-        "doc_id", "host", "n", "n_symbols", "word_chars", F.size("lines").alias("n_lines"),
+        "doc_id", "host", "key", "n", "n_symbols", "word_chars", F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         F.when(F.col("n") > 3, F.transform(F.sequence(F.lit(0), F.col("n") - 3), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2))))
         .otherwise(F.array().cast("array<bigint>")).alias("h"),
@@ -57,7 +57,7 @@ def document_metrics(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     again = F.size("h") > F.size(F.array_distinct("h"))
     ordered = F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     marked = hashed.select(
-        "doc_id", "host", "n", "n_symbols", "word_chars", "n_lines", "n_dup_lines",
+        "doc_id", "host", "key", "n", "n_symbols", "word_chars", "n_lines", "n_dup_lines",
         F.when(again, ordered).alias("s"))
     same = lambda i: F.get(F.col("s"), i)["h"]
     places = F.filter("s", lambda x, i: (F.coalesce(same(i - 1) == x["h"], F.lit(False)) | F.coalesce(same(i + 1) == x["h"], F.lit(False))))
@@ -67,7 +67,7 @@ def document_metrics(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     total = F.aggregate(F.transform("p", gain), F.lit(0), lambda a, x: a + x)
     as_long = lambda c: F.col(c).cast("long").alias(c)
     return covered.select(
-        "doc_id", "host", F.col("n").cast("long").alias("n_words"), as_long("word_chars"), as_long("n_symbols"), as_long("n_dup_lines"),
+        "doc_id", "host", "key", F.col("n").cast("long").alias("n_words"), as_long("word_chars"), as_long("n_symbols"), as_long("n_dup_lines"),
         F.coalesce(total, F.lit(0)).cast("long").alias("n_repeat_words"), as_long("n_lines"))
 
 
@@ -103,16 +103,20 @@ def host_verdicts(metrics: DataFrame, host_limit: float = HOST_LIMIT) -> DataFra
 
 
 def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
-    """``doc_id``, the counts, ``base_failed``, ``soft_failed``, the host's ``rate`` and ``kept``."""
+    """``doc_id``, the counts, ``base_failed``, ``soft_failed``, the ``host``, its ``rate``, ``kept`` and the text's ``key``."""
     metrics = stash(document_metrics(docs, doc_id=doc_id, text=text, host=host), "host-rules")
     verdict = host_verdicts(metrics, host_limit).select(F.col("host").alias("_host"), "rate", "strict")
     both = metrics.join(verdict, F.col("host").eqNullSafe(F.col("_host")), "left")
     return both.select(
         "doc_id", *METRICS, base_failed().alias("base_failed"), soft_failed().alias("soft_failed"), F.col("host").alias("host"), "rate",
-        (~base_failed() & ~(F.col("strict") & soft_failed())).alias("kept"))
+        (~base_failed() & ~(F.col("strict") & soft_failed())).alias("kept"), "key")
 
 
 def quality_filter(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
-    """Documents that are kept, with all their columns; an id goes when one of its rows is rejected."""
-    rejected = judge(docs, host_limit=host_limit).filter(~F.col("kept")).select("doc_id")
-    return keep_ids(docs, rejected, how="left_anti")
+    """Rows that are kept, with all their columns. A row is judged by its own text and host: others that share its
+    id, or have none either, neither take it along nor save it."""
+    rejected = judge(docs, host_limit=host_limit).filter(~F.col("kept")).select(
+        F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("key").alias("_key")).distinct()
+    same = (docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].cast("string").eqNullSafe(F.col("_host"))
+            & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_key")))
+    return docs.join(rejected, same, "left_anti")

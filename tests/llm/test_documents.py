@@ -185,6 +185,17 @@ def test_clean_documents_survive_a_bad_host(spark):
     assert all(by[i] for i in range(3)) and not any(by[i] for i in range(3, 43)) and by[100]
 
 
+def test_only_rejected_rows_go(spark):
+    """Rows are told apart by id, text and host; a null id or a repeated one loses nothing else."""
+    clean = [" ".join(f"word{i}x{j}" for j in range(80)) for i in range(4)]
+    soft = "%% && ** ## $$ " * 3 + " ".join(f"w{j} &&&&&&&" for j in range(60))
+    rows = [(None, clean[0], "g", "a"), (None, "too short", "g", "b"), (None, None, "g", "c"), (7, clean[1], "g", "d"), (7, "too short", "g", "e"),
+            (7, clean[1], "g", "f"), (8, clean[2], None, "g"), (8, "", None, "h"), (9, soft, "good", "i"), (9, soft, "bad", "j")]
+    rows += [(100 + i, soft + f" q{i}", "bad", "k") for i in range(40)] + [(200 + i, clean[3] + f" q{i}", "good", "l") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, tag string").repartition(3)
+    assert sorted(r.tag for r in host_rules.quality_filter(docs).collect()) == ["a", "d", "f", "g", "i"] + ["l"] * 40
+
+
 def test_base_spans(spark):
     rng = random.Random(8)
     parts = ["a@b.c", "x.y@z-1.co.uk", "_x@c.org", "é", "1.2.3.4", "256.1.1.1", "001.02.3.4", ".5.6", "4111 1111 1111 1111", "4111-1111-1111-1111", "5  7", "1 2 3", "+1 (555) 123-4567",
