@@ -10,19 +10,23 @@ Base spans (code points, end exclusive; leftmost, non-overlapping for each kind)
 A match that fails its check is dropped without another try. Each distinct value is a *protected entity*.
 
 The method adds ``term`` spans. A term is a run of four or more letters, lower-cased. Over the distinct texts of the
-corpus it counts in how many a term occurs at all, ``n(t)``, and in how many it stands within ``REACH`` characters of a
-mention of entity e, ``n(t, e)``. What the term says about the entity is
+corpus it counts in how many a term occurs at all, ``n(t)``, and in how many that mention entity e it occurs, ``n(t, e)``,
+wherever in the text, apart from words with digits or @. What the term says about the entity is
 
     p(e | t) = n(t, e) / n(t)    and    information = log2(p(e | t) / (n(e) / N))  bits.
 
 A term seen with an entity in at least ``SUPPORT`` distinct texts discloses it when ``p >= GENERALISE`` and the information is at
 least ``BITS``. All its occurrences in documents that mention the entity become spans: removed where ``p >= REMOVE``, else
-generalised. Terms that occur near many different entities can't reach ``p`` and are left out before the corpus is counted for
-them, which is exact. Copies of a text count once, so that a page copied a thousand times doesn't make its words disclosing.
+generalised. Copies of a text count once, so that a page copied a thousand times doesn't make its words disclosing.
 
-Everything is DataFrame operations. A mention has a bounded number of terms; nothing pairs up the entities of a document
-or the documents of an entity. Counts are folded in the map tasks, so a term or an entity with a third of all rows is one row
-per task. Patterns are written so that the matcher needs neither backtracking into runs nor recursion on long ones.
+Entities that are mentioned by the same texts have the same counts for every term: they are one *group*, and only groups meet terms.
+``n(t, e)`` is at most the number of texts of e, and ``n(t)`` at least the number of texts with t that mention any such entity. So entities
+with too few texts, or too many for the bits, and terms too frequent for the largest entity beside them are left out before they
+meet. What is left is counted in small parts of the corpus first: a term too frequent there is so in the whole, which is
+counted only for terms that can still pass. All of this is exact.
+
+Everything is DataFrame operations. Nothing pairs up the entities of a document or the documents of an entity. Counts are folded in
+the map tasks, so a term or an entity with a third of all rows is one row per task. Patterns are written so that the matcher needs neither backtracking into runs nor recursion on long ones.
 
 Defined cases: a null text is empty; ids may be null or repeat (rows are told apart by id and text; equal ones have
 equal spans); an empty table gives no rows.
@@ -36,11 +40,11 @@ from pyspark.sql import functions as F
 from .common import may_be_among, stash
 
 KINDS = ["email", "ip", "card", "phone"]
-REACH = 100
 SUPPORT = 3
 GENERALISE = 0.5
 REMOVE = 0.9
 BITS = 4.0
+PARTS = [128, 16]  # shares of the texts that candidates are counted in first
 TERM = "term"
 
 _LOCAL, _LABEL = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9-]"
@@ -113,56 +117,76 @@ def _terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: F.length(w) >= 4)
 
 
-def _mentions(base: DataFrame) -> DataFrame:
-    """Adds ``mentions``: (entity, terms nearby) of every base span."""
-    def near(x: Column) -> Column:
-        low = F.greatest(F.lit(0), x["start"] - REACH)
-        before = F.substring("body", (low + 1).cast("int"), (x["start"] - low).cast("int"))
-        after = F.substring("body", (x["end"] + 1).cast("int"), F.lit(REACH))
-        # words that the window cuts and words with digits or @ are no terms
-        before = F.when(low > 0, F.regexp_replace(before, r"^\S+", "")).otherwise(before)
-        after = F.when(F.length(after) == REACH, F.regexp_replace(after, r"\S+$", "")).otherwise(after)
-        return _terms(F.regexp_replace(F.concat(before, F.lit(" "), after), r"\S*[@0-9]\S*", " "))
+def _plain_terms(text: Column) -> Column:
+    """Terms of a text without its words with digits or @."""
+    return _terms(F.array_join(F.filter(F.split(text, r"\s+"), lambda w: ~w.rlike("[@0-9]")), " "))
+
 
+def _mentions(base: DataFrame) -> DataFrame:
+    """Adds ``mentions``: the distinct entities of the base spans, null if there are none."""
     def of(kind: str) -> Column:
         value = F.lower if kind == "email" else (lambda v: v) if kind == "ip" else (lambda v: F.regexp_replace(v, "[^0-9]", ""))
-        return F.transform(kind, lambda x: F.struct(F.concat(F.lit(f"{kind}:"), value(x["value"])).alias("entity"), near(x).alias("terms")))
+        return F.transform(kind, lambda x: F.concat(F.lit(f"{kind}:"), value(x["value"])))
+
+    return base.withColumn("mentions", F.when(F.size(F.concat(*KINDS)) > 0, F.array_distinct(F.concat(*[of(k) for k in KINDS]))))
 
-    return base.withColumn("mentions", F.when(F.size(F.concat(*KINDS)) > 0, F.concat(*[of(k) for k in KINDS])))
 
+def entity_groups(base: DataFrame) -> DataFrame:
+    """``t, group, n_e``: texts and the groups of entities they mention, for entities with enough texts, and not too many. ``base``:
+    a stored table with ``t, mentions``."""
+    total = base.agg(F.count_distinct("t").alias("n")).first()["n"]
+    mention = base.filter("mentions is not null").select("t", F.explode("mentions").alias("entity")).distinct()
+    # a set of texts is named by its size and 128 bits
+    mark = [F.bit_xor(F.xxhash64(F.lit(k), "t")) for k in (1, 2)]
+    per = mention.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.struct(F.count(F.lit(1)).alias("n"), *[m.alias(f"x{k}") for k, m in enumerate(mark)]).alias("group"))
+    able = per.filter((F.col("n_e") >= SUPPORT) & (2**BITS * F.col("n_e") <= total))
+    return mention.join(able, "entity").select("t", "group", "n_e").distinct()
 
-def disclosing_terms(base: DataFrame, docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """``entity, term, p, bits``: the terms that disclose an entity. ``base``: a stored table with ``t, mentions``."""
-    mention = base.filter("mentions is not null").select("t", F.explode("mentions").alias("m")).select("t", "m.entity", "m.terms")
-    seen = mention.select("t", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    apart = mention.join(seen.filter(F.col("n_e") >= SUPPORT), "entity").select("t", "entity", F.explode("terms").alias("term")).distinct()
-    joint = stash(apart, "near-terms").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= SUPPORT)
-    # texts where the term stands near any entity are among all texts with the term
-    near_any = mention.select("t", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_any"))
-    cand = stash(joint.join(near_any, "term").filter(F.col("n_te") >= GENERALISE * F.col("n_any")).join(seen, "entity"), "candidates")
+
+def held_texts(groups: DataFrame, docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """``t, body`` of the texts in ``groups``, each once."""
+    raw = docs.select(F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("t", F.md5("body"))
+    texts = groups.select("t").distinct()
+    held = may_be_among(raw, F.xxhash64("t"), texts.select(F.xxhash64("t").alias("x")), "x").join(texts, "t", "left_semi")
+    return held.select("t", "body").dropDuplicates(["t"])
+
+
+def _text_counts(docs: DataFrame, cand: DataFrame, text: str, part: int = 1) -> DataFrame:
+    """``term, n_t``: in how many distinct texts, of one ``part``-th of them by hash, the candidates' terms occur."""
     names = cand.select("term").distinct()
-    body = F.coalesce(F.col(text), F.lit(""))
-    words = docs.select(F.md5(body).alias("t"), F.explode(_terms(body)).alias("term"))
+    own = docs.select(F.coalesce(F.col(text), F.lit("")).alias("body")).filter(F.pmod(F.xxhash64("body"), F.lit(part)) == 0)
+    words = own.select(F.md5("body").alias("t"), F.explode(_terms(F.col("body"))).alias("term"))
     thin = may_be_among(words, F.xxhash64("term"), names.select(F.xxhash64("term").alias("x")), "x")
-    n_t = thin.join(names, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    return thin.join(names, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+
+
+def disclosing_terms(base: DataFrame, groups: DataFrame, held: DataFrame, docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """``group, term, p, bits``: the terms that disclose the entities of a group. ``base, groups, held``: stored tables."""
+    most = groups.groupBy("t").agg(F.max("n_e").alias("most"))
+    word = stash(held.select("t", F.explode(_plain_terms(F.col("body"))).alias("term")).join(most, "t"), "terms-beside")
+    # texts with the term and any entity are among all texts with the term
+    any_e = word.groupBy("term").agg(F.count(F.lit(1)).alias("n_any"), F.max("most").alias("top"))
+    able = any_e.filter((F.col("n_any") >= SUPPORT) & (GENERALISE * F.col("n_any") <= F.col("top"))).select("term", "n_any")
+    both = word.join(able, "term").filter(GENERALISE * F.col("n_any") <= F.col("most")).join(groups, "t").filter(GENERALISE * F.col("n_any") <= F.col("n_e"))
+    joint = both.groupBy("group", "term", "n_e", "n_any").agg(F.count(F.lit(1)).alias("n_te"))
+    cand = stash(joint.filter((F.col("n_te") >= SUPPORT) & (F.col("n_te") >= GENERALISE * F.col("n_any"))), "candidates")
+    for part in PARTS:
+        # a term that is too frequent within a part of the texts is so within all
+        cand = cand.join(_text_counts(docs, cand, text, part), "term", "left").filter(GENERALISE * F.coalesce("n_t", F.lit(0)) <= F.col("n_te"))
+        cand = stash(cand.drop("n_t"), "candidates")
+    n_t = _text_counts(docs, cand, text)
     total = base.agg(F.count_distinct("t").alias("n"))
     p = F.col("n_te") / F.col("n_t")
     scored = cand.join(n_t, "term").join(F.broadcast(total), F.lit(True)).select(  # one row
-        "entity", "term", p.alias("p"), F.log2(p * F.col("n") / F.col("n_e")).alias("bits"))
+        "group", "term", p.alias("p"), F.log2(p * F.col("n") / F.col("n_e")).alias("bits"))
     return scored.filter((F.col("p") >= GENERALISE) & (F.col("bits") >= BITS))
 
 
-def _term_spans(docs: DataFrame, base: DataFrame, terms: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, t, terms`` as (start, end, value, removed) for documents with disclosing terms."""
-    holder = base.filter("mentions is not null").select("t", F.explode("mentions.entity").alias("entity")).distinct()
-    holder = holder.join(terms.select("entity").distinct(), "entity", "left_semi")
-    texts = stash(holder, "holders")
-    raw = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("t", F.md5("body"))
-    held = may_be_among(raw, F.xxhash64("t"), texts.select(F.xxhash64("t").alias("x")), "x").join(texts.select("t").distinct(), "t", "left_semi")
-    # equal texts have equal spans
-    held = stash(held.select("t", "body").dropDuplicates(["t"]), "held")
-    own = held.select("t", F.explode(_terms(F.col("body"))).alias("term")).join(terms.select("term", "entity", "p"), "term")
-    own = own.join(texts, ["t", "entity"], "left_semi").groupBy("t", "term").agg((F.max("p") >= REMOVE).alias("removed"))
+def _term_spans(groups: DataFrame, held: DataFrame, terms: DataFrame) -> DataFrame:
+    """``t, terms`` as (start, end, value, removed) for texts with disclosing terms; equal texts have equal spans."""
+    texts = groups.join(terms.select("group").distinct(), "group", "left_semi").select("t", "group")
+    own = held.select("t", F.explode(_terms(F.col("body"))).alias("term")).join(terms.select("term", "group", "p"), "term")
+    own = own.join(texts, ["t", "group"], "left_semi").groupBy("t", "term").agg((F.max("p") >= REMOVE).alias("removed"))
     per = own.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("m"))
     word = F.filter(found(F.col("body"), r"\p{L}+"), lambda x: F.map_contains_key("m", F.lower(x["value"])))
     spans = F.transform(word, lambda x: F.struct(x["start"], x["end"], x["value"], F.element_at("m", F.lower(x["value"])).alias("removed")))
@@ -172,8 +196,10 @@ def _term_spans(docs: DataFrame, base: DataFrame, terms: DataFrame, doc_id: str,
 def spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, t``, an array of (start, end, value) for each kind and ``terms`` (start, end, value, removed), one row per row."""
     base = stash(_mentions(base_spans(docs, doc_id=doc_id, text=text)).drop("body"), "spans")
-    terms = stash(disclosing_terms(base, docs, text=text), "terms")
-    more = _term_spans(docs, base, terms, doc_id, text)
+    groups = stash(entity_groups(base), "groups")
+    held = stash(held_texts(groups, docs, text=text), "held")
+    terms = stash(disclosing_terms(base, groups, held, docs, text=text), "terms")
+    more = _term_spans(groups, held, terms)
     both = base.drop("mentions").join(more, "t", "left")
     inside = lambda s: F.exists(F.concat(*KINDS), lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"]))
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,removed:boolean>>")

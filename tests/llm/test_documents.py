@@ -231,6 +231,18 @@ def test_disclosing_terms(spark):
     assert disclosure.report(df.limit(0)).count() == 0
 
 
+def test_terms_far_from_a_mention(spark):
+    """A name at the top of long documents counts although the address stands at their end, in all of them or in some."""
+    rng = random.Random(19)
+    filler = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(100))
+    docs = [(i, f"Quorvane {filler()} far@mail.com far2@mail.com") for i in range(4)]
+    docs += [(10 + i, f"{filler()} Mixtavel {filler() if i else ''} some@mail.com") for i in range(4)] + [(300 + i, filler()) for i in range(150)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: {x.value for x in r.terms} for r in disclosure.spans(df).collect()}
+    assert all(got[i] == {"Quorvane"} and got[10 + i] == {"Mixtavel"} for i in range(4))
+    assert not any(got[300 + i] for i in range(150))
+
+
 LONG = "This sentence belongs to the page, as many others do. "
 
 
