@@ -11,7 +11,7 @@ same way, scanned once from its first to its last character, and every occurrenc
 back through the word starts to word numbers and to code points of the original text.
 
 Defined cases: a null text has no words and is never contaminated; items without words have
-no windows; equal windows of several items count for each of them; repeated rows and null ids
+no windows; an item without an id hits like any other but is not listed; equal windows of several items count for each of them; repeated rows and null ids
 give one result row each; an empty benchmark hits nothing. Only the id and text columns are
 read, so further columns of any name do no harm.
 
@@ -102,13 +102,13 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _pattern_blocks(benchmark: DataFrame, item_id: str, item_text: str, width: int, max_chars: int) -> Iterator[list]:
-    """The benchmark's distinct windows with their items, in blocks of at most ``max_chars``
+    """The benchmark's distinct windows with their items (none for null ids, which ``collect_set`` drops), in blocks of at most ``max_chars``
     characters on average; only one block is on the driver at a time."""
 
     def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(p, str(i)) for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True)
-                   if i is not None for p in windows(t, width)]
+            out = [(p, None if i is None else str(i)) for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True)
+                   for p in windows(t, width)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.string())], ["p", "item"])
 
     pats = (

@@ -48,6 +48,16 @@ def test_decontamination(spark, odd):
     assert none.columns == odd.columns and none.count() == len(ROWS)
 
 
+def test_items_without_an_id_hit(spark):
+    item = " ".join(f"q{i}" for i in range(14))
+    bench = spark.createDataFrame([(None, item), (1, "one two three"), (None, "one two three")], "item_id long, text string")
+    df = spark.createDataFrame([(1, f"a {item} b"), (2, "x one two three"), (3, "clean")], "doc_id long, text string")
+    for most in (8_000_000, 40):
+        got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contamination(df, bench, max_chars=most).collect()}
+        assert got == {1: (14, []), 2: (3, ["1"]), 3: (0, [])}
+        assert [r.doc_id for r in decontaminate.decontaminate(df, bench, max_chars=most).collect()] == [3]
+
+
 def test_tokens_equal_the_library():
     import public_tokenizers
     from tokenizers import Tokenizer
