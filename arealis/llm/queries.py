@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, decontaminate, disclosure, host_rules, html_text, length_histogram, line_dedup, ngram_join, packing, url_filter
+from . import (
+    collocations, cotraining, decontaminate, disclosure, hard_negatives, host_rules, html_text, length_histogram, line_dedup, ngram_join, packing, superminhash,
+    url_filter,
+)
 from .common import table
 
 #: The url rules of the contract.
@@ -56,9 +59,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_equal", "n_near")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.select("vec_id", moved.alias("label"), "embedding"), F.col("vec_id") % 50 == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_url_filter, op3_cotraining_quality, op4_decontaminate, op5_best_fit_packing, op6_html_text, op7_disclosure,
-    op8_host_rules, op9_length_histogram, op10_line_dedup)}
+    op8_host_rules, op9_length_histogram, op10_line_dedup, op11_hard_negatives, op12_collocations, op13_superminhash)}
 
 _RULES_SQL = ", ".join(f"('{r}', '{v}')" for r, v in URL_RULES)
 _LISTED_SQL = ", ".join(f"('{d}')" for d in LISTED_DOMAINS)
@@ -77,6 +94,69 @@ link as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id =
 reach as (select doc_id, doc_id as c from documents union select r.doc_id, l.b from reach r join link l on l.a = r.c)
 select d.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(r.c) as component_id
 from documents d left join n using (doc_id) left join reach r on r.doc_id = d.doc_id group by d.doc_id
+""",
+    "op11_hard_negatives": """
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+s as (
+  select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+  from r a join r b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.vec_id % 50 = 0),
+p as (
+  select anchor_id, other as positive_id, score as positive_score
+  from (select *, row_number() over (partition by anchor_id order by score desc, other) as k from s where same) where k <= 5),
+n as (
+  select p.*, s.other as negative_id, s.score as negative_score,
+    row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.other) as rank
+  from p join s on s.anchor_id = p.anchor_id and not s.same and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 3
+""",
+    "op12_collocations": r"""
+with pieces as (
+  select row_number() over () as p, lang, piece
+  from (select coalesce(lang, 'und') as lang,
+      unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents)),
+w as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
+total as (select lang, sum(len(w))::bigint as n from w group by lang),
+g as (
+  select lang, s.size, w[i:i + s.size - 1] as g, count(*) as a
+  from w, (values (1), (2), (3), (4)) as s(size), unnest(range(1, greatest(1, len(w) - s.size + 2))) as t(i)
+  group by all having count(*) >= 30),
+c as (select * from g where size > 1),
+cuts as (
+  select c.lang, c.g, c.size, c.a, k, f.a as l, r.a as r, ((2000000::hugeint * c.a) // (f.a::hugeint + r.a))::bigint as score
+  from c, unnest(range(1, c.size)) as t(k)
+  join g f on f.lang = c.lang and f.g = c.g[1:k]
+  join g r on r.lang = c.lang and r.g = c.g[k + 1:]),
+best as (select * from cuts qualify row_number() over (partition by lang, g order by score, k) = 1),
+longer as (
+  select c.lang, c.g[i:i + m.m - 1] as g, max(c.a) as above
+  from c, (values (2), (3)) as m(m), unnest(range(1, greatest(1, c.size - m.m + 2))) as t(i) where m.m < c.size group by all),
+left_over as (
+  select best.* from best left join longer on longer.lang = best.lang and longer.g = best.g
+  where above is null or 100::hugeint * above < 80::hugeint * best.a),
+ranked as (
+  select lang, array_to_string(g, ' ') as phrase, a, l, r, score,
+    row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank
+  from left_over)
+select lang, rank::int as rank, phrase, a, l, r, n, score from ranked join total using (lang) where rank <= 2000
+""",
+    "op13_superminhash": r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i:i + 3], ' ') as g
+  from w, unnest(range(1, greatest(2, len(w) - 2))) as t(i) where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+link as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+reach as (select doc_id, doc_id as c from documents union select r.doc_id, l.b from reach r join link l on l.a = r.c),
+comp as (select doc_id, min(c) as component_id from reach group by doc_id)
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept
+from comp left join n using (doc_id)
 """,
     "op10_line_dedup": r"""
 with l as (
