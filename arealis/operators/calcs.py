@@ -301,7 +301,7 @@ def series(cubes: dict[str, Cube], spec: IndicatorSpec) -> DataFrame:
     return CALCS[spec.calc](cubes, spec)
 
 
-def _last_named(period: Column) -> Column:
+def last_named(period: Column) -> Column:
     """Sort key of the last period a label names."""
     last = F.trim(F.regexp_replace(F.element_at(F.split(period, "[→–]"), -1), r"\s.*$", ""))
     return P.period_order(last)
@@ -328,7 +328,7 @@ def live(cubes: dict[str, Cube], spec: IndicatorSpec) -> DataFrame:
     newest_key = newest(selected(cubes["num"], spec.select))
     cut = {**cubes, "num": _needed_for_newest(cubes["num"], spec, newest_key)}
     s = CALCS[spec.calc](cut, spec, newest_den=True) if spec.calc in _NEWEST_DENOMINATOR else series(cut, spec)
-    return s.filter(_last_named(F.col("period")) == newest_key)
+    return s.filter(last_named(F.col("period")) == newest_key)
 
 
 def history(cubes: dict[str, Cube], spec: IndicatorSpec) -> DataFrame:
@@ -337,7 +337,7 @@ def history(cubes: dict[str, Cube], spec: IndicatorSpec) -> DataFrame:
     Point-in-time figures use the newest sub-period of every year, rolling ones the year's
     fourth quarter, and trailing ones the last published period up to the newest sub-period.
     """
-    s = series(cubes, spec).withColumn("_k", _last_named(F.col("period"))).withColumn("year", P.label_year("period"))
+    s = series(cubes, spec).withColumn("_k", last_named(F.col("period"))).withColumn("year", P.label_year("period"))
     sub = F.pmod(F.col("_k"), F.lit(100))
     if spec.calc.startswith("rolling4q"):
         s = s.filter(sub == 12)
@@ -354,7 +354,7 @@ def history(cubes: dict[str, Cube], spec: IndicatorSpec) -> DataFrame:
 
 def quarterly_series(cubes: dict[str, Cube], spec: IndicatorSpec, start: str) -> DataFrame:
     """Rolling figures at every window end from ``start`` on: (area, quarter, value)."""
-    s = series(cubes, spec).withColumn("_k", _last_named(F.col("period")))
+    s = series(cubes, spec).withColumn("_k", last_named(F.col("period")))
     y, sub = F.floor(F.col("_k") / 100), F.pmod(F.col("_k"), F.lit(100)) / 3
     return s.filter(F.col("_k") >= P.period_order(F.lit(start))).select(
         "area", F.concat(y.cast("string"), F.lit("K"), sub.cast("int").cast("string")).alias("quarter"), "value"

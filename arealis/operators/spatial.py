@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 
 
-def _floor(x: Column, cell: float) -> Column:
+def floor_to_cell(x: Column, cell: float) -> Column:
     return F.floor(x / cell).cast("long")
 
 
@@ -49,7 +49,7 @@ def area_index(polygons: DataFrame, cell: float, code: str = "code", polygon: st
     pad_lat = tolerance_m / G.M_PER_LAT
     e = F.col("e")
     rows = F.sequence(
-        _floor(F.least(e.a_lat, e.b_lat) - pad_lat, cell), _floor(F.greatest(e.a_lat, e.b_lat) + pad_lat, cell)
+        floor_to_cell(F.least(e.a_lat, e.b_lat) - pad_lat, cell), floor_to_cell(F.greatest(e.a_lat, e.b_lat) + pad_lat, cell)
     )
     strips = (
         ring_edge_rows(polygons, code, polygon).withColumn("cy", F.explode(rows))
@@ -62,7 +62,7 @@ def area_index(polygons: DataFrame, cell: float, code: str = "code", polygon: st
         F.min("lo").alias("lo"), F.max("hi").alias("hi"),
     )
     pad_lon = _lon_reach(tolerance_m, F.greatest(F.abs("cy"), F.abs(F.col("cy") + 1)) * cell)
-    cols = F.sequence(_floor(F.col("lo") - pad_lon, cell), _floor(F.col("hi") + pad_lon, cell))
+    cols = F.sequence(floor_to_cell(F.col("lo") - pad_lon, cell), floor_to_cell(F.col("hi") + pad_lon, cell))
     cand = F.struct("code", "feat", "part", F.coalesce(F.col("rim.edges"), F.array().cast(_EDGES)).alias("rim"), "holes")
     return (
         parts.select("cy", F.explode(cols).alias("cx"), cand.alias("c"))
@@ -87,7 +87,7 @@ def _hits(lat: Column, lon: Column, tolerance_m: float) -> Column:
 
 
 def _with_cands(points: DataFrame, index: DataFrame, cell: float) -> DataFrame:
-    keyed = points.withColumns({"cy": _floor(F.col("lat"), cell), "cx": _floor(F.col("lon"), cell)})
+    keyed = points.withColumns({"cy": floor_to_cell(F.col("lat"), cell), "cx": floor_to_cell(F.col("lon"), cell)})
     return keyed.join(index, ["cy", "cx"], "left").drop("cy", "cx")
 
 
@@ -137,12 +137,12 @@ def _neighbour_pairs(a: DataFrame, b: DataFrame, radius_m: float, on: Sequence[s
     near = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
     n = _columns(F.col("_cy"), height)
     flat = radius_m / (G.M_PER_LON * (lon_factor or 1.0)) * 1.001
-    column = lambda lon: _floor(lon, flat) if lon_factor else F.floor(F.pmod(lon + 180, F.lit(360.0)) * n / 360).cast("long")
+    column = lambda lon: floor_to_cell(lon, flat) if lon_factor else F.floor(F.pmod(lon + 180, F.lit(360.0)) * n / 360).cast("long")
     side = F.array(*[F.col("_c") + i for i in (-1, 0, 1)])
     beside = side if lon_factor else F.array_distinct(F.transform(side, lambda c: F.pmod(c, n)))
-    left = a.withColumn("_cy", _floor(F.col("a_lat"), height)).withColumn("_cx", column(F.col("a_lon")))
+    left = a.withColumn("_cy", floor_to_cell(F.col("a_lat"), height)).withColumn("_cx", column(F.col("a_lon")))
     right = (
-        b.withColumn("_dy", near).withColumn("_cy", _floor(F.col("b_lat"), height) + F.col("_dy"))
+        b.withColumn("_dy", near).withColumn("_cy", floor_to_cell(F.col("b_lat"), height) + F.col("_dy"))
         .withColumn("_c", column(F.col("b_lon"))).withColumn("_cx", F.explode(beside)).drop("_dy", "_c")
     )
     return left.join(right, ["_cy", "_cx", *on]).drop("_cy", "_cx")
@@ -219,18 +219,18 @@ def fold_near_duplicates(near: DataFrame, key: Sequence[str], metres: float) ->
 # --- shapes against shapes --------------------------------------------------------------
 
 
-def _edge_cells(edges: DataFrame, cell: float, pad_m: float = 0.0) -> DataFrame:
+def edge_cells(edges: DataFrame, cell: float, pad_m: float = 0.0) -> DataFrame:
     """Edges with the cells that they come within ``pad_m`` of: row by row, only the stretch inside the row."""
     e, pad = F.col("e"), pad_m / G.M_PER_LAT
     low, high = F.least(e.a_lat, e.b_lat), F.greatest(e.a_lat, e.b_lat)
-    rows = edges.withColumn("cy", F.explode(F.sequence(_floor(low - pad, cell), _floor(high + pad, cell))))
+    rows = edges.withColumn("cy", F.explode(F.sequence(floor_to_cell(low - pad, cell), floor_to_cell(high + pad, cell))))
     # longitudes of the edge between the row's padded borders
     at = lambda lat: F.when(high > low, e.a_lon + (e.b_lon - e.a_lon) * (lat - e.a_lat) / (e.b_lat - e.a_lat))
     south, north = F.greatest(low, F.col("cy") * cell - pad), F.least(high, (F.col("cy") + 1) * cell + pad)
     west = F.coalesce(F.least(at(south), at(north)), F.least(e.a_lon, e.b_lon))
     east = F.coalesce(F.greatest(at(south), at(north)), F.greatest(e.a_lon, e.b_lon))
     side = _lon_reach(pad_m, F.greatest(F.abs("cy"), F.abs(F.col("cy") + 1)) * cell + pad) + 1e-9
-    return rows.withColumn("cx", F.explode(F.sequence(_floor(west - side, cell), _floor(east + side, cell))))
+    return rows.withColumn("cx", F.explode(F.sequence(floor_to_cell(west - side, cell), floor_to_cell(east + side, cell))))
 
 
 def _side(p: Column, q: Column, e: Column) -> Column:
@@ -261,8 +261,8 @@ def line_edge_rows(lines: DataFrame, id_col: str = "id", path: str = "path") ->
 
 def lines_touch_areas(lines: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
     """Distinct (id, code) of lines that cross an area's border or start inside it."""
-    border = _edge_cells(ring_edge_rows(polygons).select("code", F.col("e").alias("f")).withColumn("e", F.col("f")), cell).drop("e")
-    mine = _edge_cells(line_edge_rows(lines), cell)
+    border = edge_cells(ring_edge_rows(polygons).select("code", F.col("e").alias("f")).withColumn("e", F.col("f")), cell).drop("e")
+    mine = edge_cells(line_edge_rows(lines), cell)
     crossing = mine.join(border, ["cy", "cx"]).filter(segments_meet(F.col("e"), F.col("f"))).select("id", "code")
     start = lines.select("id", F.get("path", 0).alias("p")).select("id", F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"))
     inside = locate_all(start, area_index(polygons, cell), cell).select("id", "code")
@@ -283,8 +283,8 @@ def points_near_areas(points: DataFrame, polygons: DataFrame, cell: float, radiu
     mid = ring_edge_rows(polygons).filter("ring = 0").groupBy("code").agg(
         ((F.min("e.a_lat") + F.max("e.a_lat")) / 2).alias("lat0")
     )
-    border = _edge_cells(ring_edge_rows(polygons).select("code", "e"), cell, radius_m)
-    keyed = points.select("id", "lat", "lon").withColumns({"cy": _floor(F.col("lat"), cell), "cx": _floor(F.col("lon"), cell)})
+    border = edge_cells(ring_edge_rows(polygons).select("code", "e"), cell, radius_m)
+    keyed = points.select("id", "lat", "lon").withColumns({"cy": floor_to_cell(F.col("lat"), cell), "cx": floor_to_cell(F.col("lon"), cell)})
     near = (
         keyed.join(border, ["cy", "cx"]).join(mid, "code")
         .groupBy("id", "code").agg(F.min(G.segment_distance(F.col("lat"), F.col("lon"), F.col("e"), F.col("lat0"), G.M_PER_LON)).alias("dist"))
@@ -314,8 +314,8 @@ def assign_by_majority(samples: DataFrame, stretches: DataFrame, metres: float,
 
     ``samples``: (id, seg, k, lat, lon); ``stretches``: (code, path).
     """
-    edges = _edge_cells(line_edge_rows(stretches, "code").withColumnRenamed("id", "stretch"), cell, max_m)
-    keyed = samples.withColumns({"cy": _floor(F.col("lat"), cell), "cx": _floor(F.col("lon"), cell)})
+    edges = edge_cells(line_edge_rows(stretches, "code").withColumnRenamed("id", "stretch"), cell, max_m)
+    keyed = samples.withColumns({"cy": floor_to_cell(F.col("lat"), cell), "cx": floor_to_cell(F.col("lon"), cell)})
     d = G.segment_distance(F.col("lat"), F.col("lon"), F.col("e"))
     best = (
         keyed.join(edges, ["cy", "cx"]).withColumn("d", d).filter(F.col("d") <= max_m)
@@ -345,8 +345,8 @@ def boxes_touching_circle(bbox: DataFrame, pins: DataFrame, radius_m: float, cel
                     (F.col("lat") + dlat).alias("n"), (F.col("lon") + dlon).alias("e"))
 
     def spread(df: DataFrame, s: str, w: str, n: str, e: str) -> DataFrame:
-        return df.withColumn("cy", F.explode(F.sequence(_floor(F.col(s), cell), _floor(F.col(n), cell)))).withColumn(
-            "cx", F.explode(F.sequence(_floor(F.col(w), cell), _floor(F.col(e), cell))))
+        return df.withColumn("cy", F.explode(F.sequence(floor_to_cell(F.col(s), cell), floor_to_cell(F.col(n), cell)))).withColumn(
+            "cx", F.explode(F.sequence(floor_to_cell(F.col(w), cell), floor_to_cell(F.col(e), cell))))
 
     j = spread(p, "s", "w", "n", "e").join(spread(bbox, "south", "west", "north", "east"), ["cy", "cx"])
     meets = (F.col("south") <= F.col("n")) & (F.col("north") >= F.col("s")) & (F.col("west") <= F.col("e")) & (F.col("east") >= F.col("w"))
@@ -363,7 +363,7 @@ def coverage(polygons: DataFrame, cell: float, code: str = "code", polygon: str
     crossings of its middle line; cells are never tested one by one."""
     e = F.col("e")
     half = cell / 2
-    rows = F.sequence(_floor(F.least(e.a_lat, e.b_lat), cell), _floor(F.greatest(e.a_lat, e.b_lat), cell))
+    rows = F.sequence(floor_to_cell(F.least(e.a_lat, e.b_lat), cell), floor_to_cell(F.greatest(e.a_lat, e.b_lat), cell))
     mid = F.col("cy") * cell + half
     at = (e.b_lon - e.a_lon) * (mid - e.a_lat) / (e.b_lat - e.a_lat) + e.a_lon
     crossings = (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["indicators", "peers", "spatial", "shapes", "services", "registers", "projections", "exports", "quality", "texts", "scans"]
+MODULES = ["indicators", "registries", "peers", "spatial", "shapes", "overlay", "services", "registers", "projections", "exports", "quality", "texts", "scans"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
