@@ -53,7 +53,7 @@ def _is_star_forest(e: DataFrame) -> bool:
     return per.filter((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("root") > 0))).isEmpty()
 
 
-def _box_far(a: Column, b: Column) -> Column:
+def box_far(a: Column, b: Column) -> Column:
     """Upper bound of the distance between any two points of two boxes."""
     dy = F.greatest(a.n, b.n) - F.least(a.s, b.s)
     across = F.greatest(a.e, b.e) - F.least(a.w, b.w)
@@ -62,7 +62,7 @@ def _box_far(a: Column, b: Column) -> Column:
     return _arc(dy, F.least(across, around), lowest) * _HIGH
 
 
-def _box_near(a: Column, b: Column) -> Column:
+def box_near(a: Column, b: Column) -> Column:
     """Lower bound of the distance between two boxes."""
     dy = F.greatest(F.lit(0.0), a.s - b.n, b.s - a.n)
     across = F.greatest(F.lit(0.0), a.w - b.e, b.w - a.e)
@@ -141,8 +141,8 @@ def single_linkage(points: DataFrame, group: Sequence[str], radius_m: Column | f
         pairs = open_pairs.select(*keys, "_r", "a", "b", *up)
         for t in "ab":
             pairs = pairs.join(side(bx, d - 1, t, *own(d), "box"), [*keys, *up[:2]] if t == "a" else [*keys, *up[2:]])
-        pairs = pairs.filter(_box_near(F.col("box_a"), F.col("box_b")) <= F.col("_r"))
-        sure = pairs.filter(_box_far(F.col("box_a"), F.col("box_b")) <= F.col("_r")).select("a", "b").distinct()
+        pairs = pairs.filter(box_near(F.col("box_a"), F.col("box_b")) <= F.col("_r"))
+        sure = pairs.filter(box_far(F.col("box_a"), F.col("box_b")) <= F.col("_r")).select("a", "b").distinct()
         open_pairs = pairs.join(sure, ["a", "b"], "left_anti").drop("box_a", "box_b")
         links = sure if links is None else links.unionByName(sure)
     last = [f"{c}{_DEPTH}_{t}" for t in "ab" for c in "yx"]

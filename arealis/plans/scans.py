@@ -19,11 +19,16 @@ ORACLES: dict = {}
 query = registrar(QUERIES, ORACLES)
 
 
-def write_cube_pulls(spark, sf, folder: str) -> None:
-    """The order cube as dated pulls: an older full one and a newer one that lacks two years."""
+def cube_rows(spark, sf):
+    """The order cube as the publisher writes it: padded codes, decimal comma, two dots where suppressed."""
     c = T.order_cube(spark, sf).cells()
     cell = F.when(F.col("value").isNull(), "..").otherwise(F.replace(F.format_string("%.1f", "value"), F.lit("."), F.lit(",")))
-    rows = c.select(F.concat(F.lit(" "), F.lpad("area", 4, "0")).alias("OMRÅDE"), F.col("prio").alias("PRIO"), F.col("period").alias("TID"), cell.alias("INDHOLD"))
+    return c.select(F.concat(F.lit(" "), F.lpad("area", 4, "0")).alias("OMRÅDE"), F.col("prio").alias("PRIO"), F.col("period").alias("TID"), cell.alias("INDHOLD"))
+
+
+def write_cube_pulls(spark, sf, folder: str) -> None:
+    """The order cube as dated pulls: an older full one and a newer one that lacks two years."""
+    rows = cube_rows(spark, sf)
     for date, part in (("2026-06-01", rows), ("2026-07-01", rows.filter(F.substring("TID", 1, 4) > "1996"))):
         part.coalesce(8).write.mode("overwrite").option("sep", ";").option("header", True).csv(f"{folder}/{date}")
 
