@@ -2,9 +2,10 @@
 
 Texts are cut at ``[.,;:!?\\x0A-\\x0D]`` into pieces and those into words ``[^\\x20\\x09]+``, A-Z lower-cased; a missing language is ``und``.
 
-1. **Parse.** A word whose hash is a multiple of ``EVERY`` starts a chunk; a chunk runs on for ``MOST - 1`` words into what
-   follows it. Where a chunk starts depends on that word alone, so a passage that repeats anywhere falls into the same
-   chunks, and the corpus becomes a dictionary of distinct chunks with frequencies.
+1. **Parse.** A text is a row of words with a stop between its pieces. A word whose hash is a multiple of ``EVERY`` starts a chunk; a
+   chunk runs on for ``MOST - 1`` words into what follows it. Where a chunk starts depends on that word alone, so a passage that
+   repeats anywhere falls into the same chunks, and the corpus becomes a dictionary of distinct chunks with frequencies.
+   A chunk of ``LONGEST`` words ends there, which bounds what a task holds and changes no count.
 2. **Counts.** N-grams are counted inside distinct chunks, weighted by the chunk's frequency. An n-gram belongs to the chunk in whose
    own words it starts; the words that a chunk shares with the next give it room but start nothing, so each occurrence counts once.
 3. **Only what can pass.** A phrase is at most as frequent as its parts. An n-gram is brought forward only if both its (n-1)-grams may be
@@ -12,8 +13,7 @@ Texts are cut at ``[.,;:!?\\x0A-\\x0D]`` into pieces and those into words ``[^\\
    themselves are by the phrase's words and exact. No count, chunk or phrase is capped.
 4. **Scores** use decimals, which hold the products. Spark counts, joins and ranks; Python only cuts texts and chunks.
 
-Defined cases: null and empty texts have no words; repeated rows count each; very long pieces without a starting word are one
-chunk; ids and other columns are not read. Languages without a candidate have no rows.
+Defined cases: null and empty texts have no words; repeated rows count each; very long texts are many chunks; ids and other columns are not read. Languages without a candidate have no rows.
 """
 
 from __future__ import annotations
@@ -33,15 +33,18 @@ from .shingles import mix
 
 MOST = 4  # words of a phrase
 LEAST = 30  # occurrences of a candidate
-EVERY = 12  # one word in so many starts a chunk
-HELD = 200_000  # chunks that a task gathers before it hands them on
+EVERY = 48  # one word in so many starts a chunk
+LONGEST = 2048  # words of a chunk's own
+HELD = 40_000  # chunks that a task gathers before it hands them on
+ROWS = 2000  # chunks whose n-grams are counted at a time
 KNOWN = 500_000  # words whose hash a task remembers
 SALTS = 64
 
 _U = np.uint64
 #: The characters that end a piece.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
-_CUT = bytes.maketrans(_ENDS, b"\n" * len(_ENDS))
+_STOP = b"."  # every full stop ends a piece, so no word is one
+_CUT = bytes.maketrans(_ENDS, _STOP * len(_ENDS))
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], _U)
 
 
@@ -51,20 +54,19 @@ class _Starts(dict):
     def __missing__(self, word: bytes) -> bool:
         if len(self) >= KNOWN:
             self.clear()
-        self[word] = out = xxhash.xxh32_intdigest(word) % EVERY == 0
+        self[word] = out = word != _STOP and xxhash.xxh32_intdigest(word) % EVERY == 0
         return out
 
 
 def chunks(text: bytes, starts: _Starts) -> Iterator[tuple[bytes, int]]:
-    """(words joined by spaces, how many of them are its own) of every chunk of a text."""
-    for piece in text.lower().translate(_CUT).split(b"\n"):
-        # bytes are split at ASCII white space, of which only spaces and tabs are left
-        words = piece.split()
-        if not words:
-            continue
-        at = [0, *(i for i, w in enumerate(words) if i and starts[w]), len(words)]
-        for a, b in zip(at, at[1:], strict=False):
-            yield b" ".join(words[a : b + MOST - 1]), b - a
+    """(words and stops joined by spaces, how many of them are its own) of every chunk of a text."""
+    # bytes are split at ASCII white space, of which only spaces and tabs are left
+    words = text.lower().translate(_CUT).replace(_STOP, b" . ").split()
+    at = [0, *(i for i, w in enumerate(words) if starts[w] and i), len(words)]
+    for a, b in zip(at, at[1:], strict=False):
+        for c in range(a, b, LONGEST):
+            d = min(b, c + LONGEST)
+            yield b" ".join(words[c : d + MOST - 1]), d - c
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
@@ -142,13 +144,15 @@ def counted(parse: DataFrame, n: int, marks: tuple[int, np.ndarray] | None) -> D
     bits, sent = (marks[0], spark.sparkContext.broadcast(marks[1])) if marks else (0, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part.slice(i, ROWS) for part in batches for i in range(0, part.num_rows, ROWS)):
             lists = pc.split_pattern(b.column(1), " ")
-            flat, size = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            flat, size = lists.flatten(), pc.list_value_length(lists).to_numpy()
             row = np.repeat(np.arange(b.num_rows), size)
             place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
             own = b.column(2).to_numpy()
+            stops = np.concatenate(([0], np.cumsum(pc.equal(flat, ".").to_numpy(zero_copy_only=False))))
             at = np.flatnonzero((place < own[row]) & (place + n <= size[row]))
+            at = at[stops[at] == stops[at + n]]
             if marks and len(at):
                 tongue, held = _tongues(b.column(0)), sent.value
 

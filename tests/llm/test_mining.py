@@ -123,14 +123,17 @@ def test_collocations(spark, top):
     assert collocations.collocations(df.limit(0)).count() == 0
 
 
-def test_chunks_hold_each_start_once():
+@pytest.mark.parametrize(("every", "longest"), [(48, 2048), (2, 2048), (48, 5)])
+def test_chunks_hold_each_start_once(monkeypatch, every, longest):
+    monkeypatch.setattr(collocations, "EVERY", every)
+    monkeypatch.setattr(collocations, "LONGEST", longest)
     rng = random.Random(8)
-    text = " ".join(rng.choice(["a", "bb", "c", "dd.", "e"]) for _ in range(3000)).encode()
+    text = " ".join(rng.choice(["a", "bb", "c", "dd.", "e", "fff"]) for _ in range(3000)).encode()
     starts = collocations._Starts()
     got, want = Counter(), Counter()
     for chunk, own in collocations.chunks(text, starts):
         w = chunk.split(b" ")
-        got.update(tuple(w[i:i + 4]) for i in range(own) if i + 4 <= len(w))
+        got.update(tuple(w[i:i + 4]) for i in range(own) if i + 4 <= len(w) and b"." not in w[i:i + 4])
     for piece in text.split(b"."):
         w = piece.split()
         want.update(tuple(w[i:i + 4]) for i in range(len(w) - 3))
