@@ -29,6 +29,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as set it apart from the columns of a table (in any case of letters)."""
+    used, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone; other letters stay as they are."""
     return F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())

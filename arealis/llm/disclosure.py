@@ -37,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import may_be_among, stash
+from .common import free_names, may_be_among, stash
 
 KINDS = ["email", "ip", "card", "phone"]
 SUPPORT = 3
@@ -222,11 +222,12 @@ def sanitise(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     mark = lambda k: F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"[{k.upper()}]").alias("put")))
     term = F.transform("terms", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["removed"], "").otherwise("[TERM]").alias("put")))
     found_ = spans(docs, doc_id=doc_id, text=text).filter(F.size(F.concat(*KINDS)) + F.size("terms") > 0)
-    cut = found_.select(F.col("t").alias("_t"), F.array_sort(F.concat(*[mark(k) for k in KINDS], term)).alias("_s")).dropDuplicates(["_t"])
-    cut = cut.withColumn("_m", _running(F.transform("_s", lambda x: x["end"]), F.greatest, F.lit(0).cast("long")))
-    reach = lambda i: F.coalesce(F.get(F.col("_m"), i - 1), F.lit(0).cast("long"))
+    _t, _s, _m = free_names(docs.columns, "_t", "_s", "_m")
+    cut = found_.select(F.col("t").alias(_t), F.array_sort(F.concat(*[mark(k) for k in KINDS], term)).alias(_s)).dropDuplicates([_t])
+    cut = cut.withColumn(_m, _running(F.transform(_s, lambda x: x["end"]), F.greatest, F.lit(0).cast("long")))
+    reach = lambda i: F.coalesce(F.get(F.col(_m), i - 1), F.lit(0).cast("long"))
     part = lambda x, i: F.when(x["start"] >= reach(i), F.concat(F.substring(text, (reach(i) + 1).cast("int"), (x["start"] - reach(i)).cast("int")), x["put"])).otherwise("")
-    tail = F.substring(text, (F.get(F.col("_m"), F.size("_s") - 1) + 1).cast("int"), F.length(text))
-    both = docs.join(cut, F.md5(F.coalesce(F.col(text), F.lit(""))) == F.col("_t"), "left")
-    clean = F.when(F.col("_s").isNull(), docs[text]).otherwise(F.concat(F.array_join(F.transform("_s", part), ""), tail))
+    tail = F.substring(text, (F.get(F.col(_m), F.size(_s) - 1) + 1).cast("int"), F.length(text))
+    both = docs.join(cut, F.md5(F.coalesce(docs[text], F.lit(""))) == F.col(_t), "left")
+    clean = F.when(F.col(_s).isNull(), docs[text]).otherwise(F.concat(F.array_join(F.transform(_s, part), ""), tail))
     return both.select(*[clean.alias(text) if c == text else docs[c] for c in docs.columns])

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, stash
+from .common import SPACE, free_names, stash
 
 MIN_WORDS = 50
 HOST_LIMIT = 0.5
@@ -115,8 +115,9 @@ def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host:
 def quality_filter(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     """Rows that are kept, with all their columns. A row is judged by its own text and host: others that share its
     id, or have none either, neither take it along nor save it."""
-    rejected = judge(docs, host_limit=host_limit).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("key").alias("_key")).distinct()
-    same = (docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].cast("string").eqNullSafe(F.col("_host"))
-            & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_key")))
+    names = free_names(docs.columns, "_id", "_host", "_key")
+    rejected = judge(docs, host_limit=host_limit).filter(~F.col("kept")).select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "host", "key"), names, strict=True)]).distinct()
+    own_id, own_host, own_key = (F.col(n) for n in names)
+    same = (docs["doc_id"].eqNullSafe(own_id) & docs["source"].cast("string").eqNullSafe(own_host)
+            & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == own_key))
     return docs.join(rejected, same, "left_anti")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import may_be_among, stash
+from .common import free_names, may_be_among, stash
 from .shingles import mix, shingle_set, word_hashes
 
 RATIO = 1.25  # of the ends of a band
@@ -327,5 +327,6 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The document of the smallest id of every class, with all columns."""
-    extra = classes(docs, k, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(extra, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = free_names(docs.columns, "_gone")[0]
+    extra = classes(docs, k, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(extra, docs["doc_id"] == F.col(gone), "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from arealis.llm import line_dedup, ngram_join, shingles  # noqa: E402
+from arealis.llm import disclosure, host_rules, line_dedup, ngram_join, shingles  # noqa: E402
 
 
 @pytest.mark.parametrize("edits", [1, 2, 4])
@@ -112,3 +112,18 @@ def test_keep_one(spark):
     got = ngram_join.keep_one(docs)
     assert got.columns == docs.columns and sorted((r.doc_id, r.node) for r in got.collect()) == [(1, 2), (4, 4), (5, 5), (5, 5)]
     assert ngram_join.classes(docs.limit(0)).count() == 0
+
+
+def test_clashing_names(spark):
+    line = "a line that is long enough"
+    names = ["n_lines", "n_equal", "n_near", "_d", "_t", "_e", "_n", "_gone", "_id", "_host", "_key", "_s", "_m", "N_Lines_"]
+    rows = [(1, line, "s"), (2, line, "s"), (3, None, None), (4, "mail a@b.dk " * 3, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    kept = {
+        "lines": line_dedup.line_filter(docs), "near": ngram_join.keep_one(docs), "rules": host_rules.quality_filter(docs), "personal": disclosure.sanitise(docs),
+    }
+    for name, df in kept.items():
+        assert df.columns == docs.columns, name
+        assert all(r[n] == i for r in df.collect() for i, n in enumerate(names)), name
+    assert line_dedup.dedup_lines(docs).columns == [*docs.columns, *line_dedup.count_names(docs)]
+    assert line_dedup.count_names(docs)[0].lower() not in {c.lower() for c in docs.columns}
