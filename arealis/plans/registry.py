@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["indicators", "registries", "peers", "spatial", "shapes", "overlay", "services", "registers", "projections", "exports", "quality", "texts", "scans", "pulls", "nearby"]
+MODULES = ["indicators", "registries", "peers", "spatial", "shapes", "overlay", "services", "registers", "projections", "exports", "quality", "texts", "scans", "pulls", "nearby", "documents"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -197,12 +197,5 @@ def map_object_file_scan(spark, sf):
     el = F.struct("type", "id", F.lit(55.0).alias("lat"), F.lit(12.0).alias("lon"), "tags")
     # many small documents, as the source delivers them
     ob.select(F.array(el).alias("elements")).write.json(path)
-    one = SR.services(_all_objects(spark, path))
+    one = SR.services(SR.map_object_rows(spark, path))
     return one.select(F.when(F.startswith("osm", F.lit("w")), "way").otherwise("node").alias("type"), F.substring("osm", 2, 20).cast("long").alias("id")).distinct()
-
-
-def _all_objects(spark, path):
-    from ..model import MAP_OBJECT_SCHEMA
-
-    e = spark.read.schema(MAP_OBJECT_SCHEMA).json(path).select(F.explode("elements").alias("e"))
-    return e.select("e.type", "e.id", "e.lat", "e.lon", "e.tags")

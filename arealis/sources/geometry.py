@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import documents
+
 _FEATURE = T.StructType([
     T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
     T.StructField("geometry", T.StructType([
         T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType()),
     ])),
 ])
-_COLLECTION = T.StructType([T.StructField("features", T.ArrayType(_FEATURE))])
 
 
 def _points(ring: Column) -> Column:
@@ -29,10 +30,10 @@ def _open_ring(ring: Column) -> Column:
 
 
 def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Features of collections, or one feature per line (which splits over tasks)."""
+    """Features of collections, each cut into its features by many tasks, or one feature per line."""
     if lines:
         return spark.read.schema(_FEATURE).json(path)
-    return spark.read.schema(_COLLECTION).option("multiLine", True).json(path).select(F.explode("features").alias("f")).select("f.*")
+    return documents.elements(spark, path, "features").select(F.from_json("text", _FEATURE).alias("f")).select("f.*")
 
 
 def polygons(features: DataFrame, code_keys: Sequence[str], name_keys: Sequence[str] = ("navn", "name")) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions import geometry as G
 from ..functions import parsing as P
 from ..functions import text as X
 from ..model import MAP_OBJECT_SCHEMA
+from . import documents
 
 # Institution types of the register that are kept, and what they are called.
 SCHOOL_TYPES = {
@@ -36,15 +37,20 @@ def with_point(df: DataFrame, wkt: str = "byg404Koordinat.wkt") -> DataFrame:
     return p.withColumns({"lat": lat, "lon": lon}).drop("_p")
 
 
-def map_objects(spark: SparkSession, path: str) -> DataFrame:
-    """(type, id, lat, lon, tags): nodes at their point, ways at the mean of their vertices or
-    at the centre given; each object once."""
-    e = spark.read.schema(MAP_OBJECT_SCHEMA).option("multiLine", True).json(path).select(F.explode("elements").alias("e"))
+def map_object_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(type, id, lat, lon, tags) as often as the documents hold them: nodes at their point, ways at the centre given or the mean
+    of their vertices, nothing without a position. A large document is read by many tasks."""
+    element = MAP_OBJECT_SCHEMA["elements"].dataType.elementType
+    e = documents.elements(spark, path, "elements").select(F.from_json("text", element).alias("e"))
     shape = F.col("e.geometry")
     lat = F.coalesce("e.center.lat", "e.lat", G.vertex_mean(shape, "lat"))
     lon = F.coalesce("e.center.lon", "e.lon", G.vertex_mean(shape, "lon"))
-    d = e.select("e.type", "e.id", lat.alias("lat"), lon.alias("lon"), "e.tags")
-    return d.filter(F.col("lat").isNotNull()).dropDuplicates(["type", "id"])
+    return e.select("e.type", "e.id", lat.alias("lat"), lon.alias("lon"), "e.tags").filter(F.col("lat").isNotNull())
+
+
+def map_objects(spark: SparkSession, path: str) -> DataFrame:
+    """Map objects, each once however many documents carry it."""
+    return map_object_rows(spark, path).dropDuplicates(["type", "id"])
 
 
 def services(objects: DataFrame) -> DataFrame:
