@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import may_be_among, stash
+from .common import free_names, may_be_among, stash
 
 MAX_EDITS = 1
 MIN_CHARS = 20
@@ -59,19 +59,19 @@ def _keys(s: Column, n: Column, edits: int, rests: bool) -> Column:
     plan = [(less, i, shift) for less in range(edits + 1) for i in range(1, parts + 1)
             for shift in range(max(1 - i, less - (edits + 1 - i)), min(i - 1, less + edits + 1 - i) + 1)]
 
-    def entry(p: Column) -> Column:
-        size = n - p["less"]
+    def entry(less: int, i: int, shift: int) -> Column:
+        size = n - less
         short = F.floor(size / parts).cast("int")
         even = parts - (size - short * parts)  # the segments after these are longer by one
-        length = short + F.when(p["i"] > even, 1).otherwise(0)
-        at = 1 + (p["i"] - 1) * short + F.greatest(F.lit(0), p["i"] - 1 - even) + p["shift"]
-        fields = [F.xxhash64(p["i"], size, F.substring(s, at, length)).alias("key"), ((p["less"] == 0) & (p["shift"] == 0)).alias("indexed")]
+        length = short + F.when(i > even, 1).otherwise(0)
+        at = 1 + (i - 1) * short + F.greatest(F.lit(0), i - 1 - even) + shift
+        fields = [F.xxhash64(F.lit(i), size, F.substring(s, at, length)).alias("key"), F.lit(less == 0 and shift == 0).alias("indexed")]
         if rests:
             fields.append(F.concat(F.substring(s, F.lit(1), at - 1), F.substring(s, at + length, n)).alias("rest"))
         return F.when((size >= parts) & (at >= 1) & (at + length <= n + 1), F.struct(*fields))
 
-    asked = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in plan])
-    return F.transform(asked, entry)
+    # one expression per entry: code is generated for it, as it isn't for a function over an array
+    return F.array(*[entry(*p) for p in plan])
 
 
 def _exploded(df: DataFrame, text: str, edits: int, rests: bool) -> DataFrame:
@@ -245,20 +245,25 @@ def decisions(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_
         F.transform(F.filter("gone", lambda x: x["near"]), lambda x: x["pos"]).alias("near"))
 
 
+def count_names(docs: DataFrame) -> list[str]:
+    """Names of the counts that ``dedup_lines`` adds."""
+    return free_names(docs.columns, "n_lines", "n_equal", "n_near")
+
+
 def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """All columns of ``docs`` with ``text`` rid of its repeated lines, and ``n_lines, n_equal, n_near``
-    (lines, and those that went) as last columns."""
+    (lines, and those that went) as last columns; a count whose name is taken gets an underscore behind it."""
+    _d, _t, _e, _n = free_names(docs.columns, "_d", "_t", "_e", "_n")
     gone = decisions(docs.select("doc_id", "text"), max_edits, min_chars).select(
-        F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("equal").alias("_e"), F.col("near").alias("_n"))
-    both = docs.join(gone, (F.col("doc_id") == F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left")
-    cut = F.split("text", "\n")
-    drop = F.array_union("_e", "_n")
+        F.col("d").alias(_d), F.col("t").alias(_t), F.col("equal").alias(_e), F.col("near").alias(_n))
+    both = docs.join(gone, (docs["doc_id"] == F.col(_d)) & (F.xxhash64(docs["text"]) == F.col(_t)), "left")
+    cut = F.split(docs["text"], "\n")
+    drop = F.array_union(_e, _n)
     kept = F.array_join(F.filter(cut, lambda _, i: ~F.array_contains(drop, i)), "\n")
     many = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    counts = [F.when(F.col("text").isNull(), 0).otherwise(F.size(cut)).cast("long").alias("n_lines"),
-              F.when(F.col("_e").isNull(), 0).otherwise(many("_e")).cast("long").alias("n_equal"),
-              F.when(F.col("_n").isNull(), 0).otherwise(many("_n")).cast("long").alias("n_near")]
-    text = F.when(F.col("_d").isNull(), F.col("text")).otherwise(kept).alias("text")
+    total = [F.when(docs["text"].isNull(), 0).otherwise(F.size(cut)), F.when(F.col(_e).isNull(), 0).otherwise(many(_e)), F.when(F.col(_n).isNull(), 0).otherwise(many(_n))]
+    counts = [c.cast("long").alias(n) for c, n in zip(total, count_names(docs), strict=True)]
+    text = F.when(F.col(_d).isNull(), docs["text"]).otherwise(kept).alias("text")
     return both.select(*[text if c == "text" else docs[c] for c in docs.columns], *counts)
 
 
@@ -267,7 +272,8 @@ def line_filter(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
     that had text and has none left, all of it standing elsewhere, goes."""
     names = docs.columns
     done = dedup_lines(docs, max_edits, min_chars)
-    changed = F.col("n_equal") + F.col("n_near") > 0
+    _, equal, near = count_names(docs)
+    changed = F.col(equal) + F.col(near) > 0
     left = done.filter(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
