@@ -52,31 +52,36 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
         "*", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def _keys(s: Column, n: Column, edits: int, rests: bool) -> Column:
-    """Entries (key, indexed) of a string of ``n`` characters: its segments for the index and for probing, null
-    where it is too short; with ``rests`` also what remains without the segment."""
-    parts = edits + 1
-    plan = [(less, i, shift) for less in range(edits + 1) for i in range(1, parts + 1)
+def _plan(edits: int) -> list[tuple[int, int, int]]:
+    """(characters fewer, segment, shift) of every entry of a string; those of its own length without shift are indexed."""
+    return [(less, i, shift) for less in range(edits + 1) for i in range(1, edits + 2)
             for shift in range(max(1 - i, less - (edits + 1 - i)), min(i - 1, less + edits + 1 - i) + 1)]
 
+
+def _entries(s: Column, n: Column, edits: int, rests: bool) -> list[Column]:
+    """Entries of a string of ``n`` characters in the order of the plan: keys of its segments for the index and for probing, null
+    where it is too short; with ``rests`` structs (key, indexed, rest), with what remains without the segment."""
+    parts = edits + 1
+
     def entry(less: int, i: int, shift: int) -> Column:
         size = n - less
         short = F.floor(size / parts).cast("int")
         even = parts - (size - short * parts)  # the segments after these are longer by one
         length = short + F.when(i > even, 1).otherwise(0)
         at = 1 + (i - 1) * short + F.greatest(F.lit(0), i - 1 - even) + shift
-        fields = [F.xxhash64(F.lit(i), size, F.substring(s, at, length)).alias("key"), F.lit(less == 0 and shift == 0).alias("indexed")]
+        key = F.xxhash64(F.lit(i), size, F.substring(s, at, length))
         if rests:
-            fields.append(F.concat(F.substring(s, F.lit(1), at - 1), F.substring(s, at + length, n)).alias("rest"))
-        return F.when((size >= parts) & (at >= 1) & (at + length <= n + 1), F.struct(*fields))
+            rest = F.concat(F.substring(s, F.lit(1), at - 1), F.substring(s, at + length, n))
+            key = F.struct(key.alias("key"), F.lit(less == 0 and shift == 0).alias("indexed"), rest.alias("rest"))
+        return F.when((size >= parts) & (at >= 1) & (at + length <= n + 1), key)
 
     # one expression per entry: code is generated for it, as it isn't for a function over an array
-    return F.array(*[entry(*p) for p in plan])
+    return [entry(*p) for p in _plan(edits)]
 
 
-def _exploded(df: DataFrame, text: str, edits: int, rests: bool) -> DataFrame:
+def _exploded(df: DataFrame, text: str, edits: int) -> DataFrame:
     """``df`` (with the length as ``chars``) with an entry ``e`` of its text a row."""
-    return df.withColumn("e", F.explode(_keys(F.col(text), F.col("chars"), edits, rests))).filter("e is not null")
+    return df.withColumn("e", F.explode(F.array(*_entries(F.col(text), F.col("chars"), edits, True)))).filter("e is not null")
 
 
 def _met(entries: DataFrame) -> DataFrame:
@@ -117,14 +122,14 @@ def _candidates(met: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     if crowd.isEmpty():
         return pairs.distinct()
     # the rest of each crowded entry; what doesn't share its key is dropped by the join
-    entry = _exploded(texts.select("h", "first", "line", F.length("line").alias("chars")), "line", edits, True)
+    entry = _exploded(texts.select("h", "first", "line", F.length("line").alias("chars")), "line", edits)
     level = entry.select("h", "first", F.col("e.key").alias("key"), F.col("e.rest").alias("rest"))
     level = stash(level.join(crowd.distinct(), ["key", "h"], "left_semi"), "crowd")
     short = SHORT if edits == 1 else 2 * edits
     for _ in range(ROUNDS):
         pairs = pairs.unionByName(_short_rests(level.filter(F.length("rest") <= short), edits))
         # a short rest may still meet a longer one
-        split = _exploded(level.filter(F.length("rest") > short - edits).withColumn("chars", F.length("rest")), "rest", edits, True)
+        split = _exploded(level.filter(F.length("rest") > short - edits).withColumn("chars", F.length("rest")), "rest", edits)
         deeper = split.select(F.xxhash64("key", "e.key").alias("key"), "h", "first", F.col("e.indexed").alias("indexed"), F.col("e.rest").alias("rest"))
         met = stash(_met(deeper), "crowd")
         pairs = pairs.unionByName(_paired(met))
@@ -212,9 +217,10 @@ def within(x: Column, y: Column, edits: int) -> Column:
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``h, h2`` of every line that lies within ``max_edits`` of an earlier one. ``firsts``: (h, h2, first)."""
-    entry = _exploded(_lines(docs, min_chars).select("h", "line", "chars"), "line", max_edits, False)
-    entry = entry.groupBy(F.col("e.key").alias("key"), "h").agg(F.max("e.indexed").alias("indexed"))
+    """``h, h2`` of every line that lies within ``max_edits`` of an earlier one. ``firsts``: (h, h2, first, keys)."""
+    entry = firsts.select("h", F.posexplode("keys").alias("i", "key")).filter("key is not null")
+    indexed = [i for i, (less, _, shift) in enumerate(_plan(max_edits)) if less == 0 and shift == 0]
+    entry = entry.groupBy("key", "h").agg(F.max(F.col("i").isin(indexed)).alias("indexed"))
     met = stash(_met(entry), "met")
     wanted = firsts.join(met.select("h").distinct(), "h", "left_semi")
     owner = wanted.select(F.col("first.d").alias("d"), F.col("first.t").alias("t"), F.col("first.pos").alias("pos"), "h", "h2", "first")
@@ -232,11 +238,13 @@ def near_lines(docs: DataFrame, firsts: DataFrame, max_edits: int = MAX_EDITS, m
 def decisions(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``d, t, equal, near``: places of the lines that go, by document; ``equal`` repeats an earlier
     line, ``near`` lies within ``max_edits`` of one."""
-    lines = _lines(docs, min_chars)
-    groups = lines.groupBy("h", "h2").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
-    groups = stash(groups, "lines")
+    # texts are split and hashed once; what follows reads places and hashes
+    keys = F.array(*_entries(F.col("line"), F.col("chars"), max_edits, False))
+    lines = stash(_lines(docs, min_chars).select("d", "t", "pos", "h", "h2", keys.alias("keys")), "lines")
+    groups = lines.groupBy("h", "h2").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
+    groups = stash(groups, "line-groups")
     near = near_lines(docs, groups, max_edits, min_chars).withColumn("near", F.lit(True))
-    marked = stash(groups.join(near, ["h", "h2"], "left").withColumn("near", F.coalesce("near", F.lit(False))).filter("n > 1 or near"), "marked")
+    marked = stash(groups.drop("keys").join(near, ["h", "h2"], "left").withColumn("near", F.coalesce("near", F.lit(False))).filter("n > 1 or near"), "marked")
     where = may_be_among(lines.select("d", "t", "pos", "h", "h2"), F.col("h"), marked, "h").join(marked.select("h", "h2", "first", "near"), ["h", "h2"])
     goes = where.filter("near or first <> struct(d, t, pos)")
     own = F.struct("pos", "near")
