@@ -99,17 +99,36 @@ def join_gap(projected: DataFrame, observed: DataFrame, keys: Sequence[str], yea
     return p.join(o, list(keys)).withColumn("gap", F.col("projected") - F.col("observed"))
 
 
+def _grams(text: Column) -> Column:
+    """All substrings of one to three characters, each once."""
+    of = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(of(1), of(2), of(3)))
+
+
+def _inside(small: DataFrame, large: DataFrame, on: list[str]) -> DataFrame:
+    """(on, s, l): strings ``s`` that occur in a string ``l`` of the same group. Each looks under its rarest gram of three characters (or all
+    it has) in an index of the others' grams, so only those that share it are compared."""
+    index = large.select(*on, F.col("t").alias("l"), F.explode(_grams(F.col("t"))).alias("g"))
+    often = index.groupBy(*on, "g").agg(F.count(F.lit(1)).alias("n"))
+    widest = F.least(F.length("t"), F.lit(3))
+    own = small.select(*on, F.col("t").alias("s"), F.explode(F.filter(_grams(F.col("t")), lambda g: F.length(g) == widest)).alias("g"))
+    rarest = own.join(often, [*on, "g"], "left").groupBy(*on, "s").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), F.col("g"))).alias("g"))
+    return rarest.join(index, [*on, "g"]).filter(F.contains("l", F.col("s"))).select(*on, "s", "l")
+
+
 def unknown_codes(config: DataFrame, code_list: DataFrame) -> DataFrame:
-    """Configured codes (table, var, code) that the code list lacks, with the known codes of
-    that variable that contain the same text as hints."""
-    known = code_list.select("table", "var", "code").distinct()
-    bad = config.select("table", "var", "code").distinct().join(known, ["table", "var", "code"], "left_anti")
-    # a variable's code list fits one array; hints are picked inside it instead of by pairs
-    lists = known.groupBy("table", "var").agg(F.sort_array(F.collect_set("code")).alias("_known"))
-    want = F.lower("code")
-    hints = F.filter("_known", lambda c: F.contains(F.lower(c), want) | F.contains(want, F.lower(c)))
-    return bad.join(lists, ["table", "var"], "left").select(
-        "table", "var", "code", F.when(F.size(hints) > 0, F.array_join(hints, ",")).alias("hints"))
+    """Configured codes (table, var, code) that the code list lacks, with the known codes of that variable that contain
+    the same text, or are contained in it, as hints. Letters' case doesn't matter; an empty code has no hints."""
+    on = ["table", "var"]
+    known = code_list.select(*on, "code").distinct()
+    bad = config.select(*on, "code").distinct().join(known, [*on, "code"], "left_anti")
+    low = lambda df: df.select(*on, F.lower("code").alias("t")).filter("t <> ''").distinct()
+    wrong, right = low(bad), low(known)
+    pairs = _inside(wrong, right, on).select(*on, F.col("s").alias("b"), F.col("l").alias("k")).unionByName(
+        _inside(right, wrong, on).select(*on, F.col("l").alias("b"), F.col("s").alias("k"))).distinct()
+    spelled = known.withColumn("k", F.lower("code")).withColumnRenamed("code", "hint")
+    hints = pairs.join(spelled, [*on, "k"]).groupBy(*on, "b").agg(F.array_join(F.sort_array(F.collect_set("hint")), ",").alias("hints"))
+    return bad.withColumn("b", F.lower("code")).join(hints, [*on, "b"], "left").select(*on, "code", "hints")
 
 
 def formula_audit(indicators: DataFrame, formulas: DataFrame) -> DataFrame:

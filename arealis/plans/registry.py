@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["indicators", "registries", "peers", "spatial", "shapes", "overlay", "services", "registers", "projections", "exports", "export_files", "quality", "texts", "scans", "pulls", "nearby", "documents", "climate"]
+MODULES = ["indicators", "registries", "peers", "spatial", "shapes", "overlay", "services", "registers", "projections", "exports", "export_files", "quality", "texts", "scans", "pulls", "nearby", "documents", "climate", "lookups"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
