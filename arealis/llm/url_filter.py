@@ -105,11 +105,17 @@ class DigestArray:
         return out
 
 
-def asked_strings(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Every suffix of the host at a label with every start of the path that has one of the lengths."""
-    labels = host.split(".")
+def asked_strings(host: str, path: str, lengths: list[int], longest: int) -> list[str]:
+    """Every suffix of the host at a label, of at most ``longest`` characters, with every start of the path that has one of the lengths."""
     heads = [path[:n] for n in lengths if n <= len(path)]
-    return [".".join(labels[i:]) + h for i in range(len(labels)) for h in heads]
+    out, end = [], len(host)
+    while end >= 0:
+        start = host.rfind(".", 0, end) + 1
+        if len(host) - start > longest:
+            break
+        out += [host[start:] + h for h in heads]
+        end = start - 1
+    return out
 
 
 def entries_of(rules: DataFrame, listed: DataFrame | None) -> DataFrame:
@@ -133,8 +139,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = N
     cut = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     shape = entries.select(F.length("text") - F.length(F.substring_index("text", "/", 1)))
     lengths = sorted(r[0] for r in shape.distinct().collect())  # at most one per length that a path can have
+    of = F.substring_index("text", "/", 1)
+    # no entry fits by a suffix longer than the longest entry's host
+    longest, most = entries.agg(F.coalesce(F.max(F.length(of)), F.lit(0)), F.coalesce(F.max(F.size(F.split(of, r"\."))), F.lit(1))).first()
     if entries.count() > max_entries:
-        return _by_join(cut, entries, lengths)
+        return _by_join(cut, entries, lengths, longest, most)
     made = [(r["text"], r["means"]) for r in entries.collect()]
     content, name = spark.sparkContext.broadcast(array_bytes(made)), uuid.uuid4().hex
     schema = T.StructType([cut.schema["page_id"], *[T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")]])
@@ -145,7 +154,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = N
             asked: list[str] = []
             owner: list[int] = []
             for i, (h, p) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                own = asked_strings(h, p, lengths)
+                own = asked_strings(h, p, lengths, longest)
                 asked += own
                 owner += [i] * len(own)
             best: list[tuple[int, int, str | None, int]] = [(-1, -1, None, 0)] * b.num_rows
@@ -163,15 +172,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = N
     return cut.mapInArrow(judge, schema)
 
 
-def _by_join(cut: DataFrame, entries: DataFrame, lengths: list[int]) -> DataFrame:
+def _by_join(cut: DataFrame, entries: DataFrame, lengths: list[int], longest_host: int, most_labels: int) -> DataFrame:
     """The lookups as a join, for more entries than a worker should map. Distinct (host, start of
     path) pairs ask, so a hot host asks once for each of its paths' starts."""
     labels = F.split("host", r"\.")
     longest = max(lengths, default=0)
     starts = cut.select("host", F.substring("path", 1, longest).alias("start")).distinct()
     asks = starts.select(
-        "host", "start", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("s"),
-    ).select("host", "start", "s", F.explode(F.array(*[F.lit(n) for n in lengths] or [F.lit(0)])).alias("n")).filter(F.col("n") <= F.length("start"))
+        "host", "start", F.explode(F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - most_labels + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("s"),
+    ).filter(F.length("s") <= longest_host).select("host", "start", "s", F.explode(F.array(*[F.lit(n) for n in lengths] or [F.lit(0)])).alias("n")).filter(F.col("n") <= F.length("start"))
     asks = asks.select("host", "start", F.length("s").alias("hl"), F.concat("s", F.expr("substring(start, 1, n)")).alias("text"))
     keyed = entries.withColumn("k", F.xxhash64("text"))
     found = asks.withColumn("k", F.xxhash64("text")).join(keyed, ["k", "text"])
