@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 300
-SAMPLE_CHARS = 50_000
+SAMPLE_CHARS = 200_000
 
 #: Element names of HTML by what they do here.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
@@ -104,6 +105,8 @@ def parse(page: str) -> list[Node]:
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements, inline ones with the block that they stand in
     inside, links, order, linked = [], 0, 0, 0
     at, size = 0, len(page)
+    # where blocks stand in the stack, how many of each name are open, and the inline elements open in each of them
+    places, open_blocks, open_inline = [0], Counter(["html"]), [Counter()]
 
     def flush() -> None:
         nonlocal order
@@ -143,6 +146,12 @@ def parse(page: str) -> list[Node]:
         if any(t in BLOCK or (i and stack[i - 1][1] != b) for i, (t, b) in enumerate(stack[n:], n)):
             flush()
         links -= sum(t == "a" for t, _ in stack[n:])
+        for t, _ in reversed(stack[n:]):
+            if t in BLOCK:
+                places.pop(), open_inline.pop()
+                open_blocks[t] -= 1
+            else:
+                open_inline[-1][t] -= 1
         del stack[n:]
 
     while at < size:
@@ -171,12 +180,12 @@ def parse(page: str) -> list[Node]:
         inner, at = page[lt + 1 + (c == "/") : end], end + 1
         name = re.match(r"[^\s/>]+", inner)[0].lower()
         if c == "/":
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    close_to(i)
-                    break
-                if name not in BLOCK and stack[i][0] in BLOCK:
-                    break  # an inline end tag doesn't end blocks
+            # nothing is looked for that isn't open; an inline end tag doesn't end blocks
+            if (open_blocks if name in BLOCK else open_inline[-1])[name]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] == name:
+                        close_to(i)
+                        break
             continue
         if name == "br":
             inside.append(" ")
@@ -186,19 +195,15 @@ def parse(page: str) -> list[Node]:
             attrs.setdefault((m[1] or m[3]).lower(), (m[2] or "").strip("\"'"))
         if name in BLOCK:
             if name in ENDS_ITSELF:
-                for i in range(len(stack) - 1, 0, -1):
+                for i in [p for p in reversed(places) if p] if any(open_blocks[t] for t in ENDS_ITSELF[name]) else ():
                     if stack[i][0] in ENDS_ITSELF[name]:
                         close_to(i)
                         if name != "tr":
                             break
                     elif stack[i][0] in BOUNDS[name]:
                         break
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    close_to(i)
-                    break
-                if stack[i][0] in BLOCK:
-                    break
+            if places[-1] and stack[places[-1]][0] == "p":
+                close_to(places[-1])
         marks = _OF_ARTICLE.sub(r"\1", f"{attrs.get('class', '')} {attrs.get('id', '')}")
         against = bool(AGAINST.search(marks))
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
@@ -217,6 +222,11 @@ def parse(page: str) -> list[Node]:
             continue
         if inner.endswith("/") and name in ("svg", "math", "path", "object"):
             continue
+        if name in BLOCK:
+            places.append(len(stack)), open_inline.append(Counter())
+            open_blocks[name] += 1
+        else:
+            open_inline[-1][name] += 1
         stack.append((name, own))
         links += name == "a"
     flush()
