@@ -9,7 +9,7 @@ from . import (
     collocations, cotraining, decontaminate, disclosure, hard_negatives, host_rules, html_text, length_histogram, line_dedup, ngram_join, packing, superminhash,
     url_filter,
 )
-from .common import table
+from .common import stash, table
 
 #: The url rules of the contract.
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -52,7 +52,7 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return length_histogram.with_suffix_sums(length_histogram.histogram(length_histogram.token_counts(table(spark, sf_dir, "documents"))))
+    return length_histogram.with_suffix_sums(stash(length_histogram.histogram(length_histogram.token_counts(table(spark, sf_dir, "documents"))), "lengths"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
