@@ -123,7 +123,11 @@ def registry_compiled_quarters(spark, sf):
     return rounded(compile_registry(spark, cubes(spark, sf), CALCULATED).quarters("1996K1"))
 
 
-@query(f"""SELECT key, count(value) AS areas, NULL AS message FROM ({LIVE} UNION ALL {READY}) GROUP BY key
+_KEYS = ", ".join(f"('{e.spec.key}')" for e in CALCULATED + BUILT)
+
+
+@query(f"""WITH f AS (SELECT key, count(value) AS areas FROM ({LIVE} UNION ALL {READY}) GROUP BY key)
+SELECT k.key, coalesce(areas, 0) AS areas, CASE WHEN coalesce(areas, 0) = 0 THEN 'no figure at the newest period' END AS message FROM (VALUES {_KEYS}) AS k(key) LEFT JOIN f USING (key)
 UNION ALL VALUES ('no_calc', 0, 'unknown calculation no_such_calc'), ('no_cube', 0, 'no cube GONE9 for num'), ('no_dim', 0, 'ORDERS1 has no dimension age'),
   ('no_field', 0, 'schools has no field teachers'), ('no_cells', 0, 'no figure at the newest period')""")
 def registry_compiled_report(spark, sf):
