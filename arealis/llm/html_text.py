@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -106,7 +105,7 @@ def parse(page: str) -> list[Node]:
     inside, links, order, linked = [], 0, 0, 0
     at, size = 0, len(page)
     # where blocks stand in the stack, how many of each name are open, and the inline elements open in each of them
-    places, open_blocks, open_inline = [0], Counter(["html"]), [Counter()]
+    places, open_blocks, open_inline = [0], dict.fromkeys(BLOCK, 0) | {"html": 1}, [{}]
 
     def flush() -> None:
         nonlocal order
@@ -181,7 +180,7 @@ def parse(page: str) -> list[Node]:
         name = re.match(r"[^\s/>]+", inner)[0].lower()
         if c == "/":
             # nothing is looked for that isn't open; an inline end tag doesn't end blocks
-            if (open_blocks if name in BLOCK else open_inline[-1])[name]:
+            if (open_blocks if name in BLOCK else open_inline[-1]).get(name):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == name:
                         close_to(i)
@@ -195,7 +194,7 @@ def parse(page: str) -> list[Node]:
             attrs.setdefault((m[1] or m[3]).lower(), (m[2] or "").strip("\"'"))
         if name in BLOCK:
             if name in ENDS_ITSELF:
-                for i in [p for p in reversed(places) if p] if any(open_blocks[t] for t in ENDS_ITSELF[name]) else ():
+                for i in [p for p in reversed(places) if p] if any(open_blocks.get(t) for t in ENDS_ITSELF[name]) else ():
                     if stack[i][0] in ENDS_ITSELF[name]:
                         close_to(i)
                         if name != "tr":
@@ -223,10 +222,10 @@ def parse(page: str) -> list[Node]:
         if inner.endswith("/") and name in ("svg", "math", "path", "object"):
             continue
         if name in BLOCK:
-            places.append(len(stack)), open_inline.append(Counter())
+            places.append(len(stack)), open_inline.append({})
             open_blocks[name] += 1
         else:
-            open_inline[-1][name] += 1
+            open_inline[-1][name] = open_inline[-1].get(name, 0) + 1
         stack.append((name, own))
         links += name == "a"
     flush()
