@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -78,15 +78,51 @@ def _arc(dy: Column, dx: Column, lat: Column) -> Column:
     return F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sqrt(up * up + side * side))))
 
 
+def contracted(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(id, component) of every node of the links (a, b): component is some member, the same for all of them.
+
+    Each round a node follows its smallest neighbour, and that one's, in an order drawn anew by a hash; nodes that
+    follow the same one become one, and links inside it go. A path loses a constant share of its nodes a round whatever their
+    numbers, and what is left shrinks, so the rounds together cost about as much as the first. One job a
+    round stores who follows whom beside the links that are left, and counts those.
+    """
+    flat = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    links = cut_lineage(flat(links))
+    steps = []
+    for salt in range(max_rounds):
+        place = lambda c: F.struct(F.xxhash64(F.lit(salt), c).alias("h"), F.col(c).alias("to"))  # noqa: E731, B023
+        both = links.select("a", place("b").alias("p")).unionByName(links.select(F.col("b").alias("a"), place("a").alias("p")))
+        once = both.groupBy("a").agg(F.min("p").alias("p")).select("a", F.least("p", place("a")).to.alias("b"))
+        step = once.join(once.select(F.col("a").alias("b"), F.col("b").alias("to")), "b").select("a", F.col("to").alias("b"))
+        ends = links
+        for c in "ab":
+            ends = ends.join(step.select(F.col("a").alias(c), F.col("b").alias("_to")), c).drop(c).withColumnRenamed("_to", c)
+        seen = Observation()
+        left = F.count_if(~F.col("step")).alias("left")
+        kept = cut_lineage(flat(ends).withColumn("step", F.lit(False)).unionByName(step.withColumn("step", F.lit(True))).observe(seen, left))
+        links = kept.filter("not step").drop("step")
+        steps.append(kept.filter("step").drop("step"))
+        if not seen.get["left"]:
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    # from the last round, which has the fewest nodes, back to the first
+    found = steps.pop()
+    while steps:
+        later = found.select(F.col("a").alias("b"), F.col("b").alias("last"))
+        found = steps.pop().join(later, "b", "left").select("a", F.coalesce("last", "b").alias("b"))
+    return found.select(F.col("a").alias("id"), F.col("b").alias("component"))
+
+
 def single_linkage(points: DataFrame, group: Sequence[str], radius_m: Column | float) -> DataFrame:
     """Points (id, lat, lon, group...) with ``component``: chains of steps up to the radius
     inside a group. The radius may depend on the group. Any latitude and the 180th meridian are covered:
     rows of tiles close to a ring, and a tile looks as far along its row as its latitude needs.
 
     Tiles small enough that all their points are linked become the nodes, so a crowded spot
-    is one node instead of all its pairs. Two tiles are linked when boxes of their sub-tiles
-    prove it. Sub-tile pairs that boxes cannot decide are cut finer, and only what is still
-    open then is compared point by point, on distinct coordinates.
+    is one node instead of all its pairs. Two tiles are linked when the boxes of their points prove it.
+    Pairs that boxes cannot decide are cut finer, and only what is still open then is compared
+    point by point, on distinct coordinates. Every level is stored once, and nodes are plain numbers.
     """
     keys = list(group)
     radius = radius_m if isinstance(radius_m, Column) else F.lit(float(radius_m))
@@ -95,27 +131,23 @@ def single_linkage(points: DataFrame, group: Sequence[str], radius_m: Column | f
     finest = 360 / (around * _SUB**_DEPTH)
     # the finest grid is counted once and coarser ones follow from it, so all levels agree
     east = F.pmod(F.col("lon") + 180, F.lit(360.0))
-    grid = {f"y{_DEPTH}": F.floor(F.col("lat") / finest), f"x{_DEPTH}": F.floor(east / finest), "_r": radius}
+    grid = {f"y{_DEPTH}": F.floor(F.col("lat") / finest), f"x{_DEPTH}": F.floor(east / finest), "_r": radius,
+            "_g": F.struct(*keys) if keys else F.lit(0)}  # a struct, so that a null key is a key
     tiled = points.withColumns(grid)
     for d in range(_DEPTH - 1, -1, -1):
         tiled = tiled.withColumns({f"{c}{d}": F.floor(F.col(f"{c}{d + 1}") / _SUB) for c in "yx"})
     # read several times below, and whatever produced the points may be a long job
     tiled = cut_lineage(tiled)
     own = lambda d: [f"y{d}", f"x{d}"]
-    # numbered once and checkpointed: an id may occur in several groups, and plain numbers
-    # travel lighter than names through the rounds below
+    box = F.struct(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e")).alias("box")
+    # numbered once and checkpointed: an id may occur in several groups
     nodes = cut_lineage(
-        tiled.groupBy(*keys, "_r", *own(0)).agg(F.min("id").alias("first")).withColumn("node", F.monotonically_increasing_id())
+        tiled.groupBy("_g", "_r", *own(0)).agg(F.min("id").alias("first"), box).withColumn("node", F.monotonically_increasing_id())
     )
-
-    def boxes(d: int) -> DataFrame:
-        """Extent of the points of every cell of a level, with the cell it lies in."""
-        return tiled.groupBy(*keys, *own(d - 1), *own(d)).agg(
-            F.struct(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e")).alias("box"))
-
-    def side(df: DataFrame, up: int, tag: str, *keep: str) -> DataFrame:
-        """Columns of one side of a pair: the cell of level ``up`` keeps its name as join key."""
-        return df.select(*keys, *[F.col(c).alias(f"{c}_{tag}") for c in (*own(up), *keep)])
+    tiled = cut_lineage(tiled.join(nodes.select("_g", *own(0), "node"), ["_g", *own(0)]).drop("_g", "_r", *own(0)))
+    # a group of one tile has nothing to link
+    several = nodes.groupBy("_g").agg(F.min("node").alias("g"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("_g", "g")
+    tiles = nodes.join(several, "_g").select("g", "node", "_r", "box", *own(0))
 
     reach_y = math.ceil(math.sqrt(2) * _HIGH / _LOW)
     # columns that a row's tiles look through: as many as the poleward end of what they reach needs
@@ -125,39 +157,43 @@ def single_linkage(points: DataFrame, group: Sequence[str], radius_m: Column | f
     span = F.when(need < 1, F.degrees(2 * F.asin(F.least(F.lit(1.0), need)))).otherwise(180.0)
     n_around = F.ceil(360 * math.sqrt(2) * _HIGH / F.col("_r")).cast("long")
     reach_x = F.least(F.ceil(span / tile).cast("long"), F.floor(n_around / 2).cast("long"))
-    whole = F.sequence(-reach_x, reach_x)
-    rows = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(reach_y)), lambda y: F.transform(whole, lambda x: F.struct(y.alias("y"), x.alias("x")))))
-    shift = F.explode(F.filter(rows, lambda d: (d.y > 0) | (d.x > 0)))
-    plain = nodes.drop("first")
-    there = plain.withColumn("d", shift).select(
-        *keys, "_r", F.col("node").alias("a"), F.col("y0").alias("y0_a"), F.col("x0").alias("x0_a"),
-        (F.col("y0") + F.col("d.y")).alias("y0_b"), F.pmod(F.col("x0") + F.col("d.x"), n_around).alias("x0_b"))
-    here = plain.select(*keys, F.col("node").alias("b"), F.col("y0").alias("y0_b"), F.col("x0").alias("x0_b"))
-    open_pairs = there.join(here, [*keys, "y0_b", "x0_b"])
-    links = None
-    for d in range(1, _DEPTH + 1):
-        bx = boxes(d)
-        up = [f"{c}{d - 1}_{t}" for t in "ab" for c in "yx"]
-        pairs = open_pairs.select(*keys, "_r", "a", "b", *up)
+    seek = tiles.withColumns({"_n": n_around, "_x": F.explode(F.sequence(-reach_x, reach_x))}).withColumn(
+        "_y", F.explode(F.array(*[F.lit(i) for i in range(reach_y + 1)]))).filter("_y > 0 or _x > 0")
+    there = seek.select("g", "_r", F.col("node").alias("a"), F.col("box").alias("box_a"),
+                        (F.col("y0") + F.col("_y")).alias("y0"), F.pmod(F.col("x0") + F.col("_x"), F.col("_n")).alias("x0"))
+    here = tiles.select("g", F.col("node").alias("b"), F.col("box").alias("box_b"), *own(0))
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        """Pairs that may be near, stored, with whether their boxes prove it."""
+        near = pairs.filter(box_near(F.col("box_a"), F.col("box_b")) <= F.col("_r"))
+        return cut_lineage(near.withColumn("sure", box_far(F.col("box_a"), F.col("box_b")) <= F.col("_r")).drop("box_a", "box_b"))
+
+    def side(df: DataFrame, up: Sequence[str], tag: str, keep: Sequence[str]) -> DataFrame:
+        """One side of a pair: its node, the cell it lies in and what it brings, named after the side."""
+        return df.select(F.col("node").alias(tag), *[F.col(c).alias(f"{c}_{tag}") for c in (*up, *keep)])
+
+    def cut(pairs: DataFrame, df: DataFrame, d: int, keep: Sequence[str]) -> DataFrame:
+        """Open pairs of level ``d`` with all rows of ``df`` that lie in their two cells."""
+        up = own(d) if d else []
         for t in "ab":
-            pairs = pairs.join(side(bx, d - 1, t, *own(d), "box"), [*keys, *up[:2]] if t == "a" else [*keys, *up[2:]])
-        pairs = pairs.filter(box_near(F.col("box_a"), F.col("box_b")) <= F.col("_r"))
-        sure = pairs.filter(box_far(F.col("box_a"), F.col("box_b")) <= F.col("_r")).select("a", "b").distinct()
-        open_pairs = pairs.join(sure, ["a", "b"], "left_anti").drop("box_a", "box_b")
-        links = sure if links is None else links.unionByName(sure)
-    last = [f"{c}{_DEPTH}_{t}" for t in "ab" for c in "yx"]
-    spots = tiled.select(*keys, *own(_DEPTH), "lat", "lon").distinct()
-    close = open_pairs.select(*keys, "_r", "a", "b", *last)
-    for t in "ab":
-        close = close.join(side(spots, _DEPTH, t, "lat", "lon"), [*keys, *last[:2]] if t == "a" else [*keys, *last[2:]])
+            pairs = pairs.join(side(df, up, t, keep), [t, *[f"{c}_{t}" for c in up]]).drop(*[f"{c}_{t}" for c in up])
+        return pairs
+
+    found = judged(there.join(here, ["g", *own(0)]).select("a", "b", "_r", "box_a", "box_b"))
+    links, open_pairs = found.filter("sure").select("a", "b"), found.filter("not sure").drop("sure")
+    for d in range(1, _DEPTH + 1):
+        up = own(d - 1) if d > 1 else []
+        found = judged(cut(open_pairs, tiled.groupBy("node", *up, *own(d)).agg(box), d - 1, [*own(d), "box"]))
+        sure = found.filter("sure").select("a", "b").distinct()
+        links = links.unionByName(sure)
+        open_pairs = found.join(sure, ["a", "b"], "left_anti").drop("sure")
+    close = cut(open_pairs, tiled.select("node", *own(_DEPTH), "lat", "lon").distinct(), _DEPTH, ["lat", "lon"])
     near = G.haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) <= F.col("_r")
-    links = links.unionByName(close.filter(near).select("a", "b"))
-    comp = components(nodes.select(F.col("node").alias("id")), links)
-    member = nodes.join(comp.select(F.col("id").alias("node"), F.col("component").alias("_c")), "node")
+    comp = contracted(links.unionByName(close.filter(near).select("a", "b")))
+    member = nodes.select("node", "first").join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("_c", F.coalesce("component", "node"))
     label = member.groupBy("_c").agg(F.min("first").alias("component"))
-    placed = member.join(label, "_c").select(*keys, *own(0), "component")
-    cells = [c for d in range(_DEPTH + 1) for c in own(d)]
-    return tiled.join(placed, [*keys, *own(0)]).drop("_r", *cells)
+    placed = member.drop("component").join(label, "_c").select("node", "component")
+    return tiled.join(placed, "node").drop("node", *[c for d in range(1, _DEPTH + 1) for c in own(d)])
 
 
 def cluster_summary(clustered: DataFrame, group: Sequence[str], name: str) -> DataFrame:

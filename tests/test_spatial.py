@@ -152,3 +152,23 @@ def test_clusters_at_every_latitude(spark, lat, lon):
     df = spark.createDataFrame([(*p, "g") for p in pts], "id int, lat double, lon double, g string").coalesce(2)
     got = {r.id: r.component for r in single_linkage(df, ["g"], 60.0).collect()}
     assert got == dict(enumerate(root))
+
+
+def test_contracted_components_against_union_find(spark):
+    """Chains, rings, stars, repeated and looping links; every component gets one of its own members."""
+    links = [(i, i + 1) for i in range(150)] + [(200 + i, 200 + (i + 1) % 40) for i in range(40)] + [(300, 300 + i) for i in range(1, 60)]
+    links += [(500, 501), (501, 500), (500, 500), (600, 600)]
+    name = lambda i: "chain" if i <= 150 else {2: "ring", 3: "star", 5: "pair"}[i // 100]
+    want = {i: name(i) for a, b in links if a != b for i in (a, b)}
+    got = {r.id: r.component for r in graph.contracted(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got.keys() == want.keys()
+    names = {n: {got[i] for i in want if want[i] == n} for n in set(want.values())}
+    assert all(len(c) == 1 and want[next(iter(c))] == n for n, c in names.items())
+    assert graph.contracted(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_single_linkage_keeps_null_groups_and_empty_input(spark):
+    rows = [(1, 55.0, 12.0, None), (2, 55.0001, 12.0, None), (3, 55.0, 12.0, "x"), (4, 56.0, 12.0, None)]
+    df = spark.createDataFrame(rows, "id int, lat double, lon double, g string")
+    assert {r.id: r.component for r in graph.single_linkage(df, ["g"], 60.0).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert graph.single_linkage(df.filter("id > 9"), ["g"], 60.0).count() == 0
