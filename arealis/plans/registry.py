@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["indicators", "registries", "peers", "spatial", "shapes", "overlay", "strips", "services", "registers", "projections", "exports", "export_files", "quality", "texts", "scans", "pulls", "nearby", "documents", "climate", "lookups"]
+MODULES = ["indicators", "registries", "peers", "spatial", "shapes", "overlay", "strips", "services", "registers", "projections", "exports", "export_files", "quality", "texts", "scans", "pulls", "nearby", "documents", "climate", "lookups", "whole"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
