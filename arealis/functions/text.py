@@ -40,13 +40,19 @@ def with_unicode_form(df: DataFrame, source: str, target: str, form: str = "NFC"
     return df.withColumn(target, F.coalesce(_normaliser(form)(odd), F.col(source)))
 
 
+# What a stop's name loses before names are compared. Keys must come out the same for the same stops.
+STOP_BRACKETS = r"(\s*\([^)]*\))+\s*$"
+STOP_SUFFIX = r"(?i)\s+(st\.?|station)$"
+STOP_MARKS = "[.,'`´’]"
+
+
 def stop_name_key(x: Column) -> Column:
     """Grouping key of stop names (input already in composed form): trailing brackets and
     a final ``St.``/``station`` go, punctuation goes, case and blanks are folded."""
     s = F.trim(F.coalesce(x, F.lit("")))
-    s = F.trim(F.regexp_replace(s, r"(\s*\([^)]*\))+\s*$", ""))
-    s = F.trim(F.regexp_replace(s, r"(?i)\s+(st\.?|station)$", ""))
-    s = F.regexp_replace(s, "[.,'`´’]", "")
+    s = F.trim(F.regexp_replace(s, STOP_BRACKETS, ""))
+    s = F.trim(F.regexp_replace(s, STOP_SUFFIX, ""))
+    s = F.regexp_replace(s, STOP_MARKS, "")
     return F.regexp_replace(F.lower(s), r"\s+", " ")
 
 
