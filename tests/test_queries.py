@@ -13,6 +13,7 @@ PICKED = [
     "calc_share_of_total", "calc_sum4q_history", "rolling4q_per_1000_pop_live", "registry_single_pass", "peer_rank_and_percentile", "quintile_classes",
     "diverging_classes", "point_in_polygon", "nearest_name_within", "lines_touching_areas", "overlap_share_dominant_first", "timetable_stop_modes",
     "geometries_touching_areas", "registry_compiled_history", "building_stock_profile", "newest_open_case", "age_groups_folded", "outlook_measures", "source_cascade", "diff_of_two_builds", "text_as_export_cells", "cube_file_scan",
+    "overlap_within_stated_error", "inherited_values_all", "station_components",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
