@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as K
 from ..model import AREA_COLUMNS, EXPOSURE_COLUMNS, NEARBY_COLUMNS, PROJECT_COLUMNS, PROPERTY_COLUMNS
+from . import exports as E
 from . import spatial as S
 
 # The year a zone of each horizon is published for.
@@ -62,7 +63,7 @@ def located(pins: DataFrame, levels: dict[str, tuple[DataFrame, Column]], cell:
 
 def property_rows(area_rows: DataFrame, pins: DataFrame) -> DataFrame:
     """All figures of the areas around each pin, behind its label and place."""
-    return pins.join(area_rows, ["level", "code"]).select(*PROPERTY_COLUMNS)
+    return E.property_rows(area_rows, pins).select(*PROPERTY_COLUMNS)
 
 
 def plotted(area_rows: DataFrame, chosen: DataFrame, indicators: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as K
 from ..functions import parsing as P
 from ..model import AREA_COLUMNS
+from ..session import tasks_for
 
 # Publishers by database or source key, catalogue keys of publisher pages.
 PUBLISHERS = {
@@ -26,6 +27,7 @@ PAGE_KEYS = {
 NO_TABLE = "n/a (register/curated)"
 NO_SOURCE = "see Data › Sources"
 CLIMATE_KEY = "climate/climate_index"
+PINS_PER_TASK = 10_000  # each stands for all figures of its area
 
 
 def publisher(key: Column, label: Column) -> Column:
@@ -133,9 +135,14 @@ def area_rows(values: DataFrame, areas: DataFrame, indicators: DataFrame) -> Dat
 def property_rows(area_rows_df: DataFrame, pins: DataFrame) -> DataFrame:
     """Rows of every area that contains a pin, behind the pin's label and coordinate.
 
-    pins: property_label, lat, lon, level, code.
+    pins: property_label, lat, lon, level, code. Areas are few and pins many, so an area's pins are dealt out over as many
+    tasks as all pins need, and its rows repeated for each.
     """
-    return pins.join(area_rows_df, ["level", "code"]).select("property_label", "lat", "lon", *AREA_COLUMNS)
+    n = tasks_for(pins.count(), PINS_PER_TASK)
+    dealt = pins.withColumn("_deal", F.pmod(F.xxhash64("property_label", "lat", "lon"), F.lit(n)).cast("int")).repartition(n, "level", "code", "_deal")
+    every = area_rows_df.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    # a broadcast of the pins would leave all their rows to the areas' one task
+    return dealt.hint("merge").join(every, ["level", "code", "_deal"]).select("property_label", "lat", "lon", *AREA_COLUMNS)
 
 
 def wide(values: DataFrame, areas: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -79,9 +79,8 @@ def property_export_located(spark, sf):
     pins = T.customer_points(spark, sf).join(T.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("property_label")), "id").select("property_label", "lat", "lon")
     area = F.col("_area")
     levels = {"nation": (S.area_index(nations, SP.CELL), area.cast("int").cast("string")), "region": (S.area_index(regions, SP.CELL), area)}
-    d = X.property_rows(PE.long_rows(spark, sf), X.located(pins, levels, SP.CELL))
-    near = {"lat": F.round("lat", 6), "lon": F.round("lon", 6), "value": F.round("value", 4)}
-    return d.select(*[near.get(c, F.col(c)).alias(c) for c in PROPERTY_COLUMNS])
+    found = rounded(X.located(pins, levels, SP.CELL), "lat", "lon")
+    return X.property_rows(rounded(PE.long_rows(spark, sf), digits=4), found).select(*PROPERTY_COLUMNS)
 
 
 @query(f"""WITH {PE.LONG} SELECT * FROM lg WHERE ((level = 'nation' AND CAST(code AS INT) % 4 = 1) OR (level = 'region' AND code = '2')) AND indicator IN (SELECT key FROM ind WHERE direction = 'higher_better')""")

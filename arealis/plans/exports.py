@@ -146,10 +146,9 @@ def property_export(spark, sf):
     p = T.table(spark, sf, "customer")
     n = F.col("c_nationkey")
     lv = F.explode(F.array(F.struct(F.lit("nation").alias("level"), n.cast("string").alias("code")), F.struct(F.lit("region").alias("level"), (n % 5).cast("string").alias("code"))))
-    pins = p.select(F.col("c_name").alias("property_label"), (F.lit(54.5) + (F.col("c_custkey") * 37 % 3000) / F.lit(1000.0)).alias("lat"), F.lit(0.0).alias("lon"), lv.alias("a")).select("property_label", "lat", "lon", "a.*")
-    d = E.property_rows(long_rows(spark, sf), pins)
-    near = {"lat": F.round("lat", 6), "value": F.round("value", 4)}
-    return d.select(*[near.get(c, F.col(c)).alias(c) for c in PROPERTY_COLUMNS])
+    pins = p.select(F.col("c_name").alias("property_label"), F.round(F.lit(54.5) + (F.col("c_custkey") * 37 % 3000) / F.lit(1000.0), 6).alias("lat"), F.lit(0.0).alias("lon"), lv.alias("a")).select("property_label", "lat", "lon", "a.*")
+    # rounded before the join: once a figure and a pin, not once a row
+    return E.property_rows(rounded(long_rows(spark, sf), digits=4), pins).select(*PROPERTY_COLUMNS)
 
 
 @query(f"""WITH {VALUES}, o AS (SELECT code, parent, max(CASE WHEN period = '1999' AND CAST(code AS INT) % 3 <> 0 THEN value END) AS a, max(CASE WHEN period = '2000' THEN value END) AS b FROM iv WHERE level = 'nation' AND key = 'revenue' GROUP BY ALL),

@@ -54,6 +54,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def tasks_for(work: int | None, per_task: int) -> int:
+    """Tasks for work that partition sizes don't show: AQE joins partitions by bytes, and a few small rows can stand for
+    much work. A repartition by this number is left as it is."""
+    return max(1, -(-int(work or 0) // per_task))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, unlike a local one."""
     shared_dir(df.sparkSession)
