@@ -14,15 +14,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..session import tasks_for
 
 ORDER = ("cat", "sub", "name")
+FILES_PER_TASK = 250  # below the thousand from which names of one task's files would no longer sort by number
+ROWS_PER_TASK = 1_000_000
 _POINT = "cat string, sub string, name string, lat double, lon double"
 
 
 def write_even(points: DataFrame, path: str, area: str = "kommune", order: Sequence[str] = ORDER, rows_per_file: int = 100_000) -> None:
-    """Points as JSON lines below a folder per area, coordinates to five decimals. The target is replaced as a whole."""
+    """Points as JSON lines below a folder per area, coordinates to five decimals. The target is replaced as a whole.
+
+    A task writes many files, so tasks and what they report grow with the rows and not with the number of files.
+    """
     d = points.withColumns({"lat": F.round("lat", 5), "lon": F.round("lon", 5)})
-    parts = max(1, -(-d.count() // rows_per_file))
+    files = max(1, min(FILES_PER_TASK, ROWS_PER_TASK // rows_per_file))
+    parts = tasks_for(d.count(), rows_per_file * files)
     keys = [area, *order, "lat", "lon"]
     ranged = d.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     ranged.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(area).json(path)

@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from arealis.model import AREA_COLUMNS
 from arealis.operators import exports as E
+from arealis.sources import point_files as PF
 
 
 def tasks_of(df) -> int:
-    return df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return sum(n > 0 for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect())
 
 
 def test_pins_of_one_area_are_dealt_over_tasks(spark, monkeypatch):
@@ -19,3 +20,13 @@ def test_pins_of_one_area_are_dealt_over_tasks(spark, monkeypatch):
     out = E.property_rows(rows, pins.unionByName(pins.limit(1)))
     assert out.count() == 201 * 3 and out.distinct().count() == 200 * 3
     assert tasks_of(out) > 1
+
+
+def test_point_files_many_by_a_task(spark, tmp_path):
+    d = spark.range(2000).select(F.lit("0101").alias("kommune"), F.lit("food").alias("cat"), F.lit("x").alias("sub"), F.format_string("n%04d", "id").alias("name"), F.lit(55.0).alias("lat"), F.lit(9.0).alias("lon"))
+    path = f"{tmp_path}/points"
+    PF.write_even(d, path, rows_per_file=10)
+    per = PF.read_files(spark, path).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("lo"), F.max("name").alias("hi")).orderBy("file").collect()
+    assert sum(r.n for r in per) == 2000 and max(r.n for r in per) == 10
+    assert all(a.hi < b.lo for a, b in zip(per, per[1:], strict=False))
+    assert len({r.file.split("part-")[1][:5] for r in per}) <= 2
