@@ -16,8 +16,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import tasks_for
 from .spatial import floor_to_cell, ring_edge_rows
 
+ROWS_PER_TASK = 400_000  # crossings of edges with strips
+
 
 def sideways_travel(polygons: DataFrame, code: str = "code", polygon: str = "polygon") -> DataFrame:
     """(code, travel): how far an area's border goes sideways in all, holes included."""
@@ -38,16 +41,20 @@ def strip_height(layers: Sequence[DataFrame], max_error: float) -> Column:
 def spans(polygons: DataFrame, height: Column, code: str = "code", polygon: str = "polygon") -> DataFrame:
     """(code, row, lo, hi, height): disjoint stretches of each strip's middle line inside the area.
 
-    Parts and features of one code may overlap; what they share is counted once.
+    Parts and features of one code may overlap; what they share is counted once. An edge is one row before it is cut and
+    thousands after, so tasks go by the crossings: edges are dealt out over them first, strips afterwards.
     """
     e = F.col("e")
-    edges = ring_edge_rows(polygons, code, polygon).withColumn("height", height)
     h, low, high = F.col("height"), F.least(e.a_lat, e.b_lat), F.greatest(e.a_lat, e.b_lat)
+    first, last = floor_to_cell(low, h), floor_to_cell(high, h)
+    edges = ring_edge_rows(polygons, code, polygon).withColumn("height", height).filter("height is not null")
+    n = tasks_for(edges.agg(F.sum(last - first + 1)).first()[0], ROWS_PER_TASK)
     mid = (F.col("row") + 0.5) * h
     crossings = (
-        edges.filter("height is not null").withColumn("row", F.explode(F.sequence(floor_to_cell(low, h), floor_to_cell(high, h))))
+        edges.repartition(n, "code", "e").withColumn("row", F.explode(F.sequence(first, last)))
         .filter((e.a_lat > mid) != (e.b_lat > mid))
         .select("code", "feat", "part", "row", "height", ((e.b_lon - e.a_lon) * (mid - e.a_lat) / (e.b_lat - e.a_lat) + e.a_lon).alias("lo"))
+        .repartition(n, "code", "row")
     )
     along = Window.partitionBy("code", "feat", "part", "row").orderBy("lo")
     inside = crossings.withColumns({"hi": F.lead("lo").over(along), "i": F.row_number().over(along)}).filter("i % 2 = 1 and hi > lo")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from arealis.model import AREA_COLUMNS
 from arealis.operators import exports as E
+from arealis.operators import strips as R
 from arealis.sources import point_files as PF
 
 
@@ -13,11 +14,10 @@ def tasks_of(df) -> int:
 
 def test_pins_of_one_area_are_dealt_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(E, "PINS_PER_TASK", 20, raising=False)
-    pins = spark.range(200, numPartitions=1).select(
-        F.concat(F.lit("p"), F.col("id").cast("string")).alias("property_label"), F.lit(55.0).alias("lat"), F.lit(9.0).alias("lon"), F.lit("nation").alias("level"), F.lit("7").alias("code"))
-    fixed = {"level": F.lit("nation"), "code": F.lit("7"), "period": F.col("id").cast("string")}
-    rows = spark.range(3, numPartitions=1).select(*[fixed.get(c, F.lit("x")).alias(c) for c in AREA_COLUMNS])
-    out = E.property_rows(rows, pins.unionByName(pins.limit(1)))
+    pins = spark.createDataFrame([(f"p{max(i, 1)}", 55.0, 9.0, "nation", "7") for i in range(201)], "property_label string, lat double, lon double, level string, code string")
+    fixed = {"level": "nation", "code": "7"}
+    rows = spark.createDataFrame([tuple(fixed.get(c, f"{c}{i}") for c in AREA_COLUMNS) for i in range(3)], ", ".join(f"{c} string" for c in AREA_COLUMNS))
+    out = E.property_rows(rows, pins)
     assert out.count() == 201 * 3 and out.distinct().count() == 200 * 3
     assert tasks_of(out) > 1
 
@@ -30,3 +30,12 @@ def test_point_files_many_by_a_task(spark, tmp_path):
     assert sum(r.n for r in per) == 2000 and max(r.n for r in per) == 10
     assert all(a.hi < b.lo for a, b in zip(per, per[1:], strict=False))
     assert len({r.file.split("part-")[1][:5] for r in per}) <= 2
+
+
+def test_crossings_of_few_edges_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(R, "ROWS_PER_TASK", 100, raising=False)
+    square = [[[(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0)]]]
+    d = spark.createDataFrame([("a", square)], "code string, polygon array<array<array<struct<lat:double,lon:double>>>>")
+    rows = R.spans(d, F.lit(2.0**-9))
+    assert rows.count() == 512 and rows.agg(F.sum((F.col("hi") - F.col("lo")) * F.col("height"))).first()[0] == 1.0
+    assert tasks_of(rows) > 1
