@@ -38,6 +38,13 @@ def strip_height(layers: Sequence[DataFrame], max_error: float) -> Column:
     return F.pow(F.lit(2.0), F.floor(F.log2(F.try_divide(F.lit(2.0 * max_error), travel))))
 
 
+def _cut_tasks(edges: DataFrame, height: Column) -> int:
+    """Tasks for the strips that edges (e) cross."""
+    e = F.col("e")
+    rows = floor_to_cell(F.greatest(e.a_lat, e.b_lat), height) - floor_to_cell(F.least(e.a_lat, e.b_lat), height) + 1
+    return tasks_for(edges.agg(F.sum(rows)).first()[0], ROWS_PER_TASK)
+
+
 def spans(polygons: DataFrame, height: Column, code: str = "code", polygon: str = "polygon") -> DataFrame:
     """(code, row, lo, hi, height): disjoint stretches of each strip's middle line inside the area.
 
@@ -48,7 +55,7 @@ def spans(polygons: DataFrame, height: Column, code: str = "code", polygon: str
     h, low, high = F.col("height"), F.least(e.a_lat, e.b_lat), F.greatest(e.a_lat, e.b_lat)
     first, last = floor_to_cell(low, h), floor_to_cell(high, h)
     edges = ring_edge_rows(polygons, code, polygon).withColumn("height", height).filter("height is not null")
-    n = tasks_for(edges.agg(F.sum(last - first + 1)).first()[0], ROWS_PER_TASK)
+    n = _cut_tasks(edges, h)
     mid = (F.col("row") + 0.5) * h
     crossings = (
         edges.repartition(n, "code", "e").withColumn("row", F.explode(F.sequence(first, last)))
@@ -85,13 +92,14 @@ def overlap_within(a: DataFrame, b: DataFrame, max_error: float, polygon: str =
     height = strip_height(travel, max_error)
     sides = [spans(x, height, "code", polygon) for x in (a, b)]
     widths = [s.agg(F.avg(F.col("hi") - F.col("lo"))).scalar() for s in sides]
+    n = max(_cut_tasks(ring_edge_rows(x, "code", polygon), height) for x in (a, b))
     block = lambda c: floor_to_cell(c, F.col("_w"))
 
     def laid(df: DataFrame, tag: str) -> DataFrame:
         wide = df.withColumn("_w", F.greatest(*widths))
         cells = F.explode(F.sequence(block(F.col("lo")), block(F.col("hi")))).alias("block")
         keep = ["_w", "height"] if tag == "a" else []
-        return wide.select("row", F.col("code").alias(tag), F.col("lo").alias(f"lo_{tag}"), F.col("hi").alias(f"hi_{tag}"), *keep, cells)
+        return wide.select("row", F.col("code").alias(tag), F.col("lo").alias(f"lo_{tag}"), F.col("hi").alias(f"hi_{tag}"), *keep, cells).repartition(n, "row", "block")
 
     met = laid(sides[0], "a").join(laid(sides[1], "b"), ["row", "block"])
     start, end = F.greatest("lo_a", "lo_b"), F.least("hi_a", "hi_b")
