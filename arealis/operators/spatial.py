@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..session import tasks_for
 
+PAIRS_PER_TASK = 20_000_000  # pairs of rows that share a cell or lie in adjacent ones
+COPIES = 1000  # rows of one coordinate that travel as one
 
 def floor_to_cell(x: Column, cell: float) -> Column:
     return F.floor(x / cell).cast("long")
@@ -132,6 +135,9 @@ def _neighbour_pairs(a: DataFrame, b: DataFrame, radius_m: float, on: Sequence[s
     Rows of cells are one radius high. Each has cells as wide as its own latitude needs, closed to a ring
     across the 180th meridian; ``b`` enters a neighbouring row by that row's cells. With ``lon_factor``
     distances are those of a plane with that factor everywhere, which has no ring.
+
+    Tasks go by the pairs that cells can form, which bytes don't show; a crowded cell is dealt out over several. A row that
+    stands for several has their number in ``_n``.
     """
     height = radius_m / G.M_PER_LAT * 1.001  # no degree of latitude is shorter than this one
     near = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
@@ -145,25 +151,48 @@ def _neighbour_pairs(a: DataFrame, b: DataFrame, radius_m: float, on: Sequence[s
         b.withColumn("_dy", near).withColumn("_cy", floor_to_cell(F.col("b_lat"), height) + F.col("_dy"))
         .withColumn("_c", column(F.col("b_lon"))).withColumn("_cx", F.explode(beside)).drop("_dy", "_c")
     )
-    return left.join(right, ["_cy", "_cx", *on]).drop("_cy", "_cx")
+    keys = ["_cy", "_cx", *on]
+    size = lambda df: F.sum("_n") if "_n" in df.columns else F.count(F.lit(1))
+    pairs = F.col("_na").cast("double") * F.col("_nb")
+    work = left.groupBy(*keys).agg(size(left).alias("_na")).join(right.groupBy(*keys).agg(size(right).alias("_nb")), keys)
+    n = tasks_for(work.agg(F.sum(pairs)).first()[0], PAIRS_PER_TASK)
+    crowded = work.select(*keys, F.ceil(pairs / PAIRS_PER_TASK).cast("int").alias("_of")).filter("_of > 1")
+    of = F.coalesce("_of", F.lit(1))
+    left = left.join(crowded, keys, "left").withColumn("_deal", F.pmod(F.xxhash64("a_lat", "a_lon"), of).cast("int"))
+    right = right.join(crowded, keys, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), of - 1)))
+    met = left.drop("_n", "_of").repartition(n, *keys, "_deal").join(right.drop("_n", "_of").repartition(n, *keys, "_deal"), [*keys, "_deal"])
+    return met.drop("_cy", "_cx", "_deal")
 
 
 def _prefixed(df: DataFrame, p: str, keep: Sequence[str] = ()) -> DataFrame:
     return df.select(*[F.col(c).alias(c if c in keep else f"{p}_{c}") for c in df.columns])
 
 
-def within_radius(a: DataFrame, b: DataFrame, radius_m: float, earth: float = G.EARTH_MEAN, on: Sequence[str] = ()) -> DataFrame:
-    """All pairs at most ``radius_m`` apart with their distance; columns get ``a_``/``b_``.
+def _spots(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Rows of one coordinate as one, with the other columns in the array ``name`` and their number in ``_n``; a
+    coordinate with more than ``COPIES`` rows is several."""
+    own = [c for c in df.columns if c not in keys] or [keys[0]]
+    row = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*own)))
+    batch = df.withColumn("_batch", F.floor((row - 1) / COPIES))
+    return batch.groupBy(*keys, "_batch").agg(F.collect_list(F.struct(*own)).alias(name), F.count(F.lit(1)).alias("_n")).drop("_batch")
+
 
-    Distances are computed once per pair of distinct coordinates; rows sharing a coordinate
-    are attached afterwards, so copies never multiply the distance work.
+def within_radius(a: DataFrame, b: DataFrame, radius_m: float, earth: float = G.EARTH_MEAN, on: Sequence[str] = (), digits: int | None = None) -> DataFrame:
+    """All pairs at most ``radius_m`` apart with their distance, rounded to ``digits`` if given; columns get ``a_``/``b_``.
+
+    Distances are computed once per pair of distinct coordinates. Rows sharing a coordinate travel with it and
+    are told apart at the end, so copies never multiply the distance work and pairs are never moved.
     """
     a2, b2 = _prefixed(a, "a", on), _prefixed(b, "b", on)
     ka, kb = ["a_lat", "a_lon", *on], ["b_lat", "b_lon", *on]
-    spots = _neighbour_pairs(a2.select(*ka).distinct(), b2.select(*kb).distinct(), radius_m, on)
+    spots = _neighbour_pairs(_spots(a2, ka, "_as"), _spots(b2, kb, "_bs"), radius_m, on)
     d = G.haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"), earth)
     close = spots.withColumn("dist", d).filter(F.col("dist") <= radius_m)
-    return close.join(a2, ka).join(b2, kb)
+    if digits is not None:
+        close = close.withColumn("dist", F.round("dist", digits))
+    each = close.withColumn("_a", F.explode("_as")).drop("_as").withColumn("_b", F.explode("_bs")).drop("_bs")
+    own = [F.col(f"{s}.{c}") for s, df, k in (("_a", a2, ka), ("_b", b2, kb)) for c in df.columns if c not in k]
+    return each.select("a_lat", "a_lon", "b_lat", "b_lon", *on, "dist", *own)
 
 
 def nearest(a: DataFrame, b: DataFrame, radius_m: float, label: str, flat: bool = False, earth: float = G.EARTH_MEAN) -> DataFrame:
@@ -183,13 +212,16 @@ def nearest(a: DataFrame, b: DataFrame, radius_m: float, label: str, flat: bool
 
 
 def preferred_class_within(a: DataFrame, b: DataFrame, radius_m: float, a_id: str, class_rank: Column,
-                           earth: float = G.EARTH_ROUND) -> DataFrame:
+                           earth: float = G.EARTH_ROUND, digits: int | None = None) -> DataFrame:
     """Pairs within the radius whose class is the best one the ``a`` row has any of: the
-    preferred class where it occurs, else the fallback."""
+    preferred class where it occurs, else the fallback. The best class is found by coordinates, then only its pairs are formed."""
     ranked = b.withColumn("rank", class_rank).filter(F.col("rank").isNotNull())
-    pairs = within_radius(a, ranked, radius_m, earth)
-    best = pairs.groupBy(f"a_{a_id}").agg(F.min("b_rank").alias("b_rank"))
-    return pairs.join(best, [f"a_{a_id}", "b_rank"], "left_semi")
+    places = ranked.select(F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), F.col("rank").alias("_rank")).distinct()
+    spots = _neighbour_pairs(a.select(F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon")).distinct(), places, radius_m)
+    d = G.haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"), earth)
+    near = spots.filter(d <= radius_m).groupBy(F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon")).agg(F.min("_rank").alias("_rank"))
+    best = a.select(a_id, "lat", "lon").join(near, ["lat", "lon"]).groupBy(a_id).agg(F.min("_rank").alias("_rank"))
+    return within_radius(a.join(best, a_id), ranked.withColumn("_rank", F.col("rank")), radius_m, earth, ["_rank"], digits).drop("_rank")
 
 
 def around_pins(pins: DataFrame, kinds: dict[str, DataFrame], radius_m: float) -> DataFrame:

@@ -389,7 +389,9 @@ def first_school_wins(spark, sf):
     from ..operators import spatial as S
 
     c, s = T.customer_points(spark, sf).select("id", "lat", "lon"), T.supplier_points(spark, sf).select("id", "lat", "lon")
-    links = S.within_radius(c, s, 25000.0).select(F.col("a_id").alias("building"), F.col("b_id").alias("school"))
+    # of schools at one place the first is enough
+    first = s.groupBy("lat", "lon").agg(F.min("id").alias("id"))
+    links = S.within_radius(c, first, 25000.0).select(F.col("a_id").alias("building"), F.col("b_id").alias("school"))
     stale = c.select(F.col("id").alias("building"), F.lit(-1).alias("school"))
     return G.refresh_reference(stale, links)
 

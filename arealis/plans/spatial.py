@@ -48,8 +48,8 @@ D_CS_ROUND = T.haversine_sql("c.lat", "c.lon", "s.lat", "s.lon", "6371000.0")
 def pairs_within_radius(spark, sf):
     """All customer-supplier pairs at most 15 km apart."""
     c, s = T.customer_points(spark, sf).select("id", "lat", "lon"), T.supplier_points(spark, sf).select("id", "lat", "lon")
-    p = S.within_radius(c, s, 15000.0)
-    return rounded(p.select(F.col("a_id").alias("customer"), F.col("b_id").alias("supplier"), "dist"), "dist", digits=3)
+    p = S.within_radius(c, s, 15000.0, digits=3)
+    return p.select(F.col("a_id").alias("customer"), F.col("b_id").alias("supplier"), "dist")
 
 
 @query(f"""WITH {T.POINTS}, p AS (SELECT c.id, s.id AS sid, CASE s.code WHEN '421' THEN 0 WHEN '422' THEN 1 END AS rk, {D_CS_ROUND} AS d FROM cp c JOIN sp s ON abs(c.lat - s.lat) < 0.3 WHERE s.code IN ('421', '422')),
@@ -60,9 +60,9 @@ def preferred_or_fallback_class(spark, sf):
     c = T.customer_points(spark, sf).select("id", "lat", "lon")
     s = T.supplier_points(spark, sf).select("id", "code", "lat", "lon")
     rank = F.when(F.col("code") == "421", 0).when(F.col("code") == "422", 1)
-    p = S.preferred_class_within(c, s, 20000.0, "id", rank)
+    p = S.preferred_class_within(c, s, 20000.0, "id", rank, digits=3)
     match = F.when(F.col("b_rank") == 0, "421").otherwise("fallback_42x")
-    return rounded(p.select(F.col("a_id").alias("customer"), F.col("b_id").alias("supplier"), match.alias("match"), "dist"), "dist", digits=3)
+    return p.select(F.col("a_id").alias("customer"), F.col("b_id").alias("supplier"), match.alias("match"), "dist")
 
 
 @query(f"""WITH {T.POINTS}, p AS (SELECT c.id, s.name, sqrt(((s.lat - c.lat) * 111320) ** 2 + ((s.lon - c.lon) * (111320 * 0.57)) ** 2) AS d FROM cp c JOIN sp s ON abs(c.lat - s.lat) < 0.2),
