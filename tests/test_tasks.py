@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from arealis.model import AREA_COLUMNS
 from arealis.operators import exports as E
+from arealis.operators import spatial as S
 from arealis.operators import strips as R
 from arealis.sources import point_files as PF
 
@@ -39,3 +40,14 @@ def test_crossings_of_few_edges_are_dealt_over_tasks(spark, monkeypatch):
     rows = R.spans(d, F.lit(2.0**-9))
     assert rows.count() == 512 and rows.agg(F.sum((F.col("hi") - F.col("lo")) * F.col("height"))).first()[0] == 1.0
     assert tasks_of(rows) > 1
+
+
+def test_pairs_of_one_crowded_cell_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(S, "PAIRS_PER_TASK", 500, raising=False)
+    monkeypatch.setattr(S, "COPIES", 3, raising=False)
+    rows = [(i, 55.0 + i % 20 / 1000, 9.0) for i in range(100)]
+    pts = spark.createDataFrame(rows, "id int, lat double, lon double")
+    out = S.within_radius(pts, pts, 600.0)
+    want = sorted((i, j) for i, x, _ in rows for j, y, _ in rows if abs(x - y) < 0.0054)
+    assert sorted((r.a_id, r.b_id) for r in out.collect()) == want
+    assert tasks_of(out) > 1
