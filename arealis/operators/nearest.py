@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..session import cut_lineage
+from ..session import cut_lineage, tasks_for
 from .graph import box_far, box_near
 from .overlay import contained, path_segments
 from .spatial import ring_edge_rows
@@ -24,6 +24,7 @@ from .spatial import ring_edge_rows
 LEAF = 32  # items that a cell may hold uncut
 DEEPEST = 24  # halvings of the globe: cells of about two metres
 STEP = 3  # halvings from one level to the next
+ROWS_PER_TASK = 200_000  # pins beside cells, or beside the items of a leaf
 
 def _planar(lat: Column, lon: Column, box: Column, far: bool) -> Column:
     """Metres to the nearest or farthest place of a box, on the plane true at the pin's latitude."""
@@ -72,6 +73,23 @@ def _tree(placed: DataFrame) -> DataFrame:
     return every.filter("level = 0").unionByName(below)
 
 
+def _beside(reached: DataFrame, held: DataFrame) -> tuple[DataFrame, int]:
+    """Rows of ``reached`` joined with those of ``held`` under the same cell, and the number of tasks they are dealt out over.
+
+    A few pins can stand for many rows, so tasks go by the rows that come out. A cell with more of them than a task
+    takes is cut by its pins and has what it holds once for every cut; there are no more such cells than tasks.
+    """
+    cell = ["cat", "level", "y", "x"]
+    asked, given = (df.groupBy(*cell).agg(F.count(F.lit(1)).alias(n)) for df, n in ((reached, "_asked"), (held, "_held")))
+    pairs = cut_lineage(asked.join(given, cell).select(*cell, (F.col("_asked") * F.col("_held")).alias("_rows")))
+    n = tasks_for(pairs.agg(F.sum("_rows")).first()[0], ROWS_PER_TASK)
+    crowded = F.broadcast(pairs.filter(F.col("_rows") > ROWS_PER_TASK).select(*cell, F.ceil(F.col("_rows") / ROWS_PER_TASK).alias("_cuts")))
+    cuts = F.coalesce("_cuts", F.lit(1))
+    of_pins = reached.join(crowded, cell, "left").withColumn("_cut", F.pmod(F.xxhash64("lat", "lon"), cuts)).drop("_cuts")
+    copies = held.join(crowded, cell, "left").withColumn("_cut", F.explode(F.sequence(F.lit(0).cast("long"), cuts - 1))).drop("_cuts")
+    return of_pins.repartition(n, *cell, "_cut").join(copies, [*cell, "_cut"]).drop("_cut"), n
+
+
 def _search(spots: DataFrame, items: DataFrame, k: int, bound: Callable[..., Column], distance: Column) -> DataFrame:
     """(lat, lon, cat, id, dist): for every spot (lat, lon) at least all items that can be among its k nearest.
 
@@ -83,24 +101,26 @@ def _search(spots: DataFrame, items: DataFrame, k: int, bound: Callable[..., Col
     lat, lon, own = F.col("lat"), F.col("lon"), ["lat", "lon", "cat"]
     # a cell goes on as those it is cut into, a leaf as itself
     at = ["level", "y", "x"]
-    step = F.struct(*[F.col(c) for c in tree.columns if c != "cat"]).alias("next")
+    step = F.struct(*at, "home", "box").alias("next")
     onward = _above(tree.filter("level > 0")).select("cat", (F.col("level") - STEP).alias("level"), F.col("py").alias("y"), F.col("px").alias("x"), step)
     onward = onward.unionByName(tree.filter("leaf").select("cat", *at, step))
-    # the roots are one row a category
-    reached = spots.join(F.broadcast(tree.filter("level = 0")), how="inner", on=F.lit(True)).select(*own, *[c for c in tree.columns if c != "cat"])
-    for level in range(0, deepest + 1, STEP):
-        if level:
-            reached = reached.select(*own, *at).join(onward, ["cat", *at]).select(*own, "next.*")
+    reachable = lambda far: F.col("limit").isNull() | (far <= F.col("limit") * (1 + 1e-9) + 1e-6)
+    # the roots are one row a category, and every pin reaches them
+    roots = F.broadcast(tree.filter("level = 0").select("cat", *at))
+    reached = cut_lineage(spots.join(roots, how="inner", on=F.lit(True)).select(*own, *at, F.lit(None).cast("double").alias("limit")))
+    for _ in range(STEP, deepest + 1, STEP):
+        cut, n = _beside(reached.drop("limit"), onward)
         by_far = Window.partitionBy(*own).orderBy("far").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        seen = reached.withColumn("far", bound(lat, lon, F.col("box"), True)).withColumn("so_far", F.sum("home").over(by_far))
+        seen = cut.select(*own, "next.*").repartition(n, *own).withColumn("far", bound(lat, lon, F.col("box"), True)).withColumn("so_far", F.sum("home").over(by_far))
         limit = F.min(F.when(F.col("so_far") >= k, F.col("far"))).over(Window.partitionBy(*own))
         near = bound(lat, lon, F.col("box"), False)
-        within = F.col("limit").isNull() | (near <= F.col("limit") * (1 + 1e-9) + 1e-6)
-        reached = seen.withColumn("limit", limit).filter(within).drop("far", "so_far", "limit")
+        reached = cut_lineage(seen.withColumn("limit", limit).filter(reachable(near)).select(*own, *at, "limit"))
     leaves = tree.filter("leaf").select("cat", "level", "y", "x")
-    hung = _by_level(placed, deepest).join(leaves, ["cat", "level", "y", "x"])
-    met = reached.select(*own, "level", "y", "x").join(hung, ["cat", "level", "y", "x"])
-    return met.select(*own, "id", distance.alias("dist")).groupBy(*own, "id").agg(F.min("dist").alias("dist"))
+    hung = cut_lineage(_by_level(placed, deepest).join(leaves, ["cat", "level", "y", "x"]).drop("fy", "fx"))
+    met, _ = _beside(reached, hung)
+    # k items lie within the limit, so what lies beyond it isn't measured
+    measured = met.filter(reachable(bound(lat, lon, F.col("box"), False))).select(*own, "id", distance.alias("dist"))
+    return measured.groupBy(*own, "id").agg(F.min("dist").alias("dist"))
 
 
 def _first(found: DataFrame, pins: DataFrame, k: int) -> DataFrame:
@@ -125,17 +145,24 @@ def nearest_points(pins: DataFrame, points: DataFrame, k: int) -> DataFrame:
 
 def nearest_shapes(pins: DataFrame, shapes: DataFrame, k: int, cell: float) -> DataFrame:
     """(pin, cat, pos, id, dist): the k nearest lines and polygons of every category; 0 inside a polygon. ``shapes``: (cat,
-    id, polygon, path), one of both null; distances on the plane true at the pin's latitude. ``cell`` serves the test for inside."""
+    id, polygon, path), one of both null; distances on the plane true at the pin's latitude. ``cell`` (degrees) serves the test for inside,
+    and longer edges hang in the tree as parts of its size; distances are to whole edges."""
     known = shapes.select("cat", "id", "polygon", "path")
     solid = known.filter("polygon is not null")
     name = F.struct("cat", "id")
     rims = ring_edge_rows(solid.select(name.alias("code"), "polygon")).select("code", "e")
     lines = known.filter("polygon is null and path is not null").select(name.alias("code"), F.explode(path_segments(F.col("path"))).alias("e"))
-    e = F.col("e")
-    box = F.struct(F.least(e.a_lat, e.b_lat).alias("s"), F.greatest(e.a_lat, e.b_lat).alias("n"), F.least(e.a_lon, e.b_lon).alias("w"), F.greatest(e.a_lon, e.b_lon).alias("e"))
-    pieces = rims.unionByName(lines).distinct().select("code.cat", "code.id", "e", box.alias("box"))
-    first = pieces.groupBy("cat", "id").agg(F.min("e").alias("_first"))
-    items = pieces.join(first, ["cat", "id"]).select("cat", "id", "e", "box", F.when(F.col("e") == F.col("_first"), 1).otherwise(0).alias("home"))
+    e, i, cuts = F.col("e"), F.col("part"), F.col("cuts")
+    edges = rims.unionByName(lines).distinct().select("code.cat", "code.id", "e")
+    # the box of a long slanting edge lies around many pins that are far from it, those of its parts don't
+    longest = F.greatest(F.abs(e.b_lat - e.a_lat), F.abs(e.b_lon - e.a_lon))
+    parts = edges.withColumn("cuts", F.greatest(F.lit(1), F.coalesce(F.ceil(longest / cell), F.lit(1)))).withColumn("part", F.explode(F.sequence(F.lit(1).cast("long"), cuts)))
+    at = lambda a, b, k: F.when(k == cuts, b).otherwise(a + (b - a) * (k / cuts))
+    lat, lon = [at(e.a_lat, e.b_lat, k) for k in (i - 1, i)], [at(e.a_lon, e.b_lon, k) for k in (i - 1, i)]
+    box = F.struct(F.least(*lat).alias("s"), F.greatest(*lat).alias("n"), F.least(*lon).alias("w"), F.greatest(*lon).alias("e"))
+    first = edges.groupBy("cat", "id").agg(F.min("e").alias("_first"))
+    home = F.when((e == F.col("_first")) & (i == 1), 1).otherwise(0)
+    items = parts.join(first, ["cat", "id"]).select("cat", "id", "e", box.alias("box"), home.alias("home"))
     spots = pins.filter("lat is not null and lon is not null")
     places = spots.select("lat", "lon").distinct()
     found = _search(places, items, k, _planar, G.segment_distance(F.col("lat"), F.col("lon"), F.col("e")))

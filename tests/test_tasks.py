@@ -1,9 +1,12 @@
 """Work that is large behind few bytes is dealt out over tasks."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from arealis.model import AREA_COLUMNS
 from arealis.operators import exports as E
+from arealis.operators import nearest as N
 from arealis.operators import spatial as S
 from arealis.operators import strips as R
 from arealis.sources import point_files as PF
@@ -51,3 +54,39 @@ def test_pairs_of_one_crowded_cell_are_dealt_over_tasks(spark, monkeypatch):
     want = sorted((i, j) for i, x, _ in rows for j, y, _ in rows if abs(x - y) < 0.0054)
     assert sorted((r.a_id, r.b_id) for r in out.collect()) == want
     assert tasks_of(out) > 1
+
+
+def most_tasks(spark, group: str, run) -> int:
+    """Tasks of the stage that has most, of what ``run`` does."""
+    spark.sparkContext.setJobGroup(group, group)
+    run()
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+    return max(s.numTasks for j in jobs for s in map(tracker.getStageInfo, j.stageIds) if s)
+
+
+def test_search_of_nearest_points_is_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAF", 4)
+    monkeypatch.setattr(N, "ROWS_PER_TASK", 100, raising=False)
+    pts = [("a", i, 55.0 + i * i % 97 / 1000, 9.0 + i * 31 % 89 / 1000) for i in range(120)]
+    pins = [(i, 55.0 + i * 7 % 91 / 1000 + 0.0003, 9.0 + i * 13 % 83 / 1000 + 0.0007) for i in range(60)]
+    points = spark.createDataFrame(pts, "cat string, id long, lat double, lon double")
+    places = spark.createDataFrame(pins, "pin long, lat double, lon double")
+    got = []
+    assert most_tasks(spark, "nearest points", lambda: got.extend(N.nearest_points(places, points, 1).collect())) > 8
+    flat = lambda p, q: math.hypot(p[1] - q[2], (p[2] - q[3]) * math.cos(math.radians(55.05)))
+    assert len(got) == 60 and all(flat(p, pts[r.id]) < min(flat(p, q) for q in pts) + 1e-5 for r in got for p in [pins[r.pin]])
+
+
+def test_search_of_nearest_lines_and_areas_is_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAF", 4)
+    monkeypatch.setattr(N, "ROWS_PER_TASK", 100, raising=False)
+    line = lambda i: [(55.0 + i / 1000, 9.0), (55.0 + i / 1000, 9.1)]
+    square = [[[(56.0, 9.0), (56.0, 9.1), (56.1, 9.1), (56.1, 9.0)]]]
+    point = "struct<lat:double,lon:double>"
+    shapes = spark.createDataFrame([("line", i, None, line(i)) for i in range(100)] + [("area", 0, square, None)], f"cat string, id long, polygon array<array<array<{point}>>>, path array<{point}>")
+    places = spark.createDataFrame([(i, 55.0003 + i / 1000, 9.05) for i in range(60)] + [(60, 56.05, 9.05)], "pin long, lat double, lon double")
+    got = []
+    assert most_tasks(spark, "nearest shapes", lambda: got.extend(N.nearest_shapes(places, shapes, 1, 0.05).collect())) > 8
+    assert sorted((r.pin, r.id) for r in got if r.cat == "line") == [*((i, i) for i in range(60)), (60, 99)]
+    assert {r.pin for r in got if r.cat == "area"} == set(range(61)) and [r.dist for r in got if r.cat == "area" and r.pin == 60] == [0.0]
