@@ -47,4 +47,4 @@ def test_stages(spark, tmp_path):
 
 def test_registered():
     names = entry.queries()
-    assert "pipeline" in names and {f"op{n}_" for n in range(1, 11)} == {x[: x.index("_") + 1] for x in names if x.startswith("op") and x[2].isdigit()}
+    assert "pipeline" in names and {f"op{n}_" for n in range(1, 14)} == {x[: x.index("_") + 1] for x in names if x.startswith("op") and x[2].isdigit()}
